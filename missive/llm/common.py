@@ -78,3 +78,25 @@ class GenerationCache(dict):
             self.update(self.pinned)
         self[key] = value
         return value
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows that no model is fitted on: crc32 of the id's decimal text leaves 1 modulo 3."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, label: str = "quality") -> DataFrame:
+    """(doc_id, text, label) of at most ``per_class`` labelled documents of each class 0 and 1.
+
+    The rows are those of smallest hash of the id among the rows not held out, so
+    that the sample is the same in each run and independent of order and
+    partitioning. Its size is bounded by the parameter, so it may be broadcast.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    picked = None
+    for value in (0, 1):
+        part = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        picked = part if picked is None else picked.union(part)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return texts.join(F.broadcast(picked), "doc_id")
