@@ -51,6 +51,15 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of constants, as an expression of the plan."""
+    fields = [part.split() for part in schema.split(", ")]
+    if not rows:
+        return spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in fields))
+    made = F.array(*(F.struct(*(F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields))) for row in rows))
+    return spark.range(0, 1, 1, 1).select(F.inline(made))
+
+
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm.common import table
+from missive.llm import licenses
+from missive.llm.common import shared_dir, table
 
 
 def _tokenizer(name: str) -> str:
@@ -28,6 +30,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from missive.llm.pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), n=2, with_ids=False)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from missive.llm.packing import pack
 
@@ -46,6 +54,12 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from missive.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from missive.llm import quality
 
@@ -60,17 +74,27 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.score(docs, compression.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from missive.llm.shards import compacted
+
+    return compacted(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
+    "op3_pieces": op3_pieces,
     "op4_packing": op4_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_topk": op6_topk,
+    "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_license_scan": licenses.sql(),
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
