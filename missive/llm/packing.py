@@ -18,7 +18,9 @@ are not read.
 
 from __future__ import annotations
 
+import array
 import re
+import sys
 import zlib
 from collections import defaultdict, deque
 
@@ -40,23 +42,49 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: where str.split and the library differ, or where special tokens may stand
 _WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
 
+#: words of these characters are put in lower case, parted and spelt out as bytes here
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
 _workers: dict = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies use for each byte: itself, or one from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in kept)}
+
+
 class Encoder:
     """Whole texts to ids (little-endian unsigned 32 bit), word by word through a cache.
 
     The tokenizer never joins ids over white space, so the words between can be
-    encoded apart; texts where that is not sure are encoded as a whole.
+    encoded apart; texts where that is not sure are encoded as a whole. A word of
+    plain letters goes part by part to the library's merges alone, with a second
+    cache for parts; other words go through the whole library.
     """
 
     def __init__(self, content: str, limit: int = CACHE_ENTRIES):
         self.tokenizer = load_tokenizer(content)
-        self.words = GenerationCache(self.whole, limit)
+        self.words = GenerationCache(self.word, limit)
+        self.parts = GenerationCache(self.part, limit)
+        self.merges, self.letters = self.tokenizer.model, byte_letters()
 
     def whole(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def word(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
+        return self.whole(word)
+
+    def part(self, part: str) -> bytes:
+        spelt = part.encode().decode("latin-1").translate(self.letters)
+        ids = array.array("I", [t.id for t in self.merges.tokenize(spelt)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def __call__(self, text: str) -> bytes:
         if _WHOLE.search(text):
             return self.whole(text)
