@@ -85,7 +85,7 @@ class Index:
         first = self._scored(kept, self.terms).select("query_id", "doc_id", "score")
         lost = vectors.join(first.select("query_id").distinct(), "query_id", "left_anti")
         every = first.unionByName(self._scored(lost, self.terms).select("query_id", "doc_id", "score"))
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
         return every.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= depth).drop("_n", "score")
 
     def hybrid(self, queries: DataFrame, k: int = 10, semantic: DataFrame | None = None, depth: int = RERANK_DEPTH, tiebreak: float = SEMANTIC_TIEBREAK) -> DataFrame:
@@ -114,8 +114,11 @@ class Index:
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
-    """The k best of each query; equal scores by document."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    """The k best of each query; equal scores by document.
+
+    Sums have no fixed order in a cluster, so scores count as equal to nine places.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
