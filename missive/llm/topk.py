@@ -89,14 +89,14 @@ def _counts(df: DataFrame, run, n: int) -> np.ndarray:
     return out
 
 
-def _histogram(values_of, n: int, low: np.ndarray, shift: int):
-    """A mapInArrow function that counts, per query, values in the range's bins."""
+def _histogram(values_of, n: int, low: np.ndarray, bits: int, shift: int):
+    """A mapInArrow function that counts, per query, values in the bins of [low, low + 2**bits)."""
 
     def run(batches):
         total = np.zeros(n * BINS, np.int64)
         for values, live in values_of(batches):
             b = (values - low[None, :]) >> shift
-            live &= (b >= 0) & (b < BINS)
+            live &= (b >= 0) & (b < 1 << (bits - shift))
             b += (np.arange(n) * BINS)[None, :]
             total += np.bincount(b[live], minlength=n * BINS)
         at = np.flatnonzero(total)
@@ -144,7 +144,7 @@ def _block(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, longest: f
             for _, s, own in _scored(batches, *shared.value):
                 yield s, ~own
 
-        scores.narrow(_counts(rows, _histogram(values, n, scores.low, scores.shift), n))
+        scores.narrow(_counts(rows, _histogram(values, n, scores.low, scores.bits, scores.shift), n))
     kth, left = scores.low, scores.want
 
     # ties: ids from below, so the range runs over last - vec_id
@@ -156,7 +156,7 @@ def _block(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, longest: f
                 for v, s, own in _scored(batches, *shared.value):
                     yield np.broadcast_to((last - v)[:, None], s.shape), (s == kth[None, :]) & ~own
 
-            ids.narrow(_counts(rows, _histogram(values, n, ids.low, ids.shift), n))
+            ids.narrow(_counts(rows, _histogram(values, n, ids.low, ids.bits, ids.shift), n))
         cut = last - ids.low
 
     def run(batches):
