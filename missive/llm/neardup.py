@@ -10,12 +10,17 @@ one of the 40 bands is shared but for five pairs in a million.
 1. Equal sets form a class, whose smallest doc_id stands for it from then on.
 2. Bands that several classes share are kept as (band, class), with the smallest
    class of the band as its leader.
-3. Star rounds: each class is compared with one leader it shares a band with. The
+3. Star rounds: each class is compared with one leader it shares a band with, first
+   the band's smallest class, later one drawn by hash from the band's first component,
+   another for each band and round. The
    registers give the similarity, corrected for registers that agree by chance; pairs
    well above or near the limit are confirmed on full sets; links form components.
-4. The last round compares all pairs of classes that share a band and are still in
-   different components. So no link of two candidates is lost, while a group of
-   thousands of near copies costs about one comparison a member and not all pairs.
+4. The last round compares what shares a band and is still in different components:
+   a class with every member of a larger component, block by block, or with a class
+   that is alone, as pairs. Classes that have too few shingles in common with all
+   other components together are left out, for they can't be linked. So no link of
+   two candidates is lost, while a group of thousands of near copies makes about one
+   row a member and never all pairs.
 5. Components by smallest-label propagation with pointer jumping.
 
 Sets of up to 3 shingles can only be linked by being equal and have no bands.
@@ -43,7 +48,8 @@ EMPTY, MOST_ZEROS = 255, 14
 COLLISION = 0.169919487159739093975315012348
 #: pairs estimated below limit - MARGIN (7 standard errors of 240 registers) aren't confirmed; smaller sets always are
 MARGIN, SURE_SIZE = 0.2, 100
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+BLOCK_SHINGLES = 20_000
 CACHE_ENTRIES = 250_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -131,7 +137,7 @@ def _signed(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(band, doc): the band's number and its six registers as one long."""
+    """(band, doc, n): the band's number and its six registers as one long; the class and its set's size."""
 
     def run(batches):
         for batch in batches:
@@ -142,10 +148,10 @@ def _bands(classes: DataFrame) -> DataFrame:
             for j in range(ROWS):
                 key = key << 8 | r[:, :, j]
             some = (r != EMPTY).any(2)
-            docs = np.broadcast_to(batch.column(0).to_numpy()[:, None], some.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(docs[some])], ["band", "doc"])
+            docs, sizes = (np.broadcast_to(batch.column(i).to_numpy()[:, None], some.shape) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(docs[some]), pa.array(sizes[some])], ["band", "doc", "n"])
 
-    return classes.filter("n_shingles > 3").select("doc_id", "regs").mapInArrow(run, "band long, doc long")
+    return classes.filter("n_shingles > 3").select("doc_id", "regs", "n_shingles").mapInArrow(run, "band long, doc long, n long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
@@ -194,6 +200,67 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col:
     return out
 
 
+def _foreign(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, s): how many of a document's shingles another component has too, of those in ``wanted`` (doc, c_doc)."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, n) for t in batch.column(2).to_pylist()]
+            at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(flat)], ["doc", "c_doc", "shingle"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).join(wanted, "doc")
+    rows = texts.select("doc", "c_doc", "text").mapInArrow(run, "doc long, c_doc long, shingle long")
+    shared = rows.groupBy("shingle").agg(F.min("c_doc").alias("least"), F.max("c_doc").alias("most")).filter("least < most").select("shingle")
+    return rows.join(shared, "shingle").groupBy("doc").agg(F.count("*").alias("s"))
+
+
+def _in_blocks(against: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The links (a, b) of classes with any member of a component, of ``against`` (doc, target).
+
+    Both sides are gathered to blocks of about BLOCK_SHINGLES shingles, so a row is a
+    block of classes against a block of members and its size is bounded; only links
+    leave it.
+    """
+    against = stored(against.select("doc", "target"), "against-components")
+    asked = labels.join(against.select(F.col("target").alias("component")).distinct(), "component").select("doc_id", F.col("component").alias("target"))
+    sides = against.select(F.col("doc").alias("doc_id"), "target", F.lit(0).alias("side")).union(asked.select("doc_id", "target", F.lit(1)))
+
+    def to_sets(batches):
+        for batch in batches:
+            sets = [shingle_set(t, n).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).join(sides.select("doc_id").distinct(), "doc_id")
+    sets = stored(texts.mapInArrow(to_sets, "doc_id long, shingles binary"), "sets")
+    sides = sides.join(classes.select("doc_id", "n_shingles"), "doc_id")
+    many = sides.groupBy("target", "side").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
+    dealt = sides.join(many, ["target", "side"]).select("doc_id", "target", "side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block")).join(sets, "doc_id")
+    blocks = dealt.groupBy("target", "side", "block").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("shingles").alias("sets"))
+    blocks = stored(blocks, "blocks")
+    half = lambda k, i, t: blocks.filter(F.col("side") == k).select("target", F.col("ids").alias(i), F.col("sets").alias(t))
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for ids_a, sets_a, ids_b, sets_b in zip(*(c.to_pylist() for c in batch.columns)):
+                b = [np.frombuffer(x, np.uint64) for x in sets_b]
+                flat, size = np.concatenate(b), np.array([len(x) for x in b])
+                starts = np.concatenate([[0], size.cumsum()[:-1]])
+                for a, raw in zip(ids_a, sets_a):
+                    q = np.frombuffer(raw, np.uint64)
+                    at = np.minimum(np.searchsorted(q, flat), len(q) - 1)
+                    common = np.add.reduceat((q[at] == flat).astype(np.int64), starts)
+                    found += [(a, ids_b[i]) for i in np.flatnonzero(100 * common >= percent * (len(q) + size - common)) if ids_b[i] != a]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    out = stored(half(0, "ids_a", "sets_a").join(half(1, "ids_b", "sets_b"), "target").select("ids_a", "sets_a", "ids_b", "sets_b").mapInArrow(run, "a long, b long"), "links")
+    for table in (sets, blocks, against):
+        dropped(table)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, component): the smallest id reachable from each id in ``links`` (a, b)."""
     edges = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "edges")
@@ -220,23 +287,34 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     sets = stored(sets, "classes")
     classes = stored(signed.join(sets.select(F.col("class").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "regs"), "class-registers")
     bands = _bands(classes)
-    leaders = bands.groupBy("band").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).filter("leader < last").drop("last")
+    leaders = bands.groupBy("band").agg(F.min("doc").alias("leader"), F.min_by("n", "doc").alias("n_leader"), F.max("doc").alias("last")).filter("leader < last").drop("last")
+    near = lambda a, b: F.least(a, b) >= limit * F.greatest(a, b)  # noqa: E731  sizes that allow a link
     members = stored(bands.join(leaders, "band"), "bands")
 
     labels, links, tried = None, None, None
     for turn in range(STAR_ROUNDS + 1):
         if labels is None:
-            pairs = members.filter("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+            pairs = members.filter((F.col("doc") != F.col("leader")) & near("n", "n_leader")).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
         else:
             of = lambda c: labels.select(F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"))
-            own = members.select("band", "doc").join(of("doc"), "doc", "left").withColumn("c_doc", F.coalesce("c_doc", "doc"))
-            mixed = own.groupBy("band").agg(F.min("c_doc").alias("least"), F.max("c_doc").alias("most"), F.min_by("doc", "c_doc").alias("leader")).filter("least < most")
+            own = members.select("band", "doc", "n").join(of("doc"), "doc", "left").withColumn("c_doc", F.coalesce("c_doc", "doc"))
+            any_ = F.struct("c_doc", F.xxhash64("doc", "band", F.lit(turn)))
+            mixed = own.groupBy("band").agg(F.min("c_doc").alias("least"), F.max("c_doc").alias("most"), F.min_by("doc", any_).alias("leader"), F.min_by("n", any_).alias("n_leader")).filter("least < most")
             if turn < STAR_ROUNDS:
-                own = own.join(mixed, "band").filter("c_doc <> least").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+                own = own.join(mixed, "band").filter((F.col("c_doc") != F.col("least")) & near("n", "n_leader")).select(F.col("leader").alias("a"), F.col("doc").alias("b"))
             else:
                 own = stored(own.join(mixed.select("band"), "band"), "mixed")
-                other = own.select("band", F.col("doc").alias("a"), F.col("c_doc").alias("c_a"))
-                own = own.join(other, (own["band"] == other["band"]) & (other["a"] < own["doc"]) & (other["c_a"] != own["c_doc"])).select("a", F.col("doc").alias("b"))
+                foreign = _foreign(docs, own.select("doc", "c_doc").distinct(), shingle_words, id_col, text_col)
+                own = own.join(foreign.filter("s > 0"), "doc").filter(100 * F.col("s") >= percent * F.col("n"))
+                # each class against the larger components of its bands (of one size: those of larger label)
+                size = labels.groupBy(F.col("component").alias("c_doc")).agg(F.count("*").alias("size"))
+                own = stored(own.join(size, "c_doc", "left").select("band", "doc", "n", "c_doc", F.coalesce("size", F.lit(1)).alias("size")), "mixed")
+                other = own.groupBy("band", F.col("c_doc").alias("target"), F.col("size").alias("target_size")).agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
+                larger = (other["target_size"] > own["size"]) | (other["target_size"] == own["size"]) & (other["target"] > own["c_doc"])
+                fits = (F.least("n", "n_most") >= limit * F.greatest("n", "n_least")) & larger
+                against = stored(own.join(other, "band").filter(fits).select("doc", "target", "target_size").distinct(), "against")
+                links = links.unionByName(_in_blocks(against.filter("target_size > 1"), labels, classes, docs, shingle_words, percent, id_col, text_col))
+                own = against.filter("target_size = 1").select(F.col("target").alias("a"), F.col("doc").alias("b"))
             pairs = own.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         likely = _estimated(pairs, classes, limit)
@@ -244,14 +322,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
             sure = F.col("est") >= limit + 0.03
             likely = likely.groupBy("b").agg(F.min(F.struct((~sure).alias("unsure"), F.when(~sure, -F.col("est")).alias("far"), F.col("a"))).alias("best")).select(F.col("best.a").alias("a"), "b")
         likely = stored(likely.select("a", "b"), "pairs")
-        if likely.isEmpty():
-            if turn == 0:
-                labels = stored(docs.sparkSession.createDataFrame([], "doc_id long, component long"), "labels")
-                tried, links = likely, likely
+        if turn == 0:
+            links = likely.limit(0)
+        if likely.isEmpty() and 0 < turn < STAR_ROUNDS:
             continue
         new = _confirmed(likely, docs, shingle_words, percent, id_col, text_col)
         tried = likely if tried is None else tried.unionByName(likely)
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         labels = components(links)
 
     found = sets.join(labels.withColumnRenamed("doc_id", "class"), "class", "left").select("set_a", "set_b", F.coalesce("component", "class").alias("component"))
