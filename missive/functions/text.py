@@ -50,7 +50,7 @@ def found(text: Column, pattern: str) -> Column:
 
 def group(text: Column, pattern: str, index: int = 0) -> Column:
     """A group of the first match; null without a match or where the group took no part."""
-    return F.nullif(F.regexp_extract(text, F.lit(rx(pattern)), F.lit(index)), F.lit(""))
+    return F.nullif(F.regexp_extract(text, rx(pattern), index), F.lit(""))
 
 
 def strip(text: Column, more: str = "") -> Column:

@@ -76,12 +76,18 @@ _RULES = (
 )
 
 
+# These are kept: a filter on what they compute would else be pushed down to the scan
+# with the whole grammar inlined into it, once for each time a column is used.
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.enriched(sequenced(synth.messages(spark, sf_dir)))
+    return L.enriched(sequenced(synth.messages(spark, sf_dir))).persist()
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.with_rules(_masked(spark, sf_dir)).persist()
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.with_category(classify.with_rules(_masked(spark, sf_dir)))
+    return classify.with_category(_ruled(spark, sf_dir)).persist()
 
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,12 +203,12 @@ def template_hash_counts(spark, sf_dir):
 
 @query(_with(*_RULES) + "SELECT message_id, rule_category, rule_confidence, hedged FROM scored")
 def rule_category(spark, sf_dir):
-    return classify.with_rules(_masked(spark, sf_dir)).select("message_id", "rule_category", "rule_confidence", "hedged")
+    return _ruled(spark, sf_dir).select("message_id", "rule_category", "rule_confidence", "hedged")
 
 
 @query(_with(*_RULES) + "SELECT rule_category AS label, count(*) AS n FROM scored WHERE rule_category IS NOT NULL AND NOT hedged AND rule_confidence >= 0.84 GROUP BY ALL")
 def weak_labels(spark, sf_dir):
-    return classify.weak_labels(classify.with_rules(_masked(spark, sf_dir))).groupBy("label").agg(F.count("*").alias("n"))
+    return classify.weak_labels(_ruled(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(_with(*_RULES) + "SELECT message_id, category, confidence, agreement, agreement = 'no_signal' OR (agreement = 'rule_only' AND confidence < 0.6) AS needs_review FROM decided")
@@ -251,7 +257,7 @@ def item_numbering(spark, sf_dir):
 
 
 _CORE = r"trim(regexp_replace(body, " + _rx(acts.REPEAT) + ", ''))"
-_SUBJECT = r"(SELECT nullif(trim(regexp_replace(regexp_replace(trim(regexp_replace(%s, '\s+', ' ', 'g'), ' .,;:!?""' || chr(39) || chr(9)), '(?i)^(?:the|a|an|our|your|my|to|that|this)\s+', ''), '(?i)\s+(?:item|work|material|request)$', ''), ' .,;:!?'), ''))".replace('""', '"')
+_SUBJECT = r"""(SELECT nullif(trim(regexp_replace(regexp_replace(trim(regexp_replace(%s, '\s+', ' ', 'g'), ' .,;:!?"' || chr(39) || chr(9)), '(?i)^(?:the|a|an|our|your|my|to|that|this)\s+', ''), '(?i)\s+(?:item|work|material|request)$', ''), ' .,;:!?'), ''))"""
 _ACTS = (
     f"cores AS (SELECT *, {_CORE} AS core FROM bodies)",
     f"acted AS (SELECT *, {_frames_sql('core', acts.FRAMES)} AS frame, regexp_matches(core, {_rx(acts.HEDGE)}) AS hedged FROM cores)",
@@ -263,7 +269,7 @@ _ACTS = (
 
 def _acted(spark, sf_dir) -> DataFrame:
     rows = _masked(spark, sf_dir).withColumns({"body": T.body_of(F.col("masked_text")), "item_type": F.lit(None).cast("string")})
-    return acts.with_acts(rows)
+    return acts.with_acts(rows).persist()
 
 
 @query(_with(*_ACTS) + "SELECT message_id, frame, subject_phrase, new_date FROM act")
