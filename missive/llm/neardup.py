@@ -50,6 +50,7 @@ COLLISION = 0.169919487159739093975315012348
 MARGIN, SURE_SIZE = 0.2, 100
 STAR_ROUNDS = 3
 BLOCK_SHINGLES = 20_000
+BITS = 1 << 23
 CACHE_ENTRIES = 250_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -171,14 +172,35 @@ def _estimated(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long, est double")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets meet 100 * intersection >= percent * union."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, shingles): the sorted set, as bytes, of each document in ``wanted`` (doc_id).
+
+    A bitmap of BITS bits, whatever the number of ids, goes to all tasks, which pass
+    over most texts that aren't wanted; so sets are shuffled to the ids and not texts.
+    Where ids outnumber the bits more texts pass, and the join still decides.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
+    parts = wanted.select(place("doc_id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    bits = np.zeros(BITS // 8, np.uint8)
+    for k, part in parts.collect():  # BITS / 32768 rows of 4 kB
+        bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(part, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def to_sets(batches):
+    def run(batches):
         for batch in batches:
+            at = batch.column(2).to_numpy() - 1
+            batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             sets = [shingle_set(t, n).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
+    key = F.col(id_col).cast("long")
+    texts = docs.filter(key.isNotNull()).select(key.alias("doc_id"), text_of(text_col).alias("text"), place(key).alias("at"))
+    return texts.mapInArrow(run, "doc_id long, shingles binary").join(wanted, "doc_id")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose full sets meet 100 * intersection >= percent * union."""
+
     def run(batches):
         for batch in batches:
             yes = []
@@ -192,8 +214,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).join(wanted, "doc_id")
-    sets = stored(texts.mapInArrow(to_sets, "doc_id long, shingles binary"), "sets")
+    sets = stored(_sets_of(docs, wanted, n, id_col, text_col), "sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s_{c}"))
     out = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long").distinct(), "links")
     dropped(sets)
@@ -205,13 +226,14 @@ def _foreign(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, n) for t in batch.column(2).to_pylist()]
+            sets = [np.frombuffer(s, np.uint64) for s in batch.column(2).to_pylist()]
             at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(flat)], ["doc", "c_doc", "shingle"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).join(wanted, "doc")
-    rows = texts.select("doc", "c_doc", "text").mapInArrow(run, "doc long, c_doc long, shingle long")
+    wanted = wanted.withColumnRenamed("doc", "doc_id")
+    sets = stored(_sets_of(docs, wanted, n, id_col, text_col), "sets")
+    rows = sets.select("doc_id", "c_doc", "shingles").mapInArrow(run, "doc long, c_doc long, shingle long")
     shared = rows.groupBy("shingle").agg(F.min("c_doc").alias("least"), F.max("c_doc").alias("most")).filter("least < most").select("shingle")
     return rows.join(shared, "shingle").groupBy("doc").agg(F.count("*").alias("s"))
 
@@ -227,13 +249,7 @@ def _in_blocks(against: DataFrame, labels: DataFrame, classes: DataFrame, docs:
     asked = labels.join(against.select(F.col("target").alias("component")).distinct(), "component").select("doc_id", F.col("component").alias("target"))
     sides = against.select(F.col("doc").alias("doc_id"), "target", F.lit(0).alias("side")).union(asked.select("doc_id", "target", F.lit(1)))
 
-    def to_sets(batches):
-        for batch in batches:
-            sets = [shingle_set(t, n).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).join(sides.select("doc_id").distinct(), "doc_id")
-    sets = stored(texts.mapInArrow(to_sets, "doc_id long, shingles binary"), "sets")
+    sets = stored(_sets_of(docs, sides.select("doc_id").distinct(), n, id_col, text_col), "sets")
     sides = sides.join(classes.select("doc_id", "n_shingles"), "doc_id")
     many = sides.groupBy("target", "side").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
     dealt = sides.join(many, ["target", "side"]).select("doc_id", "target", "side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block")).join(sets, "doc_id")
