@@ -253,7 +253,7 @@ def _in_blocks(against: DataFrame, labels: DataFrame, classes: DataFrame, docs:
     sides = sides.join(classes.select("doc_id", "n_shingles"), "doc_id")
     many = sides.groupBy("target", "side").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
     dealt = sides.join(many, ["target", "side"]).select("doc_id", "target", "side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block")).join(sets, "doc_id")
-    blocks = dealt.groupBy("target", "side", "block").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("shingles").alias("sets"))
+    blocks = dealt.groupBy("target", "side", "block").agg(F.collect_list(F.struct("doc_id", "shingles")).alias("d")).select("target", "side", F.col("d.doc_id").alias("ids"), F.col("d.shingles").alias("sets"))
     blocks = stored(blocks, "blocks")
     half = lambda k, i, t: blocks.filter(F.col("side") == k).select("target", F.col("ids").alias(i), F.col("sets").alias(t))
 
