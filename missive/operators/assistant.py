@@ -144,7 +144,7 @@ class Assistant:
 
     def _became_priority(self, question, intent):
         target, led = (intent.bands or ["critical"])[0], self.ledger
-        now = led.changes.join(F.broadcast(led.batches.groupBy("tenant").agg(F.max("batch_idx").alias("batch_idx"))), ["tenant", "batch_idx"])
+        now = led.changes.join(led.batches.groupBy("tenant").agg(F.max("batch_idx").alias("batch_idx")), ["tenant", "batch_idx"])
         now = now.filter((F.col("new") == target) & (F.col("trigger") == "message"))
         crossed = now.filter(F.col("previous") != target)
         picked = now.filter(F.col("score") > F.col("previous_score")) if crossed.isEmpty() else crossed

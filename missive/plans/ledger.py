@@ -106,7 +106,7 @@ class Ledger:
     def priorities(self) -> DataFrame:
         """The newest decision of each group."""
         last = self.batches.groupBy("tenant").agg(F.max("batch_idx").alias("batch_idx"))
-        return self.decisions.join(F.broadcast(last), ["tenant", "batch_idx"])
+        return self.decisions.join(last, ["tenant", "batch_idx"])
 
     @cached_property
     def grouped(self) -> DataFrame:
@@ -120,7 +120,7 @@ class Ledger:
         status = self.groups.select("tenant", "group_id", F.col("status").alias("group_status"), F.col("latest_deadline").alias("group_latest_deadline"))
         shared = item.join(self.priorities.select("tenant", "group_id", *names), ["tenant", "group_id"]).join(status, ["tenant", "group_id"])
         as_of = self.batches.groupBy("tenant").agg(F.max_by("last_seen", "batch_idx").alias("now"))
-        lone = priority.solo(self.grouped.join(F.broadcast(as_of), "tenant"), F.col("now"))
+        lone = priority.solo(self.grouped.join(as_of, "tenant"), F.col("now"))
         alone = item.filter("group_id is null").join(lone.select("tenant", "message_id", *names), ["tenant", "message_id"]).withColumns({"group_status": F.lit(None).cast("string"), "group_latest_deadline": F.lit(None).cast("string")})
         return shared.unionByName(alone)
 
