@@ -65,6 +65,21 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+_worker: dict = {}
+
+
+def worker_state(key, make):
+    """What a Python worker keeps between batches and tasks, made on first use.
+
+    Only the state of the operator that asked last is kept, so a chain of operators
+    needs the memory of one.
+    """
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]
+
+
 class GenerationCache(dict):
     """A bounded memo: ``cache[key]`` computes on a miss.
 

@@ -21,14 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import held_out, labelled_sample, text_of
+from missive.llm.common import held_out, labelled_sample, text_of, worker_state
 
 #: labelled rows of each class for the dictionaries and for the curve, at most
 DICTIONARY_ROWS, CURVE_ROWS = 1000, 1000
 DICTIONARY_BYTES, BLOCK, LEVEL = 64 << 10, 2048, 3
 
-_workers: dict = {}
-
 
 def blocks(text: str) -> list[bytes]:
     raw = text.encode("utf-8", "surrogatepass")
@@ -75,11 +73,8 @@ class Model:
     def differences(self, texts: list[str]) -> np.ndarray:
         if self.good is None:
             return np.zeros(len(texts))
-        key = (hash(self.good), hash(self.bad))
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = Sizes(self.good, self.bad)
-        return np.array([_workers[key](t) for t in texts], float)
+        measure = worker_state(("sizes", hash(self.good), hash(self.bad)), lambda: Sizes(self.good, self.bad))
+        return np.array([measure(t) for t in texts], float)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.differences(texts) + self.offset, -30, 30)))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import GenerationCache, dropped, stored, text_of
+from missive.llm.common import GenerationCache, dropped, stored, text_of, worker_state
 
 HASHES, BUCKETS, ROWS, MANTISSA = 20, 12, 6, 4
 REGISTERS = HASHES * BUCKETS
@@ -55,13 +55,10 @@ CACHE_ENTRIES = 250_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = [np.uint64(xxhash.xxh3_64_intdigest(f"register {i}".encode())) for i in range(HASHES)]
-_workers: dict = {}
 
 
 def _hashes() -> GenerationCache:
-    if "words" not in _workers:
-        _workers["words"] = GenerationCache(xxhash.xxh3_64_intdigest, CACHE_ENTRIES)
-    return _workers["words"]
+    return worker_state("words", lambda: GenerationCache(xxhash.xxh3_64_intdigest, CACHE_ENTRIES))
 
 
 def shingle_set(text: str, n: int) -> np.ndarray:

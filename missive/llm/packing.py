@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import GenerationCache, text_of
+from missive.llm.common import GenerationCache, text_of, worker_state
 from missive.llm.tokens import load_tokenizer
 
 CAPACITY = 4096
@@ -46,8 +46,6 @@ _WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
-_workers: dict = {}
-
 
 def byte_letters() -> dict[int, str]:
     """The printable letter that byte-level vocabularies use for each byte: itself, or one from 256 on."""
@@ -189,9 +187,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
 
     def run(batches):
         key = ("pack", hash(content.value))
-        if key not in _workers:
-            _workers[key] = Encoder(content.value)
-        encode, end = _workers[key], end_id.to_bytes(4, "little")
+        encode, end = worker_state(key, lambda: Encoder(content.value)), end_id.to_bytes(4, "little")
         packer = Packer(TaskContext.get().partitionId() << 32, capacity, pending)
 
         def table(rows):

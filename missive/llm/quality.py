@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import GenerationCache, labelled_sample, text_of
+from missive.llm.common import GenerationCache, labelled_sample, text_of, worker_state
 
 #: labelled rows of each class that the trees are fitted on, at most
 SAMPLE_PER_CLASS = 3000
@@ -43,7 +43,6 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 _SYMBOLS, _UPPER, _DIGITS = b"#*$%&|<>", bytes(range(65, 91)), b"0123456789"
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
-_workers: dict = {}
 
 
 class Statistics:
@@ -177,9 +176,7 @@ def _split(bins, grad, hess, mine, cuts, signs, lo, hi):
 
 
 def _statistics() -> Statistics:
-    if "statistics" not in _workers:
-        _workers["statistics"] = Statistics()
-    return _workers["statistics"]
+    return worker_state("statistics", Statistics)
 
 
 def _features(batches):

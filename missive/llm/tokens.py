@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import GenerationCache, text_of
+from missive.llm.common import GenerationCache, text_of, worker_state
 
 #: computed pre-tokens that a worker keeps (two generations of them)
 CACHE_ENTRIES = 300_000
@@ -34,8 +34,6 @@ _UNITS = re.compile(r" ?\S+|\s+(?!\S)|\s")
 #: where Python's and the library's idea of white space differ, or special tokens may stand
 _WHOLE = re.compile(r"[\x1c-\x1f\x85]|<\|")
 
-_workers: dict = {}
-
 
 def load_tokenizer(content: str):
     """A tokenizer of the ``tokenizers`` library from its file's content, on one thread."""
@@ -87,9 +85,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
 
     def run(batches):
         key = ("count", hash(shared.value[0]))
-        if key not in _workers:
-            _workers[key] = Counter(*shared.value)
-        count = _workers[key]
+        count = worker_state(key, lambda: Counter(*shared.value))
         for batch in batches:
             n = [count(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
