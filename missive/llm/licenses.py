@@ -7,8 +7,9 @@ which go through the same expressions. Whole documents and their single lines ar
 looked up: the first finds licence files, the second the notices in other documents.
 
 The join's small side is the table below, of fixed size, hence broadcast. Only texts
-that show one of ``ANCHORS`` are brought to canonical form: every known text holds
-one of these words, and the canonical form neither makes nor joins words.
+that show one of ``HINTS`` are brought to canonical form: every known text holds one
+of these words, and of them the canonical form only makes "licensed", from another
+word before "under", which is therefore one too. It joins no words.
 
 Null, empty and unknown texts give no row; a document with several notices gives a
 row for each of its lines. Repeated rows are reported each. Extra columns aren't read.
@@ -45,8 +46,10 @@ NAMES = [
     ("CC-BY-NC-SA-4.0", "cc by nc sa 4"), ("CC-BY-NC-ND-4.0", "cc by nc nd 4"),
 ]
 
-#: one of these stands in every known text
+#: what the SQL looks for; notices such as "Released under the GPLv3" show none of it
 ANCHORS = r"(?i)licen[cs]e|permission|permitted"
+#: one of these stands in every text whose canonical form is known
+HINTS = ANCHORS + r"|\bunder\b"
 
 #: (pattern, replacement), in this order, in a dialect that Java and RE2 read alike; $1 is the first group
 STEPS = [
@@ -89,7 +92,7 @@ def known(spark, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     return literal_rows(spark, rows, "license_id string, text string").select("license_id", F.md5(canonical(F.col("text")).cast("binary")).alias("digest")).distinct()
 
 
-def scan(docs: DataFrame, table: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", anchors: str = ANCHORS) -> DataFrame:
+def scan(docs: DataFrame, table: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", anchors: str = HINTS) -> DataFrame:
     """(doc_id, line, license_id, digest): line 0 is the whole text, others count from 1."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).filter(F.col("text").rlike(anchors))
     lines = F.concat(F.array("text"), F.when(F.contains("text", F.lit("\n")), F.split("text", "\n")).otherwise(F.array().cast("array<string>")))
@@ -100,7 +103,7 @@ def scan(docs: DataFrame, table: DataFrame | None = None, id_col: str = "doc_id"
 
 
 def sql() -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, but for texts that show none of ``ANCHORS``, which it passes over."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     pairs = TEXTS + [(i, f"Licensed under the {name}") for i, name in NAMES]
 

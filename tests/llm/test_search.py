@@ -39,3 +39,10 @@ def test_licences(spark, odd_docs, no_docs):
     con.execute("CREATE VIEW documents AS SELECT * FROM frame")
     assert {tuple(r)[:3] for r in con.execute(licenses.sql()).fetchall()} == got
     assert licenses.scan(no_docs).count() == 0 and licenses.scan(odd_docs).count() == 0
+
+
+def test_notices_without_the_word_licence(spark):
+    notices = {"Released under the GPLv3.": "GPL-3.0", "Distributed under the GNU GPL v2.0": "GPL-2.0", "This work is made available under CC BY-SA 4.0": "CC-BY-SA-4.0", "Provided under CC0 1.0": "CC0-1.0", "Released under Creative Commons Attribution 4.0 International": "CC-BY-4.0"}
+    rows = [(i, text) for i, text in enumerate(notices)] + [(9, "code\n" + "\n".join(notices) + "\nunder the bridge")]
+    got = {(r["doc_id"], r["line"], r["license_id"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 0, v) for i, v in enumerate(notices.values())} | {(9, i + 2, v) for i, v in enumerate(notices.values())}
