@@ -1,8 +1,9 @@
 """Licence scans by canonical digests.
 
-A text is brought to a canonical form: lower case, copyright lines gone, everything
-but letters and digits a single blank, equivalent spellings and ways of naming a
-licence made one. Its digest is then joined with the digests of the known texts,
+A text is brought to a canonical form: lower case, copyright and "all rights reserved"
+lines gone, also behind comment marks, everything but letters and digits a single
+blank, equivalent spellings and ways of naming a licence made one, a title before
+the opening words of a known text gone. Its digest is then joined with the digests of the known texts,
 which go through the same expressions. Whole documents and their single lines are
 looked up: the first finds licence files, the second the notices in other documents.
 
@@ -36,6 +37,9 @@ TEXTS = [
     ("BSD-2-Clause", f"{_BSD_TOP} {_BSD_END}"),
     ("BSD-3-Clause", f"{_BSD_TOP} {_BSD_THIRD} {_BSD_END}"),
 ]
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")
+#: Texts that the SQL doesn't know, likewise.
+MORE_TEXTS = [("Unlicense", _UNLICENSE + end) for end in ("", " For more information, please refer to <http://unlicense.org>", " For more information, please refer to <https://unlicense.org>")]
 #: Names by which a one-line notice gives a licence, in canonical spelling: fixed values.
 NAMES = [
     ("MIT", "mit license"), ("Apache-2.0", "apache license 2"), ("ISC", "isc license"), ("Unlicense", "unlicense"),
@@ -46,14 +50,36 @@ NAMES = [
     ("CC-BY-NC-SA-4.0", "cc by nc sa 4"), ("CC-BY-NC-ND-4.0", "cc by nc nd 4"),
 ]
 
+#: md5 of the canonical form of longer published texts, with and without the appendix after their terms: fixed values
+DIGESTS = [
+    ("Apache-2.0", "bdaf06b854c3973d6c657a17a4c120c7"),
+    ("Apache-2.0", "22d8571f70b24b4441d0d4ba568067da"),
+    ("GPL-2.0", "312d89bf07a760ffb1b53e1b5fa8855a"),
+    ("GPL-2.0", "a30686d77d7cc0b30f92cf6b2c1f8e4b"),
+    ("GPL-3.0", "9b0a71e2d5cef36a78c6ff4af15a7888"),
+    ("GPL-3.0", "a036ba41a90401d89471538a3f2a112e"),
+    ("LGPL-2.1", "50abad25439282f4d5aaa523051fcf88"),
+    ("LGPL-2.1", "7d71baedb6292ad72847eec6d57d84e5"),
+    ("LGPL-3.0", "bc08e2136b815b0cb01aebfc9b9c5086"),
+    ("MPL-2.0", "e8d70b722ae7c406694f43351a9b8ef3"),
+    ("CC0-1.0", "88ef38e5c5e56280a0e551724fa5ca39"),
+    ("EPL-2.0", "f2a2823b0b0015eb7e7ec95087f9091a"),
+]
+
 #: what the SQL looks for; notices such as "Released under the GPLv3" show none of it
 ANCHORS = r"(?i)licen[cs]e|permission|permitted"
 #: one of these stands in every text whose canonical form is known
 HINTS = ANCHORS + r"|\bunder\b"
 
+#: the lines that don't belong to a licence's wording; a line of the wording that begins with "copyright" or item (c) stays
+LINES = [
+    (r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b(?![,.;\x22-]|[ \t]*\r?$|[ \t]+(?:are|if|the software|the library|notices?|holders?|owners?|ownership|statements?|laws?|licen[cs]es?|interests?|and|or|on|in|is|to|for|of|as|treaty|disclaimers?|permission|doctrines|rights?)\b)|\(c\)(?![ \t]+(?:you|under|the|any|if|to|in)\b)|©)[^\n]*$", " "),
+    (r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$", " "),
+]
+#: the SQL's form of these
+SQL_LINES = [(r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$", " ")]
 #: (pattern, replacement), in this order, in a dialect that Java and RE2 read alike; $1 is the first group
 STEPS = [
-    (r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$", " "),
     (r"[^\p{L}\p{N}]+", " "),
     (r"^ +| +$", ""),
     (r"\b(sub)?licenc(e|es|ed|ing)\b", "$1licens$2"),
@@ -76,20 +102,25 @@ STEPS = [
     (r"^(?:(?:this|the|all) [a-z]+ (?:is|are) )?(?:made )?(?:licensed|releazed|released|distributed|published|available|provided) under (?:the )?(?:terms of (?:the )?)?", "licensed under "),
     (r"^(licensed under .*[0-9])(?: international)?(?: license)?$", "$1"),
 ]
+#: titles, only where the opening words of a text above come next
+TITLE = (r"^(?:(?:the|mit|expat|isc|0bsd|bsd|freebsd|zero|free|public|clause|new|reviz?s?ed|modified|simplified|unlicense|license|[0-9]|two|three) )+(?=permission is hereby granted|permission to use copy|redistribution and use in|this is free and unencumbered)", "")
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a licence text or notice."""
     out = F.lower(text)
-    for pattern, to in STEPS:
+    for pattern, to in [*LINES, *STEPS, TITLE]:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(to))
     return out
 
 
 def known(spark, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(license_id, digest) of the known texts: the table above, or one's own (id, text) pairs."""
-    rows = texts if texts is not None else TEXTS + [(i, f"Licensed under the {name}") for i, name in NAMES]
-    return literal_rows(spark, rows, "license_id string, text string").select("license_id", F.md5(canonical(F.col("text")).cast("binary")).alias("digest")).distinct()
+    rows = texts if texts is not None else TEXTS + MORE_TEXTS + [(i, f"Licensed under the {name}") for i, name in NAMES]
+    found = literal_rows(spark, rows, "license_id string, text string").select("license_id", F.md5(canonical(F.col("text")).cast("binary")).alias("digest"))
+    if texts is None:
+        found = found.union(literal_rows(spark, DIGESTS, "license_id string, digest string"))
+    return found.distinct()
 
 
 def scan(docs: DataFrame, table: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", anchors: str = HINTS) -> DataFrame:
@@ -103,13 +134,13 @@ def scan(docs: DataFrame, table: DataFrame | None = None, id_col: str = "doc_id"
 
 
 def sql() -> str:
-    """The same in DuckDB's SQL, but for texts that show none of ``ANCHORS``, which it passes over."""
+    """The same in DuckDB's SQL, but only for TEXTS and NAMES, texts that show one of ``ANCHORS``, and its own form of copyright lines."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     pairs = TEXTS + [(i, f"Licensed under the {name}") for i, name in NAMES]
 
     def form(column: str) -> str:
         out = f"lower({column})"
-        for pattern, to in STEPS:
+        for pattern, to in [*SQL_LINES, *STEPS]:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to.replace('$', chr(92)))}, 'g')"
         return out
 

@@ -1,5 +1,8 @@
+import os
+
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from missive.llm import licenses
@@ -46,3 +49,24 @@ def test_notices_without_the_word_licence(spark):
     rows = [(i, text) for i, text in enumerate(notices)] + [(9, "code\n" + "\n".join(notices) + "\nunder the bridge")]
     got = {(r["doc_id"], r["line"], r["license_id"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(i, 0, v) for i, v in enumerate(notices.values())} | {(9, i + 2, v) for i, v in enumerate(notices.values())}
+
+
+def test_whole_texts_with_titles_marks_and_copyright_lines(spark):
+    texts = dict(licenses.TEXTS + licenses.MORE_TEXTS)
+    mit, bsd = texts["MIT"], texts["BSD-3-Clause"].replace("the above copyright notice", "the above\ncopyright notice")
+    marked = "".join(f"// {line}\n" for line in ["The MIT License (MIT)", "", "Copyright (c) 2020 X. All rights reserved.", "", *mit.split(". ")])
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 X\n\n" + mit), (2, marked), (3, "BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + bsd), (4, "/*\n * ISC License\n *\n * Copyright 2020 X\n *\n * " + texts["ISC"] + "\n */"),
+        (5, texts["Unlicense"]), (6, "MIT License"), (7, "A song\n" + mit), (8, "MIT License\n\n" + mit + " and more"),
+    ]
+    got = {(r["doc_id"], r["line"], r["license_id"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("line = 0").collect()}
+    assert got == {(1, 0, "MIT"), (2, 0, "MIT"), (3, 0, "BSD-3-Clause"), (4, 0, "ISC"), (5, 0, "Unlicense")}
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/GPL-3"), reason="needs the published texts")
+def test_published_texts(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [open(f"/usr/share/common-licenses/{n}").read() for n in names]
+    rows = list(enumerate(texts)) + [(10 + i, "".join(f"# {line}\n" for line in t.split("\n"))) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("line = 0").collect()}
+    assert got == {k + i: v for k in (0, 10) for i, v in enumerate(names.values())}
