@@ -98,10 +98,6 @@ def _of_kind(kind: str):
     return lambda span: span["known"] & (span["kind"] == kind)
 
 
-def _named(kind: str):
-    return lambda span: F.struct(span["start"].alias("start"), span["end"].alias("end"), F.lit(kind).alias("kind"))
-
-
 def base_spans(text: Column) -> dict[str, Column]:
     """Per kind the base spans, by start."""
     out = {}
@@ -139,18 +135,23 @@ def _joined(kinds_spans: Column) -> Column:
     return F.concat_ws(",", F.transform(ranked, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, found): base spans (known) and candidates of each document, as a written table."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(row, doc_id, found): base spans (known) and candidates of each document, as a written table.
+
+    With ``carry`` the row's own columns come along as the struct ``doc``.
+    """
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if carry else []
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), *own)
+    own = ["doc"] if carry else []
     text = F.col("text")
     base = base_spans(text)
-    rows = rows.select("row", "doc_id", "text", *(base[k].alias(f"b_{k}") for k in KINDS))
+    rows = rows.select("row", "doc_id", "text", *own, *(base[k].alias(f"b_{k}") for k in KINDS))
     rows = rows.withColumn("base", _mentions(text, {k: F.col(f"b_{k}") for k in KINDS}, True))
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     loose = {k: F.filter(matches(text, LOOSE[k], LOOSE_HINT[k]), free) for k in KINDS}
-    rows = rows.select("row", "doc_id", "base", *(loose[k].alias(f"l_{k}") for k in KINDS), "text")
+    rows = rows.select("row", "doc_id", *own, "base", *(loose[k].alias(f"l_{k}") for k in KINDS), "text")
     more = _mentions(text, {k: F.col(f"l_{k}") for k in KINDS}, False)
-    return stored(rows.select("row", "doc_id", F.concat("base", more).alias("found")), "mentions")
+    return stored(rows.select("row", "doc_id", *own, F.concat("base", more).alias("found")), "mentions")
 
 
 def discovered(found: DataFrame) -> DataFrame | None:
@@ -202,20 +203,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span, base or discovered, replaced by its kind in brackets."""
-    found = mentions(docs, id_col, text_col)
+    found = mentions(docs, id_col, text_col, carry=True)
     added = _added(found)
-    kind_span = "array<struct<start:int,end:int,kind:string>>"
-    text = F.col(f"`{text_col}`")
-    out = docs
-    if added is not None:
-        extra = added.groupBy("doc_id").agg(F.flatten(F.collect_list("added")).alias("__added"))
-        out = docs.join(extra.withColumnRenamed("doc_id", "__id"), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
-        real = F.filter("__added", lambda s: F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"])) == s["value"])
-        more = F.coalesce(F.transform(real, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))), F.array().cast(kind_span))
+    text = F.col("doc")[text_col]
+    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    every = plain(F.filter("found", lambda s: s["known"]))
+    if added is None:
+        out = found
     else:
-        more = F.array().cast(kind_span)
-    base = base_spans(F.coalesce(text, F.lit("")))
-    every = F.concat(*(F.transform(base[k], _named(k)) for k in KINDS), more)
+        out = found.join(added.drop("doc_id"), "row", "left")
+        every = F.concat(every, F.coalesce(plain(F.col("added")), plain(F.filter("found", lambda s: F.lit(False)))))
     out = out.withColumn("__spans", F.array_sort(every))
 
     def put(a: Column, s: Column) -> Column:
@@ -227,7 +224,8 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     whole = F.aggregate("__spans", start, put, lambda a: F.concat(a["made"], F.substring(text, a["at"] + 1, F.length(text))))
     new = F.when(F.size("__spans") > 0, whole).otherwise(text)
     out = out.withColumn("__text", new)
+    doc = F.col("doc")
     kept = {text_col: F.col("__text")}
     if length_col in docs.columns:
-        kept[length_col] = F.when(F.size("__spans") > 0, F.length("__text").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"`{length_col}`"))
-    return out.select(*(kept[c].alias(c) if c in kept else F.col(f"`{c}`") for c in docs.columns))
+        kept[length_col] = F.when(F.size("__spans") > 0, F.length("__text").cast(docs.schema[length_col].dataType)).otherwise(doc[length_col])
+    return out.select(*(kept.get(c, doc[c]).alias(c) for c in docs.columns))

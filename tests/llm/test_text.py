@@ -52,6 +52,14 @@ def test_patterns_find_unseen_identifiers_and_mask_them(spark):
     assert masked[7]["text"] == texts[7] and pii.masked(docs).columns == docs.columns
 
 
+def test_discovered_spans_are_masked_in_rows_without_id(spark):
+    texts = [f"please reach support at user{i}@site{i}.example.com for help" for i in range(6)] + ["please reach support at jane [at] corp [dot] example for help"] * 2
+    docs = spark.createDataFrame([(i if i < 6 else None, t, len(t)) for i, t in enumerate(texts)] + [(0, None, None)], "doc_id long, text string, n_chars long")
+    masked = pii.masked(docs).collect()
+    assert sorted((r["text"] or "", r["n_chars"] or 0) for r in masked) == [("", 0)] + [("please reach support at [EMAIL] for help", 40)] * 8
+    assert sum(r["doc_id"] is None for r in masked) == 2
+
+
 def statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
