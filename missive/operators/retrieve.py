@@ -7,6 +7,8 @@ each join is the one with the query terms.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,11 +147,19 @@ def quantised_dot(a: Column, b: Column) -> Column:
 def dense_candidates(queries: DataFrame, vectors: DataFrame, depth: int = RERANK_DEPTH, dims: int = COARSE_DIMS, block: int = 1024) -> DataFrame:
     """(query_id, doc_id, semantic): the nearest by the first ``dims`` codes, rescored on all.
 
-    ``queries`` (query_id, q) and ``vectors`` (doc_id, v) hold quantised vectors. A
-    question is a few rows: at most ``block`` of them are broadcast, and refused beyond.
+    ``queries`` (query_id, q) and ``vectors`` (doc_id, v) hold quantised vectors. Queries
+    are dealt by a hash of their id to blocks of about ``block`` rows, one of which at a
+    time is broadcast; the result is the union over the blocks.
     """
-    if queries.limit(block + 1).count() > block:
-        raise ValueError(f"ask at most {block} queries at once")
+    blocks = max(1, -(-queries.count() // block))
+    if blocks == 1:
+        return _nearest(queries, vectors, depth, dims)
+    dealt = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionAll, (_nearest(queries.filter(dealt == i), vectors, depth, dims) for i in range(blocks)))
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, depth: int, dims: int) -> DataFrame:
+    """``dense_candidates`` of queries few enough to be broadcast."""
     coarse = code_dot(F.slice("q.codes", 1, dims), F.slice("v.codes", 1, dims))
     pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "doc_id", coarse.alias("coarse"), "q", "v")
     order = Window.partitionBy("query_id").orderBy(F.desc("coarse"), F.desc("doc_id"))

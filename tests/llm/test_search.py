@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from missive.llm import licenses
 from missive.llm.topk import search
+from missive.operators import retrieve
 
 
 def test_topk_equals_brute_force_with_ties(spark):
@@ -70,3 +71,12 @@ def test_published_texts(spark):
     rows = list(enumerate(texts)) + [(10 + i, "".join(f"# {line}\n" for line in t.split("\n"))) for i, t in enumerate(texts)]
     got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("line = 0").collect()}
     assert got == {k + i: v for k in (0, 10) for i, v in enumerate(names.values())}
+
+
+def test_dense_candidates_of_more_queries_than_a_block(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "doc_id long, e array<double>").select("doc_id", retrieve.quantised(F.col("e")).alias("v"))
+    queries = vectors.filter("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    whole, parts = (sorted(tuple(x) for x in retrieve.dense_candidates(queries, vectors, depth=7, dims=4, block=b).collect()) for b in (15, 4))
+    assert len(whole) == 15 * 7 and parts == whole
