@@ -10,10 +10,11 @@ They are the seeds. Bootstrapping: the words around a seed make lexical patterns
 (two words before; one before and one after; one before). Looser shapes of the same
 kinds (``LOOSE``: obfuscated addresses, numbers without the country sign, ...) are
 candidates where they don't overlap a base span. Patterns and values form a graph;
-in each of ``ROUNDS`` rounds a pattern's confidence is the share of its distinct
+in each round a pattern's confidence is the share of its distinct
 values that are known, and a candidate that at least ``SUPPORT`` patterns of enough
 confidence and ``SEEDS`` known values extract becomes known itself, and so supports
-patterns in the next round. The graph has one edge per distinct pattern and value and
+patterns in the next round. Rounds end when one finds nothing new; each takes values
+out of a finite number of candidates. The graph has one edge per distinct pattern and value and
 is aggregated before each shuffle; no text is shuffled.
 
 Null and empty texts have no spans. Repeated rows are each reported. Text of any
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from missive.llm.common import dropped, stored, text_of
 
 KINDS = ["email", "ip", "card", "phone"]
-ROUNDS, SUPPORT, SEEDS, CONFIDENCE = 4, 2, 3, 0.8
+SUPPORT, SEEDS, CONFIDENCE = 2, 3, 0.8
 #: characters before and after a span in which its context words are looked for
 WINDOW = 48
 
@@ -162,7 +163,7 @@ def discovered(found: DataFrame) -> DataFrame | None:
         return None
     graph = stored(graph.groupBy("kind", "pattern", "value").agg(F.bool_or("known").alias("known")), "graph")
     new = None
-    for _ in range(ROUNDS):
+    while True:
         score = graph.groupBy("kind", "pattern").agg(F.count_if("known").alias("seeds"), F.count("*").alias("values"))
         good = score.filter((F.col("seeds") >= SEEDS) & (F.col("seeds") >= CONFIDENCE * F.col("values"))).select("kind", "pattern", (F.col("seeds") / F.col("values")).alias("confidence"))
         heard = graph.filter(~F.col("known")).join(good, ["kind", "pattern"]).groupBy("kind", "value").agg(F.count("*").alias("support"), F.sum(F.log(F.lit(1.000001) - F.col("confidence"))).alias("doubt"))

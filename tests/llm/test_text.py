@@ -60,6 +60,14 @@ def test_discovered_spans_are_masked_in_rows_without_id(spark):
     assert sum(r["doc_id"] is None for r in masked) == 2
 
 
+def test_bootstrapping_goes_on_to_the_last_link_of_a_chain(spark):
+    texts = [f"alpha{k} beta{k} seed{k}x{i}@site.example.com gamma{k}" for k in range(7) for i in range(4 if k == 0 else 3)]
+    # the value found by one context's patterns makes the next context's patterns confident
+    loose = [f"alpha{k} beta{k} link{j} [at] corp [dot] example gamma{k}" for j in range(7) for k in (j, j + 1) if k < 7]
+    docs = spark.createDataFrame(list(enumerate(texts + loose)), "doc_id long, text string")
+    assert pii.find(docs).filter("doc_id >= %d and n_added = 1" % len(texts)).count() == len(loose)
+
+
 def statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
