@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.llm import compression, neardup, packing, pii, quality
-from missive.llm.common import shared_dir, table
+from missive.llm.common import shared_dir, stored, table
 
 #: the classifier's stage lets go of what it gives less than this chance of being good
 LEAST_SCORE = 0.2
@@ -36,9 +36,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id."""
-    found = neardup.near_duplicates(docs, shingle_words=5, percent=80).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One row of each group of near copies: that of the smallest id; rows without id come last.
+
+    Rows are told apart by a number of their own, so repeated ids and null ids count
+    like others: equal rows leave one, and different texts of one id are judged each.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = neardup.near_duplicates(rows, shingle_words=5, percent=80, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    grouped = found.join(found.filter("component_id <> __row").select("component_id").distinct(), "component_id")
+    grouped = stored(grouped.join(rows.select("__row", "doc_id"), "__row"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first")
+    chosen = grouped.groupBy("component_id").agg(first).select(F.col("first.__row").alias("__row"))
+    gone = grouped.select("__row").join(chosen, "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,3 +28,13 @@ def test_empty_tables(spark, tmp_path, no_docs):
     no_docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_tells_rows_apart(spark, tmp_path):
+    one, two, three, four = (prose(i, 90) for i in range(4))
+    rows = [(1, one), (1, one), (None, two), (None, two), (2, two), (None, three), (None, three + " tail"), (4, one + " tail"), (4, four), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    left = [(r["doc_id"], (r["text"] or "").removesuffix(" tail")) for r in left.collect()]
+    assert sorted(left, key=str) == sorted([(1, one), (2, two), (None, three), (4, four), (None, ""), (None, "")], key=str)
