@@ -5,8 +5,13 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,23 +37,59 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_scratch = threading.local()
+_cleared: set[str] = set()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
-    A lost executor costs its running tasks, never what is already written.
+    A lost executor costs its running tasks, never what is already written. The table
+    goes when the ``scratch`` around it ends, else with the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/missive-{spark.sparkContext.applicationId}"
+    if root not in _cleared:
+        _cleared.add(root)
+        atexit.register(_removed, spark, root)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    for tables in getattr(_scratch, "open", [])[-1:]:
+        tables.append(out)
+    return out
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # at the end of a program the session may be gone
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def dropped(df: DataFrame) -> None:
     """Remove the files of a table made by ``stored`` once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _removed(df.sparkSession, df._stored_at)
+
+
+@contextmanager
+def scratch():
+    """Tables stored within are dropped at its end, but for what the yielded function stores."""
+    outer = _scratch.open = getattr(_scratch, "open", [])
+    outer.append([])
+
+    def result(df: DataFrame, name: str) -> DataFrame:
+        own = outer.pop()
+        try:
+            return stored(df, name)  # belongs to the scratch outside, if there is one
+        finally:
+            outer.append(own)
+
+    try:
+        yield result
+    finally:
+        for table in outer.pop():
+            dropped(table)
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -86,8 +127,12 @@ class GenerationCache(dict):
     A hit is one C-level dict lookup. When ``limit`` computed keys are held the
     generation becomes the old one and its keys are promoted again as they are
     used, so rare keys leave and frequent ones stay. ``pinned`` entries always stay.
+    Keys of more than ``longest`` characters are computed each time, so the memory is
+    bounded in bytes too.
     """
 
+    longest = 64
+
     def __init__(self, compute, limit: int, pinned: dict | None = None):
         super().__init__(pinned or {})
         self.compute, self.limit, self.pinned, self.old = compute, limit, pinned or {}, {}
@@ -96,6 +141,8 @@ class GenerationCache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+            if len(key) > self.longest:
+                return value
         if len(self) - len(self.pinned) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -104,6 +151,37 @@ class GenerationCache(dict):
         return value
 
 
+#: characters of text whose words are looked up together, at least one text
+CHUNK_CHARS = 4_000_000
+
+
+def word_chunks(texts: list[str], split: Callable[[str], list[str]], chars: int = CHUNK_CHARS) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Runs of texts as (distinct words, number of each word in order, words of each text).
+
+    Each distinct word of a run is then looked up once.
+    """
+    done = 0
+    while done < len(texts):
+        words, counts, size = [], [], 0
+        while done < len(texts) and size < chars:
+            own = split(texts[done])
+            words += own
+            counts.append(len(own))
+            size += len(texts[done])
+            done += 1
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        yield coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.array(counts, np.int64)
+
+
+def gathered(rows: list[bytes], codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids (little-endian unsigned 32 bit) of a run's words in order, where each word's begin, and where each text's end."""
+    size = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+    first, n = np.cumsum(size) - size, size[codes]
+    begin = np.concatenate([[0], np.cumsum(n)])
+    at = np.arange(begin[-1]) + np.repeat(first[codes] - begin[:-1], n)
+    return np.frombuffer(b"".join(rows), "<u4")[at], begin, begin[np.cumsum(counts)]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model is fitted on: crc32 of the id's decimal text leaves 1 modulo 3."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1

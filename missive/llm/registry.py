@@ -31,9 +31,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best segmentations of each text, the ids of the best, and what these decode to."""
     from missive.llm.pieces import encode
 
-    return encode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), n=2, with_ids=False)
+    docs = table(spark, sf_dir, "documents")
+    coded = encode(docs, _tokenizer("piece_bpe_32k.model"), n=2, decoded=True)
+    return coded.select("doc_id", "n_pieces", "scores", "pieces", "ids_crc32", "ids", F.md5(F.col("decoded").cast("binary")).alias("decoded_md5"), "round_trip")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

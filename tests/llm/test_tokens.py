@@ -1,4 +1,6 @@
+import hashlib
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -65,12 +67,10 @@ def test_packer_without_exact_fit_cuts_one_tail():
 
 
 def brute(pieces, word, n):
-    edges = pieces.edges(word)
-
     def ways(end):
         if not end:
-            return [(0.0, ())]
-        return [(s + score, i + ids) for start, score, ids in edges[end] for s, i in ways(start)]
+            return [(0.0, b"")]
+        return [(s + score, i + ids) for start, (score, ids) in pieces.edges(word, end) for s, i in ways(start)]
 
     return sorted((-s for s, _ in ways(len(word))))[:n]
 
@@ -80,7 +80,7 @@ def test_n_best_equals_enumeration():
 
     table = read_pieces(PIECES)
     pieces = Pieces(*table, n=4)
-    for word in ["▁hello", "▁the", "▁tionhe", "é日", "▁▁", "▁a"]:
+    for word in ["▁hello", "▁the", "▁tionhe", "é日", "▁▁", "▁a", "▁question", "aaaaaaa", "--------"]:
         assert [-s for s, _ in pieces.best_of_word(word)] == brute(pieces, word, 4)
     for text in ["hello the world", "a b", "to  be"]:
         per_word = [[s for s, _ in pieces.best_of_word(w)] for w in pieces.split(text)]
@@ -88,9 +88,64 @@ def test_n_best_equals_enumeration():
         assert [s for s, _ in pieces.n_best(text)] == pytest.approx(best)
 
 
+def test_edges_are_all_pieces_that_end_there():
+    from missive.llm.pieces import read_pieces
+
+    names, scores, byte_ids = read_pieces(PIECES)
+    pieces, known = Pieces(names, scores, byte_ids), {n for n, s in zip(names, scores) if s > float("-inf")}
+    for word in ["▁mentquestion", "é日x", "▁▁▁the"]:
+        for end in range(1, len(word) + 1):
+            wanted = {s for s in range(end) if word[s:end] in known} | {end - 1}
+            assert {s for s, _ in pieces.edges(word, end)} == wanted
+
+
+def test_second_cost_is_the_next_pop():
+    from missive.llm.pieces import read_pieces
+
+    pieces = Pieces(*read_pieces(PIECES), n=2)
+    for word in ["▁hello", "▁mentquestion", "▁a", "xxxxxx", "日"]:
+        best = pieces.best_of_word(word)
+        assert pieces.entry(word)[:2] == best[0]
+        assert pieces.entry(word)[2] == (best[0][0] - best[1][0] if len(best) > 1 else float("inf"))
+
+
+@pytest.mark.parametrize("word", ["x", " ", "aB3/"])
+def test_long_runs_take_linear_time(word):
+    """A million characters in one word, of one kind or not: seconds, and the same pieces as many short ones decode to."""
+    from missive.llm.pieces import read_pieces
+
+    pieces = Pieces(*read_pieces(PIECES), n=2)
+    text = word * (1_000_000 // len(word))
+    start = time.process_time()
+    best = pieces.n_best(text)
+    assert time.process_time() - start < 120
+    assert all(a[0] >= b[0] for a, b in zip(best, best[1:]))
+    assert all(pieces.decode(np.frombuffer(ids, "<u4").tolist()) == text for _, ids in best)
+    assert not pieces.words or max(map(len, pieces.words)) <= pieces.words.longest
+
+
 def test_pieces_decode_to_the_text(spark, odd_docs, no_docs):
     coded = encode(odd_docs.filter("doc_id is not null"), PIECES)
-    assert all(r["round_trip"] for r in coded.collect())
     texts = {r["doc_id"]: (r["text"] or "").replace("▁", " ") for r in odd_docs.filter("doc_id is not null").collect()}
-    assert {r["doc_id"]: r["text"] for r in decode(coded, PIECES).collect()} == texts
+    assert {r["doc_id"]: r["decoded"] for r in decode(coded, PIECES).collect()} == texts
     assert encode(no_docs, PIECES).count() == 0
+
+
+def test_query_of_pieces_equals_brute_force(spark, tmp_path):
+    from missive.llm import registry
+    from missive.llm.pieces import read_pieces
+
+    texts = ["the hello", "a b", None, "", "the hello", "to  be", "é日\nx", "a▁b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.op3_pieces(spark, str(tmp_path)).collect()
+    pieces = Pieces(*read_pieces(PIECES), n=2)
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+    for r in rows:
+        text = texts[r["doc_id"]] or ""
+        lattice = "▁" + text.replace(" ", "▁") if text else ""
+        best = brute(pieces, lattice, 2) if text else [0.0]
+        assert [-s for s in r["scores"]] == pytest.approx(best)
+        ids = np.array(r["ids"], "<u4")
+        assert r["pieces"][0] == r["n_pieces"] == len(ids) and r["ids_crc32"][0] == zlib.crc32(ids.tobytes())
+        assert r["decoded_md5"] == hashlib.md5(text.replace("▁", " ").encode()).hexdigest()
+        assert r["round_trip"] == ("▁" not in text)
