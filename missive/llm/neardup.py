@@ -15,12 +15,22 @@ one of the 40 bands is shared but for five pairs in a million.
    another for each band and round. The
    registers give the similarity, corrected for registers that agree by chance; pairs
    well above or near the limit are confirmed on full sets; links form components.
-4. The last round compares what shares a band and is still in different components:
-   a class with every member of a larger component, block by block, or with a class
-   that is alone, as pairs. Classes that have too few shingles in common with all
-   other components together are left out, for they can't be linked. So no link of
-   two candidates is lost, while a group of thousands of near copies makes about one
-   row a member and never all pairs.
+4. The rest: classes that share a band with another component. Those joined by shared
+   bands are a family, whose centre is the set of the shingles that at least half of
+   them have (it may be empty). A class x is then its difference D(x) to the centre,
+   and x and y are linked exactly if excess(x) + excess(y) <= 2 w |D(x) & D(y)|, with
+   w = 100 + percent and excess(x) = w |D(x)| - (100 - percent) |x|. Hence
+   * the class of least excess is linked with whatever is linked with anything
+     without a shared difference: one star a family covers all such links;
+   * other links need shared differences, and only differences that occur in two
+     components can be shared. Where a class has too few of them for its own and any
+     possible partner's excess, it has no further link. In a large group of near copies
+     the copies' own changes are shared with nobody, so none is left;
+   * classes still left are joined on the rarest of their shared differences, as many
+     as leave too few others for a link (prefix filter); how many these are depends on
+     the partner's excess, so each class is entered for each level of it.
+   Each of these bounds is exact, so no link of two classes that share a band is lost,
+   and no group's pairs are made.
 5. Components by smallest-label propagation with pointer jumping.
 
 Sets of up to 3 shingles can only be linked by being equal and have no bands.
@@ -36,10 +46,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from missive.llm.common import GenerationCache, dropped, stored, text_of, worker_state
+from missive.llm.common import GenerationCache, dropped, scratch, stored, text_of, worker_state
 
 HASHES, BUCKETS, ROWS, MANTISSA = 20, 12, 6, 4
 REGISTERS = HASHES * BUCKETS
@@ -48,8 +58,9 @@ EMPTY, MOST_ZEROS = 255, 14
 COLLISION = 0.169919487159739093975315012348
 #: pairs estimated below limit - MARGIN (7 standard errors of 240 registers) aren't confirmed; smaller sets always are
 MARGIN, SURE_SIZE = 0.2, 100
-STAR_ROUNDS = 3
-BLOCK_SHINGLES = 20_000
+STAR_ROUNDS = 2
+#: excesses up to this many times w have levels of their own
+LEVELS = 16
 BITS = 1 << 23
 CACHE_ENTRIES = 250_000
 
@@ -218,82 +229,139 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col:
     return out
 
 
-def _foreign(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, s): how many of a document's shingles another component has too, of those in ``wanted`` (doc, c_doc)."""
+def _family_rows(bands: DataFrame) -> DataFrame:
+    """(doc, family) of the classes in ``bands`` (band, doc, c_doc, ...): a family is connected by shared bands."""
+    first = bands.groupBy("band").agg(F.min("doc").alias("a"))
+    return components(bands.join(first, "band").select("a", F.col("doc").alias("b"))).select(F.col("doc_id").alias("doc"), F.col("component").alias("family"))
+
+
+def _differences(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc, c_doc, family, n, excess, difference) of ``sets`` (doc, c_doc, family, shingles).
+
+    ``difference`` holds the hashes in which the set differs from its family's centre, as
+    bytes; a missing one is told from an additional one by its flipped bits.
+    """
+
+    def flat(batches):
+        for batch in batches:
+            tokens = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate([np.empty(0, np.int64), *tokens]))], ["family", "shingle"])
 
     def run(batches):
         for batch in batches:
-            sets = [np.frombuffer(s, np.uint64) for s in batch.column(2).to_pylist()]
-            at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(flat)], ["doc", "c_doc", "shingle"])
+            sizes, excess, found = [], [], []
+            for raw, middle in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                own, middle = np.frombuffer(raw, np.int64), np.array(middle or [], np.int64)
+                d = np.concatenate([np.setdiff1d(own, middle, assume_unique=True), ~np.setdiff1d(middle, own, assume_unique=True)])
+                sizes.append(len(own))
+                excess.append((100 + percent) * len(d) - (100 - percent) * len(own))
+                found.append(d.tobytes())
+            made = [pa.array(sizes, pa.int64()), pa.array(excess, pa.int64()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["doc", "c_doc", "family", "n", "excess", "difference"])
+
+    size = sets.groupBy("family").agg(F.count("*").alias("size"))
+    counts = sets.select("family", "shingles").mapInArrow(flat, "family long, shingle long").groupBy("family", "shingle").agg(F.count("*").alias("df"))
+    # at most twice a mean set for each family
+    middle = counts.filter("df > 1").join(size, "family").filter("2 * df >= size").groupBy("family").agg(F.collect_list("shingle").alias("middle"))
+    rows = sets.join(middle, "family", "left").select("doc", "c_doc", "family", "shingles", "middle")
+    return rows.mapInArrow(run, "doc long, c_doc long, family long, n long, excess long, difference binary")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(doc, difference, df): the differences of each class that another component of its family has too."""
+
+    def flat(batches):
+        for batch in batches:
+            own = [np.frombuffer(s, np.int64) for s in batch.column(3).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(own)), [len(t) for t in own]))
+            yield pa.RecordBatch.from_arrays([c.take(at) for c in batch.columns[:3]] + [pa.array(np.concatenate([np.empty(0, np.int64), *own]))], ["doc", "c_doc", "family", "difference"])
 
-    wanted = wanted.withColumnRenamed("doc", "doc_id")
-    sets = stored(_sets_of(docs, wanted, n, id_col, text_col), "sets")
-    rows = sets.select("doc_id", "c_doc", "shingles").mapInArrow(run, "doc long, c_doc long, shingle long")
-    shared = rows.groupBy("shingle").agg(F.min("c_doc").alias("least"), F.max("c_doc").alias("most")).filter("least < most").select("shingle")
-    return rows.join(shared, "shingle").groupBy("doc").agg(F.count("*").alias("s"))
+    each = rows.select("doc", "c_doc", "family", "difference").mapInArrow(flat, "doc long, c_doc long, family long, difference long")
+    both = each.groupBy("family", "difference").agg(F.min("c_doc").alias("least"), F.max("c_doc").alias("most"), F.count("*").alias("df")).filter("least < most").select("family", "difference", "df")
+    return each.join(both, ["family", "difference"]).select("doc", "family", "difference", "df")
 
 
-def _in_blocks(against: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The links (a, b) of classes with any member of a component, of ``against`` (doc, target).
+def _able(rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Those of ``rows`` that their shared differences allow a link with some class of the family.
 
-    Both sides are gathered to blocks of about BLOCK_SHINGLES shingles, so a row is a
-    block of classes against a block of members and its size is bounded; only links
-    leave it.
+    A partner y of x needs excess(y) <= room(x) and excess(x) <= room(y), where room(x) =
+    2 w shared(x) - excess(x). The family's rooms are gathered by excess first, so that the
+    running maximum goes over few rows.
     """
-    against = stored(against.select("doc", "target"), "against-components")
-    asked = labels.join(against.select(F.col("target").alias("component")).distinct(), "component").select("doc_id", F.col("component").alias("target"))
-    sides = against.select(F.col("doc").alias("doc_id"), "target", F.lit(0).alias("side")).union(asked.select("doc_id", "target", F.lit(1)))
-
-    sets = stored(_sets_of(docs, sides.select("doc_id").distinct(), n, id_col, text_col), "sets")
-    sides = sides.join(classes.select("doc_id", "n_shingles"), "doc_id")
-    many = sides.groupBy("target", "side").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
-    dealt = sides.join(many, ["target", "side"]).select("doc_id", "target", "side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block")).join(sets, "doc_id")
-    blocks = dealt.groupBy("target", "side", "block").agg(F.collect_list(F.struct("doc_id", "shingles")).alias("d")).select("target", "side", F.col("d.doc_id").alias("ids"), F.col("d.shingles").alias("sets"))
-    blocks = stored(blocks, "blocks")
-    half = lambda k, i, t: blocks.filter(F.col("side") == k).select("target", F.col("ids").alias(i), F.col("sets").alias(t))
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for ids_a, sets_a, ids_b, sets_b in zip(*(c.to_pylist() for c in batch.columns)):
-                b = [np.frombuffer(x, np.uint64) for x in sets_b]
-                flat, size = np.concatenate(b), np.array([len(x) for x in b])
-                starts = np.concatenate([[0], size.cumsum()[:-1]])
-                for a, raw in zip(ids_a, sets_a):
-                    q = np.frombuffer(raw, np.uint64)
-                    at = np.minimum(np.searchsorted(q, flat), len(q) - 1)
-                    common = np.add.reduceat((q[at] == flat).astype(np.int64), starts)
-                    found += [(a, ids_b[i]) for i in np.flatnonzero(100 * common >= percent * (len(q) + size - common)) if ids_b[i] != a]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    out = stored(half(0, "ids_a", "sets_a").join(half(1, "ids_b", "sets_b"), "target").select("ids_a", "sets_a", "ids_b", "sets_b").mapInArrow(run, "a long, b long"), "links")
-    for table in (sets, blocks, against):
-        dropped(table)
-    return out
+    count = shared.groupBy("doc").agg(F.count("*").alias("shared"))
+    rows = rows.join(count, "doc").withColumn("room", 2 * (100 + percent) * F.col("shared") - F.col("excess")).filter("excess <= room or room >= 0")
+    level = lambda c: F.floor(F.col(c) / (100 + percent))
+    rooms = rows.groupBy("family", level("excess").alias("at")).agg(F.max("room").alias("room"))
+    asked = rows.select("family", level("room").alias("at"), F.lit(None).cast("long").alias("room")).distinct()
+    upto = Window.partitionBy("family").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    most = rooms.unionByName(asked).groupBy("family", "at").agg(F.max("room").alias("room")).select("family", "at", F.max("room").over(upto).alias("most"))
+    rows = rows.withColumn("at", level("room")).join(most, ["family", "at"])
+    return rows.filter("most >= excess").drop("at", "most", "room", "shared")
+
+
+def _level(excess: Column, w: int) -> Column:
+    """A lower bound of excess / w: whole, and beyond LEVELS only the leading bits, so that a family has few levels."""
+    v = F.floor(excess / w)
+    unit = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(F.greatest(F.abs(v), F.lit(1)) / LEVELS)) + 1))
+    return (F.floor(v / unit) * unit).cast("long")
+
+
+def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that share one of the shared differences that are rarest.
+
+    Classes of levels k and l need at least (k + l) / 2 common differences. A class is
+    entered for each level of its family with which that many are possible, under as
+    many of its rarest shared differences as leave fewer than that.
+    """
+    own = _shared(rows).groupBy("doc", "family").agg(F.array_sort(F.collect_list(F.struct("df", "difference"))).alias("d"))
+    own = own.join(rows.select("doc", "c_doc", "n", _level(F.col("excess"), 100 + percent).alias("level")), "doc")
+    own = stored(own.withColumn("shared", F.size("d")), "own")
+    levels = own.groupBy("family", F.col("level").alias("other")).agg(F.max("shared").alias("most"), F.min("c_doc").alias("first"), F.max("c_doc").alias("last"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("level") + F.col("other")) / 2))
+    key = own.join(levels, "family").withColumn("need", need).filter("need <= shared and need <= most and (first <> c_doc or last <> c_doc)")
+    key = key.select("doc", "c_doc", "n", "level", "other", "family", F.explode(F.slice("d", 1, (F.col("shared") - F.col("need") + 1).cast("int"))).alias("d"))
+    key = stored(key.select("doc", "c_doc", "n", "level", "other", "family", "d.difference"), "prefixes")
+    low = key.filter("level <= other").select("family", "difference", F.col("level").alias("low"), F.col("other").alias("high"), *(F.col(c).alias(f"{c}_low") for c in ("doc", "c_doc", "n")))
+    high = key.filter("level >= other").select("family", "difference", F.col("other").alias("low"), F.col("level").alias("high"), *(F.col(c).alias(f"{c}_high") for c in ("doc", "c_doc", "n")))
+    once = (F.col("low") < F.col("high")) | (F.col("doc_low") < F.col("doc_high"))
+    fits = (F.col("c_doc_low") != F.col("c_doc_high")) & (100 * F.least("n_low", "n_high") >= percent * F.greatest("n_low", "n_high")) & once
+    pairs = low.join(high, ["family", "difference", "low", "high"]).filter(fits)
+    return pairs.select(F.least("doc_low", "doc_high").alias("a"), F.greatest("doc_low", "doc_high").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc_id, component): the smallest id reachable from each id in ``links`` (a, b)."""
+    """(doc_id, component): the smallest id reachable from each id in ``links`` (a, b).
+
+    Each round gives a vertex, and the vertex it points to, the smallest label that a
+    neighbour's label points to, and shortens paths. Labels only fall, so an unchanged sum ends it.
+    """
     edges = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "edges")
     labels = stored(edges.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.col("doc_id")).alias("component")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("doc_id").alias("b"), F.col("component")), "b").select(F.col("a").alias("doc_id"), "component")
-        least = near.union(labels).groupBy("doc_id").agg(F.min("component").alias("component"))
+    total = lambda rows: rows.agg(F.sum(F.col("component").cast("decimal(38,0)"))).head()[0]
+    left = total(labels)
+    while left is not None:
         up = labels.select(F.col("doc_id").alias("component"), F.col("component").alias("next"))
-        jumped = stored(least.join(up, "component", "left").select("doc_id", F.least("component", "next").alias("component")), "labels")
-        moved = jumped.join(labels.select("doc_id", F.col("component").alias("was")), "doc_id").filter(F.col("component") != F.col("was"))
-        done = moved.isEmpty()
+        jumped = labels.join(up, "component", "left").select("doc_id", F.col("component").alias("parent"), F.coalesce("next", "component").alias("next"))
+        near = edges.join(jumped.select(F.col("doc_id").alias("b"), "next"), "b").groupBy("a").agg(F.min("next").alias("near"))
+        own = jumped.join(near.withColumnRenamed("a", "doc_id"), "doc_id", "left").withColumn("low", F.least("next", "near"))
+        least = own.select(F.explode(F.array(F.struct("doc_id", F.col("low").alias("component")), F.struct(F.col("parent").alias("doc_id"), F.col("low").alias("component")))).alias("x")).select("x.*")
+        new = stored(least.groupBy("doc_id").agg(F.min("component").alias("component")), "labels")
         dropped(labels)
-        labels = jumped
-        if done:
-            dropped(edges)
-            return labels
+        labels, was, left = new, left, total(new)
+        if left == was:
+            break
+    dropped(edges)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each document; see the module."""
+    """doc_id, n_shingles, component_id, kept for each document, as a written table; see the module."""
+    with scratch() as result:
+        return result(_near_duplicates(docs, shingle_words, percent, id_col, text_col), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     limit = percent / 100
     signed = stored(_signed(docs, shingle_words, id_col, text_col), "signed")
     sets = signed.filter("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class"))
@@ -304,44 +372,44 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     near = lambda a, b: F.least(a, b) >= limit * F.greatest(a, b)  # noqa: E731  sizes that allow a link
     members = stored(bands.join(leaders, "band"), "bands")
 
+    of = lambda labels, c: labels.select(F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"))
+    labelled = lambda rows: rows.join(of(labels, "doc"), "doc", "left").withColumn("c_doc", F.coalesce("c_doc", "doc"))
     labels, links, tried = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS):
         if labels is None:
             pairs = members.filter((F.col("doc") != F.col("leader")) & near("n", "n_leader")).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
         else:
-            of = lambda c: labels.select(F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"))
-            own = members.select("band", "doc", "n").join(of("doc"), "doc", "left").withColumn("c_doc", F.coalesce("c_doc", "doc"))
+            own = labelled(members.select("band", "doc", "n"))
             any_ = F.struct("c_doc", F.xxhash64("doc", "band", F.lit(turn)))
             mixed = own.groupBy("band").agg(F.min("c_doc").alias("least"), F.max("c_doc").alias("most"), F.min_by("doc", any_).alias("leader"), F.min_by("n", any_).alias("n_leader")).filter("least < most")
-            if turn < STAR_ROUNDS:
-                own = own.join(mixed, "band").filter((F.col("c_doc") != F.col("least")) & near("n", "n_leader")).select(F.col("leader").alias("a"), F.col("doc").alias("b"))
-            else:
-                own = stored(own.join(mixed.select("band"), "band"), "mixed")
-                foreign = _foreign(docs, own.select("doc", "c_doc").distinct(), shingle_words, id_col, text_col)
-                own = own.join(foreign.filter("s > 0"), "doc").filter(100 * F.col("s") >= percent * F.col("n"))
-                # each class against the larger components of its bands (of one size: those of larger label)
-                size = labels.groupBy(F.col("component").alias("c_doc")).agg(F.count("*").alias("size"))
-                own = stored(own.join(size, "c_doc", "left").select("band", "doc", "n", "c_doc", F.coalesce("size", F.lit(1)).alias("size")), "mixed")
-                other = own.groupBy("band", F.col("c_doc").alias("target"), F.col("size").alias("target_size")).agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
-                larger = (other["target_size"] > own["size"]) | (other["target_size"] == own["size"]) & (other["target"] > own["c_doc"])
-                fits = (F.least("n", "n_most") >= limit * F.greatest("n", "n_least")) & larger
-                against = stored(own.join(other, "band").filter(fits).select("doc", "target", "target_size").distinct(), "against")
-                links = links.unionByName(_in_blocks(against.filter("target_size > 1"), labels, classes, docs, shingle_words, percent, id_col, text_col))
-                own = against.filter("target_size = 1").select(F.col("target").alias("a"), F.col("doc").alias("b"))
-            pairs = own.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            own = own.join(mixed, "band").filter((F.col("c_doc") != F.col("least")) & near("n", "n_leader")).select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+            pairs = own.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         likely = _estimated(pairs, classes, limit)
-        if turn < STAR_ROUNDS:  # of each class's leaders the smallest of those that look linked, else the likeliest
-            sure = F.col("est") >= limit + 0.03
-            likely = likely.groupBy("b").agg(F.min(F.struct((~sure).alias("unsure"), F.when(~sure, -F.col("est")).alias("far"), F.col("a"))).alias("best")).select(F.col("best.a").alias("a"), "b")
-        likely = stored(likely.select("a", "b"), "pairs")
-        if turn == 0:
-            links = likely.limit(0)
-        if likely.isEmpty() and 0 < turn < STAR_ROUNDS:
-            continue
+        # of each class's leaders the smallest of those that look linked, else the likeliest
+        sure = F.col("est") >= limit + 0.03
+        likely = likely.groupBy("b").agg(F.min(F.struct((~sure).alias("unsure"), F.when(~sure, -F.col("est")).alias("far"), F.col("a"))).alias("best")).select(F.col("best.a").alias("a"), "b")
+        likely = stored(likely, "pairs")
         new = _confirmed(likely, docs, shingle_words, percent, id_col, text_col)
+        links = new if links is None else links.unionByName(new)
         tried = likely if tried is None else tried.unionByName(likely)
-        links = links.unionByName(new)
+        labels = components(links)
+
+    own = labelled(members.select("band", "doc", "n"))
+    mixed = own.groupBy("band").agg(F.min("c_doc").alias("least"), F.max("c_doc").alias("most")).filter("least < most").select("band")
+    own = stored(own.join(mixed, "band"), "mixed")
+    if not own.isEmpty():
+        wanted = own.select("doc", "c_doc").distinct().join(_family_rows(own), "doc").withColumnRenamed("doc", "doc_id")
+        rows = _sets_of(docs, wanted, shingle_words, id_col, text_col).withColumnRenamed("doc_id", "doc")
+        rows = stored(_differences(stored(rows, "sets"), percent), "differences")
+        centre = rows.groupBy("family").agg(F.min_by(F.struct("doc", "c_doc", "excess"), F.struct("excess", "doc")).alias("best")).select("family", F.col("best.doc").alias("best"), F.col("best.c_doc").alias("c_best"), F.col("best.excess").alias("least"))
+        star = rows.join(centre, "family").filter("excess + least <= 0 and c_doc <> c_best").select(F.least("best", "doc").alias("a"), F.greatest("best", "doc").alias("b"))
+        links = links.unionByName(stored(star, "links"))
+        labels = components(links)
+        rows = labelled(rows.drop("c_doc"))
+        rows = stored(_able(rows, _shared(rows), percent), "able")
+        pairs = _prefix_pairs(rows, percent).join(tried, ["a", "b"], "left_anti")
+        likely = stored(_estimated(pairs, classes, limit).select("a", "b"), "pairs")
+        links = links.unionByName(_confirmed(likely, docs, shingle_words, percent, id_col, text_col))
         labels = components(links)
 
     found = sets.join(labels.withColumnRenamed("doc_id", "class"), "class", "left").select("set_a", "set_b", F.coalesce("component", "class").alias("component"))

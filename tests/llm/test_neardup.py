@@ -1,26 +1,38 @@
+import os
 import random
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from invented import prose
 from missive.llm import neardup
-from missive.llm.neardup import components, near_duplicates, registers, shingle_set, similarity
+from missive.llm.neardup import components, near_duplicates, registers, similarity
+
+
+def shingles(text, n):
+    """The set by the definition: tuples of words."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
 def brute(rows, n, percent):
-    sets = {i: set(shingle_set(t or "", n).tolist()) for i, t in rows}
-    root = {i: i for i in sets}
+    """Components by comparing all with all that share a shingle."""
+    sets, having, root = {i: shingles(t, n) for i, t in rows}, defaultdict(list), {}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= percent * len(sets[a] | sets[b]):
+    for a in sorted(sets):
+        root[a], common = a, Counter()
+        for s in sets[a]:
+            common.update(having[s])
+            having[s].append(a)
+        for b, both in common.items():
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (find(i), len(s)) for i, s in sets.items()}
@@ -47,8 +59,7 @@ def test_components_equal_brute_force(spark):
     assert got == {i: (c, n, c == i) for i, (c, n) in brute(rows, 2, 80).items()}
 
 
-def test_five_words_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
+def test_five_words_and_one_star_round(spark, monkeypatch):
     monkeypatch.setattr(neardup, "STAR_ROUNDS", 1)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -56,6 +67,46 @@ def test_five_words_and_blocks(spark, monkeypatch):
     assert got == {i: c for i, (c, _) in brute(rows, 5, 80).items()}
 
 
+def family(n, seed=3):
+    """Copies of one text with 0 to 12 words changed: many linked, many just not."""
+    r = random.Random(seed)
+    base, rows = prose(seed, 75).split(), []
+    for _ in range(n):
+        words = list(base)
+        for at in r.sample(range(75), r.randrange(13)):
+            words[at] = f"edit{r.randrange(40)}"
+        rows.append(" ".join(words))
+    return list(enumerate(rows))
+
+
+def test_a_family_of_near_copies_makes_no_pairs(spark, monkeypatch):
+    """Components equal brute force; comparisons grow with the copies and not with their square."""
+    made, estimated = [], neardup._estimated
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return estimated(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_estimated", counted)
+    comparisons = {}
+    for n in (150, 600):
+        rows, made[:] = family(n), []
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+        assert got == {i: c for i, (c, _) in brute(rows, 2, 80).items()}
+        comparisons[n] = sum(made)
+    assert comparisons[600] < 600**2 / 20 and comparisons[600] < 8 * comparisons[150], comparisons
+
+
+def test_whole_test_table_equals_brute_force(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the test tables aren't here")
+    docs = spark.read.parquet(path)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in near_duplicates(docs, 2, 80).collect()}
+    assert got == brute(rows, 2, 80)
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     rows = near_duplicates(odd_docs, 2, 80).collect()
     assert len(rows) == odd_docs.count()
