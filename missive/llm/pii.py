@@ -3,19 +3,21 @@
 Everything here is DataFrame expressions. Positions of matches come from marking
 them in the text with a control character and adding up the lengths of the pieces;
 where the text holds that character itself, another one stands in for it, which no
-pattern knows.
+pattern knows. Running totals go block by block, so that the work on a text is
+linear in its length and its matches.
 
 Base spans are the leftmost matches of four shapes that pass their check (``BASE``).
 They are the seeds. Bootstrapping: the words around a seed make lexical patterns
-(two words before; one before and one after; one before). Looser shapes of the same
-kinds (``LOOSE``: obfuscated addresses, numbers without the country sign, ...) are
-candidates where they don't overlap a base span. Patterns and values form a graph;
-in each round a pattern's confidence is the share of its distinct
-values that are known, and a candidate that at least ``SUPPORT`` patterns of enough
-confidence and ``SEEDS`` known values extract becomes known itself, and so supports
-patterns in the next round. Rounds end when one finds nothing new; each takes values
-out of a finite number of candidates. The graph has one edge per distinct pattern and value and
-is aggregated before each shuffle; no text is shuffled.
+(two words before; one before and one after; one before). Every place in the corpus with digits, an
+at sign or a spelt-out one is a slot, whatever its shape; what a learned pattern
+surrounds in a slot is its instance, if it is at all possible as the kind (``POSSIBLE``: enough
+digits, say). Patterns and instances form a graph; in each round a pattern's
+confidence is the share of its distinct instances that are known, and an instance that
+at least ``SUPPORT`` patterns of enough confidence and ``SEEDS`` known instances extract becomes
+known itself, and so supports patterns in the next round, and makes more patterns
+learned. Rounds end when one finds nothing new; each takes values out of a finite
+number. The graph has one edge per distinct pattern and instance and is aggregated
+before each shuffle; no text is shuffled.
 
 Null and empty texts have no spans. Repeated rows are each reported. Text of any
 length is read as a whole. Columns other than id and text aren't read.
@@ -30,8 +32,6 @@ from missive.llm.common import dropped, stored, text_of
 
 KINDS = ["email", "ip", "card", "phone"]
 SUPPORT, SEEDS, CONFIDENCE = 2, 3, 0.8
-#: characters before and after a span in which its context words are looked for
-WINDOW = 48
 
 #: the shapes with possessive repeats (the parts can't match otherwise) and starts
 #: only where a match can begin, so that a search takes linear time and no deep stack
@@ -43,30 +43,64 @@ BASE = {
 }
 #: what a text must show before it is searched
 HINT = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-LOOSE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[\[({<] ?at ?[\])}>] ?[a-z0-9-]{1,64}+(?:(?:\.| ?[\[({<] ?dot ?[\])}>] ?)[a-z0-9-]{1,64}+)+",
-    "ip": r"(?i)(?<![0-9a-f:.])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:.])|(?<![0-9.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9.])",
-    "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{4}[._/]){3}[0-9]{4}(?![0-9A-Za-z.-])|(?<![0-9A-Za-z.-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z+().-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[.-][0-9])",
+#: a slot: words with digits or an at sign, taken together where digits follow digits, or words around a spelt-out at sign
+_AT, _DOT = r"[ ]?[\[({<]\s?at\s?[\])}>][ ]?", r"[ ]?[\[({<]\s?dot\s?[\])}>][ ]?"
+SLOT = rf"(?<!\S)(?:[^\s\[({{<@]++{_AT}[^\s\[({{<]++(?:{_DOT}[^\s\[({{<]++)*+|[^\s0-9@]*+[0-9@]\S*+(?:[ ][(]?[0-9][0-9().\[\]-]*+(?!\S))*+)"
+SLOT_HINT = r"[0-9@]|[\[({<]\s?(?i:at)\s?[\])}>]"
+_EDGES = " .,;:!?'\"*#$%&|<>=/\\"
+
+
+def _digits(value: Column) -> Column:
+    return F.length(F.regexp_replace(value, "[^0-9]", ""))
+
+
+#: whether a slot's value can be an instance of the kind at all
+POSSIBLE = {
+    "email": lambda v: v.rlike(r"(?i)[^\s@]@[^\s@]|[^\s][ ]?[\[({<]\s?at\s?[\])}>]"),
+    "ip": lambda v: v.rlike(r"(?i)^[0-9a-f]{1,4}(?:(?:[.:]|\[[.:]\])[0-9a-f]{1,4}){3,7}$"),
+    "card": lambda v: _digits(v).between(13, 19) & ~v.rlike(r"\p{L}"),
+    "phone": lambda v: _digits(v).between(7, 15) & ~v.rlike(r"\p{L}"),
 }
-LOOSE_HINT = {"email": r"(?i)[\[({<] ?at ?[\])}>]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]|[0-9]\[\.\][0-9]", "card": r"[0-9]{4}[._/][0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}", "phone": r"[0-9][) .-]{1,2}[0-9]{3,4}[ .-][0-9]{3}"}
 
-SPAN = "array<struct<start:int,end:int,value:string>>"
 MENTION = "array<struct<kind:string,start:int,end:int,value:string,patterns:array<string>,known:boolean>>"
+BLOCK, PIECE = 256, 256
 
 
-def matches(text: Column, pattern: str, hint: str) -> Column:
-    """Start, end (code points, end exclusive) and value of the leftmost non-overlapping matches."""
-    marked = F.regexp_replace(F.translate(text, "\x01", "\x02"), F.lit(pattern), F.lit("\x01$0\x01"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(SPAN).alias("found"))
+def running(values: Column, step) -> Column:
+    """The running results of step(total, value), from 0, of an array of integers; linear, as no list is grown beyond a block."""
 
-    def step(a: Column, part: Column) -> Column:
-        after = a["at"] + F.char_length(part)
-        span = F.struct(a["at"].alias("start"), after.alias("end"), part.alias("value"))
-        return F.struct(after.alias("at"), (~a["inside"]).alias("inside"), F.when(a["inside"], F.concat(a["found"], F.array(span))).otherwise(a["found"]).alias("found"))
+    def scan(items: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("made"))
+        return F.aggregate(items, start, lambda a, v: F.struct(step(a["at"], v).alias("at"), F.concat(a["made"], F.array(step(a["at"], v))).alias("made")), lambda a: a["made"])
 
-    found = F.aggregate(F.split(marked, "\x01", -1), start, step, lambda a: a["found"])
-    return F.when(text.rlike(hint), found).otherwise(F.array().cast(SPAN))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK)))
+    ends = scan(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), step)), F.lit(0))
+    firsts = F.concat(F.array(F.lit(0)), ends)
+    made = F.zip_with(blocks, F.slice(firsts, F.lit(1), F.size(ends)), scan)
+    return F.when(F.size(values) > 0, F.flatten(made)).otherwise(F.array().cast("array<int>"))
+
+
+def with_matches(rows: DataFrame, found: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add, for each name with (pattern, hint), the leftmost non-overlapping matches of ``text``.
+
+    A match has start, end (code points, end exclusive), value, and the text before and after it,
+    two matches back and one ahead at the furthest, so that all its texts together are a few
+    times the text. Only texts that show the hint are searched.
+    """
+    names, none = list(found), F.array().cast("array<string>")
+    rows = rows.withColumn("_clean", F.translate("text", "\x01", "\x02"))
+    parts = {f"_p_{n}": F.when(F.col("text").rlike(hint), F.split(F.regexp_replace("_clean", F.lit(pattern), F.lit("\x01$0\x01")), "\x01", -1)).otherwise(none) for n, (pattern, hint) in found.items()}
+    rows = rows.withColumns(parts).drop("_clean")
+    rows = rows.withColumns({f"_l_{n}": F.transform(f"_p_{n}", lambda p: F.char_length(p)) for n in names})
+    rows = rows.withColumns({f"_e_{n}": running(F.col(f"_l_{n}"), lambda a, v: a + v) for n in names})
+
+    def spans(n: str) -> Column:
+        p, e = F.col(f"_p_{n}"), F.col(f"_e_{n}")
+        span = lambda i: F.struct(F.get(e, 2 * i).alias("start"), F.get(e, 2 * i + 1).alias("end"), F.get(p, 2 * i + 1).alias("value"), F.concat_ws("", *(F.get(p, 2 * i - k) for k in (3, 2, 1, 0))).alias("before"), F.concat_ws("", F.get(p, 2 * i + 2), F.get(p, 2 * i + 3)).alias("after"))
+        k = F.floor(F.size(p) / 2).cast("int")
+        return F.transform(F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>")), span)
+
+    return rows.withColumns({n: spans(n) for n in names}).drop(*(f"_{x}_{n}" for n in names for x in "ple"))
 
 
 def luhn(digits: Column) -> Column:
@@ -99,34 +133,36 @@ def _of_kind(kind: str):
     return lambda span: span["known"] & (span["kind"] == kind)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """Per kind the base spans, by start."""
-    out = {}
-    for kind in KINDS:
-        found = matches(text, BASE[kind], HINT[kind])
-        out[kind] = found if kind == "email" else F.filter(found, _check(kind))
-    return out
+def _slot(span: Column) -> Column:
+    """A slot without the signs at its edges."""
+    left = F.ltrim(span["value"], F.lit(_EDGES))
+    start = (span["start"] + F.char_length(span["value"]) - F.char_length(left)).cast("int")
+    value = F.rtrim(left, F.lit(_EDGES))
+    return F.struct(start.alias("start"), (start + F.char_length(value)).cast("int").alias("end"), value.alias("value"), span["before"].alias("before"), span["after"].alias("after"))
+
+
+def _patterns(span: Column) -> Column:
+    """The lexical patterns of a span: words before and after it, lower-cased, without outer signs."""
+    word = r"[^\p{L}\p{N}]*+([\p{L}\p{N}]++)"
+    back = F.reverse(F.lower(span["before"]))
+    one, two = (F.reverse(F.nullif(F.regexp_extract(back, f"^{word}(?:{word})?", k), F.lit(""))) for k in (1, 2))
+    next_ = F.nullif(F.regexp_extract(F.lower(span["after"]), f"^{word}", 1), F.lit(""))
+    made = F.array(F.concat(F.lit("2 "), two, F.lit(" "), one), F.concat(F.lit("lr "), one, F.lit(" _ "), next_), F.concat(F.lit("1 "), one))
+    return F.filter(made, lambda p: p.isNotNull())
 
 
-def _patterns(text: Column, span: Column) -> Column:
-    """The lexical patterns of a span: words before and after it, lower-cased, without outer punctuation."""
-    before = F.substring(text, F.greatest(span["start"] - WINDOW, F.lit(0)) + 1, F.least(span["start"], F.lit(WINDOW)))
-    after = F.substring(text, span["end"] + 1, F.lit(WINDOW))
-    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s]+", " "), r"\s+"), lambda w: w != "")
-    left, right = words(before), words(after)
-    one, two, next_ = F.get(left, F.size(left) - 1), F.get(left, F.size(left) - 2), F.get(right, F.lit(0))
-    made = F.array(F.concat_ws(" ", F.lit("2"), two, one), F.concat(F.lit("lr "), one, F.lit(" _ "), next_), F.concat(F.lit("1 "), one))
-    return F.filter(made, lambda p: p.isNotNull() & (p != "2"))
+def _mention(kind: str, known: bool):
+    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), _patterns(s).alias("patterns"), F.lit(known).alias("known"))
 
 
-def _mentions(text: Column, spans: dict[str, Column], known: bool) -> Column:
-    def mention(kind: str):
-        return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), _patterns(text, s).alias("patterns"), F.lit(known).alias("known"))
+def _possible(kind: str):
+    return lambda s: POSSIBLE[kind](s["value"]) & ~F.coalesce(_valid_whole(kind, s["value"]), F.lit(False))
 
-    parts = []
-    for kind in KINDS:
-        parts.append(F.transform(spans[kind], mention(kind)))
-    return F.concat(*parts).cast(MENTION)
+
+def _valid_whole(kind: str, value: Column) -> Column:
+    """Whether a value as a whole is a base span of the kind."""
+    shape = BASE[kind].replace(r"(?:\G|(?<![A-Za-z0-9._%+-]))", "").replace("(?<![0-9])", "")
+    return value.rlike(f"^(?:{shape})$") & _valid(kind, value)
 
 
 def _joined(kinds_spans: Column) -> Column:
@@ -137,31 +173,28 @@ def _joined(kinds_spans: Column) -> Column:
 
 
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """(row, doc_id, found): base spans (known) and candidates of each document, as a written table.
+    """(row, doc_id, found): base spans (known) and possible instances in slots of each document, as a written table.
 
     With ``carry`` the row's own columns come along as the struct ``doc``.
     """
     own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if carry else []
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), *own)
-    own = ["doc"] if carry else []
-    text = F.col("text")
-    base = base_spans(text)
-    rows = rows.select("row", "doc_id", "text", *own, *(base[k].alias(f"b_{k}") for k in KINDS))
-    rows = rows.withColumn("base", _mentions(text, {k: F.col(f"b_{k}") for k in KINDS}, True))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    loose = {k: F.filter(matches(text, LOOSE[k], LOOSE_HINT[k]), free) for k in KINDS}
-    rows = rows.select("row", "doc_id", *own, "base", *(loose[k].alias(f"l_{k}") for k in KINDS), "text")
-    more = _mentions(text, {k: F.col(f"l_{k}") for k in KINDS}, False)
-    return stored(rows.select("row", "doc_id", *own, F.concat("base", more).alias("found")), "mentions")
+    # a base match that fails its check is a slot too
+    every = "|".join([BASE["email"], BASE["ip"], BASE["phone"], BASE["card"], SLOT])
+    rows = with_matches(rows, {f"b_{k}": (BASE[k], HINT[k]) for k in KINDS} | {"slots": (every, SLOT_HINT)})
+    rows = rows.withColumns({f"b_{k}": F.filter(f"b_{k}", _check(k)) for k in KINDS if k != "email"} | {"slots": F.transform("slots", _slot)})
+    base = [F.transform(f"b_{k}", _mention(k, True)) for k in KINDS]
+    more = [F.transform(F.filter("slots", _possible(k)), _mention(k, False)) for k in KINDS]
+    return stored(rows.select("row", "doc_id", *(["doc"] if carry else []), F.concat(*base, *more).cast(MENTION).alias("found")), "mentions")
 
 
 def discovered(found: DataFrame) -> DataFrame | None:
     """(kind, value) of the candidates that bootstrapping makes known; None if there is none."""
     flat = found.select(F.inline("found"))
-    graph = flat.select("kind", "value", "known", F.explode("patterns").alias("pattern"))
     if flat.filter(~F.col("known")).isEmpty():
         return None
-    graph = stored(graph.groupBy("kind", "pattern", "value").agg(F.bool_or("known").alias("known")), "graph")
+    edges = flat.select("kind", "value", "known", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "value").agg(F.bool_or("known").alias("known"))
+    graph = stored(edges, "graph")
     new = None
     while True:
         score = graph.groupBy("kind", "pattern").agg(F.count_if("known").alias("seeds"), F.count("*").alias("values"))
@@ -216,13 +249,22 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         every = F.concat(every, F.coalesce(plain(F.col("added")), plain(F.filter("found", lambda s: F.lit(False)))))
     out = out.withColumn("__spans", F.array_sort(every))
 
-    def put(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        mark = F.when(s["start"] >= a["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["made"], gap, mark).alias("made"))
+    # the text in short pieces, so that no gap is looked for from the text's start
+    out = out.withColumns({"__pieces": F.when(F.size("__spans") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))), "__ends": F.transform("__spans", lambda s: s["end"])})
+    out = out.withColumn("__upto", running(F.col("__ends"), lambda a, v: F.greatest(a, v)))
+    pieces, upto = F.col("__pieces"), F.col("__upto")
+
+    def between(a: Column, b: Column) -> Column:
+        i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+        inner = F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        return F.when(i == j, F.substring(piece(i), a % PIECE + 1, b - a)).otherwise(F.concat(F.substring(piece(i), a % PIECE + 1, F.lit(PIECE)), inner, F.substring(piece(j), F.lit(1), b % PIECE)))
+
+    def put(s: Column, i: Column) -> Column:
+        at = F.when(i > 0, F.get(upto, i - 1)).otherwise(0)
+        return F.when(s["start"] >= at, F.concat(between(at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("made"))
-    whole = F.aggregate("__spans", start, put, lambda a: F.concat(a["made"], F.substring(text, a["at"] + 1, F.length(text))))
+    whole = F.concat(F.array_join(F.transform("__spans", put), ""), between(F.element_at(upto, -1), F.char_length(text)))
     new = F.when(F.size("__spans") > 0, whole).otherwise(text)
     out = out.withColumn("__text", new)
     doc = F.col("doc")
