@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import GenerationCache, text_of, worker_state
+from missive.llm.common import GenerationCache, gathered, text_of, word_chunks, worker_state
 from missive.llm.tokens import load_tokenizer
 
 CAPACITY = 4096
@@ -72,21 +72,31 @@ class Encoder:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def word(self, word: str) -> bytes:
+        if word.isascii():
+            if word.isalpha():
+                return self.parts[word.lower()]
+            if word[:-1].isalpha():  # letters and one sign or digit
+                return self.parts[word[:-1].lower()] + self.parts[word[-1]]
         if _PLAIN.fullmatch(word):
             return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
         return self.whole(word)
 
     def part(self, part: str) -> bytes:
-        spelt = part.encode().decode("latin-1").translate(self.letters)
+        spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
         ids = array.array("I", [t.id for t in self.merges.tokenize(spelt)])
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        if _WHOLE.search(text):
-            return self.whole(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+    def many(self, texts: list[str]):
+        """The ids of each text. Words are looked up once for a run of texts."""
+        plain, done = ["" if _WHOLE.search(t) else t for t in texts], 0
+        for words, codes, counts in word_chunks(plain, str.split):
+            ids, _, ends = gathered(list(map(self.words.__getitem__, words)), codes, counts)
+            last = 0
+            for end in ends.tolist():
+                yield ids[last:end].tobytes() if texts[done] == plain[done] else self.whole(texts[done])
+                last, done = end, done + 1
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -196,8 +206,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
 
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += packer.add(doc, encode(text) + end)
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist())):
+                rows += packer.add(doc, ids + end)
             yield table(rows)
         yield table(list(packer.finish()))
 
