@@ -6,16 +6,11 @@ texts. Models are fitted on the labelled rows of the original tables.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.llm import compression, neardup, packing, pii, quality
-from missive.llm.common import shared_dir, stored, table
-
-#: the classifier's stage lets go of what it gives less than this chance of being good
-LEAST_SCORE = 0.2
+from missive.llm.common import dropped, scratch, stored, table
 
 
 def _back(judged: DataFrame, docs: DataFrame) -> DataFrame:
@@ -30,9 +25,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier doesn't call bad."""
+    """Documents that the compression classifier calls good."""
     model = compression.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _back(compression.score(docs, model, carry=tuple(docs.columns)).filter(F.col("score") >= LEAST_SCORE), docs)
+    return _back(compression.score(docs, model, carry=tuple(docs.columns)).filter("predicted = 1"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,12 +71,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; between stages the kept rows are written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs.write.parquet(f"{root}/{i}-{name}")
-            docs = spark.read.parquet(f"{root}/{i}-{name}")
-    return docs
+    """Apply the stages to ``documents``; between stages the kept rows are written and read again.
+
+    A stage's own tables, and what it read, go once its rows are written.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with scratch() as result:
+            docs = result(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            dropped(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
