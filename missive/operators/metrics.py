@@ -33,7 +33,21 @@ def confusion(rows: DataFrame, examples: int = 3, key: str = "message_id") -> Da
 def ranking(hits: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     """One row: recall at k, mean reciprocal rank and nDCG at k of hits (query_id, doc_id, rank) against relevant (query_id, doc_id)."""
     n = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    top = hits.filter(F.col("rank") <= k).join(relevant, ["query_id", "doc_id"], "left_semi")
+    return _ranking(n, hits.filter(F.col("rank") <= k).join(relevant, ["query_id", "doc_id"], "left_semi"), k)
+
+
+def ranking_by_label(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """``ranking`` where a document is relevant to a query of its own label: (query_id, label), (doc_id, label).
+
+    Labels are counted and looked up for the hits; no pairs of a label's rows are made.
+    """
+    size = docs.groupBy("label").agg(F.count("*").alias("n_relevant"))
+    n = queries.join(size, "label").select("query_id", "n_relevant")
+    top = hits.filter(F.col("rank") <= k).join(queries, "query_id").join(docs.withColumnRenamed("label", "_own"), "doc_id")
+    return _ranking(n, top.filter(F.col("label") == F.col("_own")), k)
+
+
+def _ranking(n: DataFrame, top: DataFrame, k: int) -> DataFrame:
     got = top.groupBy("query_id").agg(F.count("*").alias("found"), F.min("rank").alias("first"), F.sum(1.0 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_relevant", F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1.0))
     per = n.join(got, "query_id", "left").select(F.coalesce(F.col("found") / F.col("n_relevant"), F.lit(0.0)).alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"), F.coalesce(F.col("dcg") / ideal, F.lit(0.0)).alias("ndcg"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,12 @@ class Index:
         hits = terms.join(vectors.withColumnRenamed("weight", "q"), "term")
         return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("weight")).alias("score"), F.sort_array(F.collect_list("term")).alias("matched_terms"))
 
+    def _rescored(self, picked: DataFrame, vectors: DataFrame) -> DataFrame:
+        """Exact scores of the (query_id, doc_id) in ``picked`` alone: only their documents' terms are read."""
+        terms = picked.select("query_id", "doc_id").join(self.terms, "doc_id").withColumnRenamed("weight", "w")
+        hits = terms.join(vectors, ["query_id", "term"])
+        return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("w")).alias("score"), F.sort_array(F.collect_list("term")).alias("matched_terms"))
+
     def exact(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, rank, doc_id, score, matched_terms): cosine against every document."""
         return ranked(self._scored(self.query_vectors(queries), self.terms), k)
@@ -100,7 +108,7 @@ class Index:
         picked = self.candidates(vectors, depth)
         if semantic is not None:
             picked = picked.unionByName(semantic.select("query_id", "doc_id")).distinct()
-        lexical = self._scored(vectors, self.terms)
+        lexical = self._rescored(picked, vectors)
         out = picked.join(lexical, ["query_id", "doc_id"], "left").withColumns({"lexical": F.coalesce("score", F.lit(0.0)), "matched_terms": F.coalesce("matched_terms", F.array().cast("array<string>"))})
         if semantic is None:
             out = out.withColumn("semantic", F.lit(0.0))
@@ -109,6 +117,23 @@ class Index:
         out = out.withColumn("score", F.col("lexical") + tiebreak * F.col("semantic")).filter("score > 0")
         return ranked(out, k)
 
+    def adaptive(self, queries: DataFrame, k: int, vector_queries: DataFrame, vectors: DataFrame, always: bool = False) -> DataFrame:
+        """``hybrid``, with a vector scan for the queries of which the postings find fewer than k candidates, or for all.
+
+        ``vector_queries`` (query_id, q) and ``vectors`` (doc_id, v) are quantised. Which
+        queries need the scan is a semi-join, so the others cost nothing there.
+        """
+        found = self.candidates(self.query_vectors(queries)).groupBy("query_id").agg(F.count("*").alias("n"))
+        poor = queries.select("query_id").join(found.filter(F.col("n") >= k), "query_id", "left_anti")
+        asked = vector_queries if always else vector_queries.join(poor, "query_id", "left_semi")
+        return self.hybrid(queries, k, dense_candidates(asked, vectors))
+
+    def footprint(self) -> DataFrame:
+        """One row: bytes that postings and statistics take, by the sizes of their values."""
+        posting = F.octet_length("term") + 16
+        size = self.terms.agg(F.count("*").alias("postings"), F.coalesce(F.sum(posting), F.lit(0)).cast("long").alias("posting_bytes"))
+        return size.crossJoin(self.stats.agg(F.count("*").alias("vocabulary"), F.coalesce(F.sum(posting), F.lit(0)).cast("long").alias("vocabulary_bytes")))
+
     def profile(self) -> DataFrame:
         """One row: documents, vocabulary, postings and pruned terms."""
         n = self.stats.join(self.pruned().withColumn("cut", F.lit(True)), "term", "left")
@@ -149,19 +174,75 @@ def dense_candidates(queries: DataFrame, vectors: DataFrame, depth: int = RERANK
 
     ``queries`` (query_id, q) and ``vectors`` (doc_id, v) hold quantised vectors. Queries
     are dealt by a hash of their id to blocks of about ``block`` rows, one of which at a
-    time is broadcast; the result is the union over the blocks.
+    time is broadcast; the result is the union over the blocks. Codes of one length.
     """
     blocks = max(1, -(-queries.count() // block))
-    if blocks == 1:
-        return _nearest(queries, vectors, depth, dims)
     dealt = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     return reduce(DataFrame.unionAll, (_nearest(queries.filter(dealt == i), vectors, depth, dims) for i in range(blocks)))
 
 
+class _Best:
+    """The ``depth`` nearest of each query among the rows seen so far: by coarse product, then the larger doc_id."""
+
+    def __init__(self, codes: np.ndarray, scales: np.ndarray, depth: int, dims: int):
+        self.codes, self.scales, self.depth, self.dims = codes.astype(np.float64), scales, depth, dims
+        self.floor = np.full(len(codes), -np.inf)
+        self.q, self.coarse, self.doc, self.semantic = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0)
+
+    def add(self, docs: np.ndarray, codes: np.ndarray, scales: np.ndarray) -> None:
+        coarse = codes[:, : self.dims] @ self.codes[:, : self.dims].T
+        row, q = np.nonzero(coarse >= self.floor[None, :])
+        whole = np.einsum("ij,ij->i", codes[row], self.codes[q])
+        self.q = np.concatenate([self.q, q])
+        self.coarse = np.concatenate([self.coarse, coarse[row, q]])
+        self.doc = np.concatenate([self.doc, docs[row]])
+        self.semantic = np.concatenate([self.semantic, whole * self.scales[q] * scales[row]])
+        order = np.lexsort((-self.doc, -self.coarse, self.q))
+        first = np.searchsorted(self.q[order], np.arange(len(self.codes)))
+        rank = np.arange(len(order)) - first[self.q[order]]
+        kept = order[rank < self.depth]
+        self.q, self.coarse, self.doc, self.semantic = self.q[kept], self.coarse[kept], self.doc[kept], self.semantic[kept]
+        n = np.bincount(self.q, minlength=len(self.codes))
+        last = np.cumsum(n) - 1
+        self.floor = np.where(n == self.depth, self.coarse[last] if len(kept) else -np.inf, -np.inf)
+
+
 def _nearest(queries: DataFrame, vectors: DataFrame, depth: int, dims: int) -> DataFrame:
-    """``dense_candidates`` of queries few enough to be broadcast."""
-    coarse = code_dot(F.slice("q.codes", 1, dims), F.slice("v.codes", 1, dims))
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "doc_id", coarse.alias("coarse"), "q", "v")
+    """``dense_candidates`` of a block of queries: a task sends at most ``depth`` rows a query on."""
+    rows = queries.select("query_id", F.transform("q.codes", lambda c: c.cast("int")).alias("codes"), F.col("q.scale").alias("scale")).collect()
+    if not rows:
+        return queries.sparkSession.createDataFrame([], "query_id long, doc_id long, semantic double")
+    ids = np.array([r["query_id"] for r in rows], np.int64)
+    shared = queries.sparkSession.sparkContext.broadcast((ids, np.array([r["codes"] for r in rows]), np.array([r["scale"] for r in rows], float)))
+
+    def run(batches):
+        ids, codes, scales = shared.value
+        best = _Best(codes, scales, depth, dims)
+        for batch in batches:
+            lists = batch.column(1)
+            v = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, codes.shape[1]).astype(np.float64)
+            docs, scale = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for i in range(0, len(batch), 1024):
+                best.add(docs[i : i + 1024], v[i : i + 1024], scale[i : i + 1024])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.doc), pa.array(best.coarse), pa.array(best.semantic)], ["query_id", "doc_id", "coarse", "semantic"])
+
+    width = F.size("v.codes") == len(rows[0]["codes"])
+    slim = vectors.filter(width).select(F.col("doc_id").cast("long"), F.col("v.codes").alias("codes"), F.col("v.scale").alias("scale"))
+    near = slim.mapInArrow(run, "query_id long, doc_id long, coarse double, semantic double")
     order = Window.partitionBy("query_id").orderBy(F.desc("coarse"), F.desc("doc_id"))
-    near = pairs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= depth)
-    return near.select("query_id", "doc_id", quantised_dot(F.col("q"), F.col("v")).alias("semantic"))
+    return near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= depth).select("query_id", "doc_id", "semantic")
+
+
+def agreement(a: DataFrame, b: DataFrame, least: float | None = None) -> DataFrame:
+    """One row: mean and worst cosine of two embeddings (id, vector) of the same rows.
+
+    With ``least`` a mean below it raises ValueError: the smaller form isn't good enough.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    both = a.select("id", F.col("vector").alias("x")).join(b.select("id", F.col("vector").alias("y")), "id")
+    size = F.sqrt(dot(F.col("x"), F.col("x"))) * F.sqrt(dot(F.col("y"), F.col("y")))
+    cosine = F.when(size > 0, dot(F.col("x"), F.col("y")) / size).otherwise(0.0)
+    out = both.select(cosine.alias("c")).agg(F.count("*").alias("n"), F.avg("c").alias("mean_cosine"), F.min("c").alias("worst_cosine"))
+    if least is not None and ((mean := out.head()["mean_cosine"]) is None or mean < least):
+        raise ValueError(f"the embeddings agree with a mean cosine of {mean}, below {least}")
+    return out

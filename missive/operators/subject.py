@@ -52,23 +52,37 @@ def accepted(shared: Column, mass_a: Column, mass_b: Column, n_shared: Column, a
     return F.when(any_specific & same & ((n_shared > 1) | lone_is_distinctive), F.round(0.5 * cosine + 0.5 * containment, 4))
 
 
+def _ordered(rows: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """``weighed`` tokens with the row's ``mass`` and whether a token is ``leading``.
+
+    A match shares at least COSINE_ACCEPT of the smaller mass. With a row's tokens in
+    order of falling idf, those from which on less than that remains can't be the first
+    that a match shares; the others lead.
+    """
+    rows = weighed(rows.withColumnRenamed("id", key), idf, key, F.col("tokens"))
+    own = Window.partitionBy(key)
+    left = F.sum("idf").over(own.orderBy("idf", F.desc("token")).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumns({"mass": F.sum("idf").over(own), "_left": left}).withColumn("leading", F.col("_left") >= COSINE_ACCEPT * F.col("mass") * (1 - 1e-9)).drop("_left")
+
+
 def subject_pairs(left: DataFrame, right: DataFrame, idf: DataFrame) -> DataFrame:
     """(a, b, score, shared) of the signatures (id, tokens) that match.
 
-    Only signatures that share a token can match, so the join is on tokens. The
-    most frequent tokens make the most pairs; their pairs are merged before the
-    score is taken, and a token alone only counts if it is rare.
+    Candidates are joined on the leading tokens of the signature of smaller mass, which
+    are its rarest; what all their tokens share is then summed for candidates alone, and
+    a token alone only counts if it is rare.
     """
+    a, b = _ordered(left, idf, "a"), _ordered(right, idf, "b")
+    small_a = a.filter("leading").select("a", "token", F.col("mass").alias("mass_a")).join(b.select("b", "token", F.col("mass").alias("mass_b")), "token").filter("mass_a <= mass_b")
+    small_b = a.select("a", "token", F.col("mass").alias("mass_a")).join(b.filter("leading").select("b", "token", F.col("mass").alias("mass_b")), "token").filter("mass_b <= mass_a")
+    pairs = small_a.unionByName(small_b).groupBy("a", "b").agg(F.first("mass_a").alias("mass_a"), F.first("mass_b").alias("mass_b"))
     generic = F.col("token").isin(T.GENERIC_HEADS)
-    a = weighed(left.withColumnRenamed("id", "a"), idf, "a", F.col("tokens"))
-    b = weighed(right.withColumnRenamed("id", "b"), idf, "b", F.col("tokens")).select("b", "token")
-    mass = lambda rows, key: weighed(rows.withColumnRenamed("id", key), idf, key, F.col("tokens")).groupBy(key).agg(F.sum("idf").alias(f"mass_{key}"))
-    pairs = a.join(b, "token").groupBy("a", "b").agg(
-        F.sum("idf").alias("shared_mass"), F.count("*").alias("n_shared"), F.bool_or(~generic).alias("specific"), F.bool_or(F.col("df") <= F.col("distinctive_df")).alias("rare"), F.sort_array(F.collect_list("token")).alias("shared")
+    both = pairs.join(a.select("a", "token", "idf", "df", "distinctive_df"), "a").join(b.select("b", "token"), ["b", "token"])
+    both = both.groupBy("a", "b").agg(
+        F.first("mass_a").alias("mass_a"), F.first("mass_b").alias("mass_b"), F.sum("idf").alias("shared_mass"), F.count("*").alias("n_shared"), F.bool_or(~generic).alias("specific"), F.bool_or(F.col("df") <= F.col("distinctive_df")).alias("rare"), F.sort_array(F.collect_list("token")).alias("shared")
     )
-    pairs = pairs.join(mass(left, "a"), "a").join(mass(right, "b"), "b")
     score = accepted(F.col("shared_mass"), F.col("mass_a"), F.col("mass_b"), F.col("n_shared"), F.col("specific"), F.col("rare"))
-    return pairs.select("a", "b", score.alias("score"), "shared").filter("score is not null")
+    return both.select("a", "b", score.alias("score"), "shared").filter("score is not null")
 
 
 def best_match(pairs: DataFrame) -> DataFrame:
