@@ -73,6 +73,8 @@ class Answer:
     evidence: DataFrame
     route: DataFrame
     retrieved: DataFrame
+    #: (kind, group_id, ord, detail): what stands beside the evidence, see ``Assistant.details``
+    details: DataFrame | None = None
 
     def refused(self) -> bool:
         """Whether nothing supports an answer."""
@@ -103,20 +105,24 @@ class Assistant:
 
     def resolve(self, question: str, intent: Intent) -> str | None:
         """The group a question means: by an id in it, by its subject, by its wording, else by what it retrieves."""
+        return self._meant(question, intent)[0]
+
+    def _meant(self, question: str, intent: Intent) -> tuple[str | None, list[str] | None]:
+        """``resolve``'s group, and the words it shares with the question where these decided."""
         led = self.ledger
         for i in intent.ids:
             hit = led.members.filter((F.col("message_id") == i) | (F.col("item_id") == i) | (F.col("group_id") == i)).select("group_id").head()
             if hit:
-                return hit[0]
+                return hit[0], None
         for phrase in filter(None, [intent.subject, question]):
             probe = self.spark.createDataFrame([(0, phrase)], "id long, phrase string").select("id", T.signature(F.col("phrase")).alias("s")).filter("s is not null").select("id", "s.tokens")
             names = led.members.select(F.col("group_id").alias("id"), F.col("subject.tokens").alias("tokens")).distinct()
             best = subject.best_match(subject.subject_pairs(probe, names, led.idf)).head()
             if best:
-                return best["b"]
+                return best["b"], list(best["shared"])
         votes = self._search(question, CONTEXT).filter(F.col("score") >= retrieve.MIN_EVIDENCE).join(led.members.select("message_id", "group_id"), "message_id")
         votes = votes.groupBy("group_id").agg(F.sum("score").alias("v")).orderBy(F.desc("v"), "group_id").take(2)
-        return votes[0]["group_id"] if votes and (len(votes) == 1 or votes[0]["v"] >= 0.6) else None
+        return (votes[0]["group_id"] if votes and (len(votes) == 1 or votes[0]["v"] >= 0.6) else None), None
 
     def evidence(self, question: str, intent: Intent) -> DataFrame:
         """(ord, message_id, score, why, group_id) of what answers the question; no rows: refuse."""
@@ -129,7 +135,45 @@ class Assistant:
         found = found if cap is None else found.filter(F.col("ord") <= cap)
         about = self.ledger.records.select("message_id", "timestamp", "sender", "item_id", routing.may("quote_in_answer").alias("quotable"), "masked_text")
         shown = found.join(about, "message_id", "left").withColumns({"masked_text": F.when(F.col("quotable"), F.col("masked_text")), "withheld": ~F.coalesce("quotable", F.lit(False))}).drop("quotable")
-        return Answer(intent, shown, routing.route_answer(found, self.ledger.records, confirmed), self._search(question, CONTEXT))
+        return Answer(intent, shown, routing.route_answer(found, self.ledger.records, confirmed), self._search(question, CONTEXT), self.details(question, intent, found))
+
+    # -- what stands beside the evidence --------------------------------------
+    def details(self, question: str, intent: Intent, found: DataFrame) -> DataFrame:
+        """(kind, group_id, ord, detail) of an answer.
+
+        ``signal`` and ``history``: what a priority is made of, and its last changes;
+        ``elapsed_time``: subjects that reached a band without a message; ``weak_link``:
+        the question shares a single word with the subject it is taken to mean;
+        ``insufficient``: nothing supports an answer.
+        """
+        rows = found.limit(1).agg(F.count("*").alias("n")).filter("n = 0")
+        rows = rows.select(F.lit("insufficient").alias("kind"), F.lit(None).cast("string").alias("group_id"), F.lit(0).alias("ord"), F.lit("the messages don't support an answer").alias("detail"))
+        if intent.name == "became_priority":
+            target = (intent.bands or ["critical"])[0]
+            late = self._last_changes().filter((F.col("new") == target) & (F.col("trigger") == "elapsed_time"))
+            rows = rows.unionByName(late.select(F.lit("elapsed_time").alias("kind"), "group_id", F.lit(0).alias("ord"), F.concat_ws(" ", F.lit("it became"), F.col("new"), F.lit("as time went by, without a message")).alias("detail")))
+        if intent.name in ("explain_priority", "messages_about", "latest_status", "yes_no_verification"):
+            group, shared = self._meant(question, intent)
+            if group is None:
+                return rows
+            if intent.name == "explain_priority":
+                rows = rows.unionByName(self._signals(group)).unionByName(self._history(group))
+            if shared is not None and len(shared) == 1:
+                weak = self.spark.createDataFrame([("weak_link", group, 0, f'only the word "{shared[0]}" links the question to this subject; name it more fully if another is meant')], rows.schema)
+                rows = rows.unionByName(weak)
+        return rows
+
+    def _signals(self, group: str) -> DataFrame:
+        own = self.ledger.priorities.filter(F.col("group_id") == group).select("group_id", F.posexplode("signals").alias("ord", "s"))
+        return own.select(F.lit("signal").alias("kind"), "group_id", "ord", F.concat(F.col("s.name"), F.format_string(" (%+.2f): ", "s.weight"), F.col("s.detail")).alias("detail"))
+
+    def _history(self, group: str, last: int = 4) -> DataFrame:
+        own = self.ledger.changes.filter(F.col("group_id") == group).withColumn("_n", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("batch_idx")))).filter(F.col("_n") <= last)
+        return own.select(F.lit("history").alias("kind"), "group_id", F.col("batch_idx").cast("int").alias("ord"), F.concat(F.left("as_of", F.lit(10)), F.lit(": "), F.col("previous"), F.lit(" to "), F.col("new"), F.lit(", "), F.col("trigger")).alias("detail"))
+
+    def _last_changes(self) -> DataFrame:
+        led = self.ledger
+        return led.changes.join(led.batches.groupBy("tenant").agg(F.max("batch_idx").alias("batch_idx")), ["tenant", "batch_idx"])
 
     # -- one plan per intent --------------------------------------------------
     def _routed(self, intent: Intent, route: str, why: Column) -> DataFrame:
@@ -143,9 +187,8 @@ class Assistant:
         return self._routed(intent, "confirm_required", F.col("confirmation_prompt"))
 
     def _became_priority(self, question, intent):
-        target, led = (intent.bands or ["critical"])[0], self.ledger
-        now = led.changes.join(led.batches.groupBy("tenant").agg(F.max("batch_idx").alias("batch_idx")), ["tenant", "batch_idx"])
-        now = now.filter((F.col("new") == target) & (F.col("trigger") == "message"))
+        target = (intent.bands or ["critical"])[0]
+        now = self._last_changes().filter((F.col("new") == target) & (F.col("trigger") == "message"))
         crossed = now.filter(F.col("previous") != target)
         picked = now.filter(F.col("score") > F.col("previous_score")) if crossed.isEmpty() else crossed
         return self._rows(picked.select("group_id", "new", F.posexplode("new_message_ids").alias("n", "message_id")), [F.col("group_id"), F.col("n")], F.concat(F.lit("it moved "), F.col("group_id"), F.lit(" to "), F.col("new")))
