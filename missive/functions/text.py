@@ -44,6 +44,11 @@ def rx(pattern: str) -> str:
     return FLAGS + pattern.replace("(?P<", "(?<")
 
 
+def folded(text: Column) -> Column:
+    """Lower case, with the letters that patterns without regard to case also take for s, i and k."""
+    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+
+
 def found(text: Column, pattern: str) -> Column:
     return text.rlike(rx(pattern))
 

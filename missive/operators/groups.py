@@ -167,7 +167,7 @@ class _Lifecycle:
 
     def __init__(self):
         self.s: dict = dict.fromkeys(_TEXTS) | dict.fromkeys(_COUNTS, 0) | dict.fromkeys(_FLAGS, False) | {n: [] for n in _LISTS} | {"link_score": 0.0}
-        self.s.update(status="unclear", status_reason="no firm statement has been made about this subject")
+        self.s.update(status="unclear", status_reason="nothing certain was said so far")
         self.branches = {
             "new_task": self._raised, "new_event": self._raised, "progress_update": self._progress, "completion": self._closed,
             "cancellation": self._closed, "reschedule": self._rescheduled, "deadline_change": self._deadline_changed,
@@ -234,8 +234,8 @@ class _Lifecycle:
                     s["deadline_restatements"] += 1
                 else:
                     s.update(n_moves=s["n_moves"] + 1, last_move=direction, last_move_source=m["message_id"], last_move_previous=s["latest_deadline"])
-                    flagged = " and the sender flagged the earlier message as listing another date" if m["conflict_marker"] else ""
-                    self._conflict("deadline_changed", [m["message_id"]], f"the deadline moved from {s['latest_deadline']} to {new} ({direction}){flagged}")
+                    flagged = "; its sender says that another date was given before" if m["conflict_marker"] else ""
+                    self._conflict("deadline_changed", [m["message_id"]], f"due {new} instead of {s['latest_deadline']}, {direction}{flagged}")
             s.update(latest_deadline=new, latest_deadline_source=m["message_id"], pending_relative_deadline=None, pending_relative_source=None)
         elif m["new_date_raw"]:
             raw = m["new_date_raw"] + (f" at {m['new_time']}" if m["new_time"] else "")
@@ -244,28 +244,28 @@ class _Lifecycle:
 
     def _raised(self, m: dict) -> None:
         if not self.s["n_status"]:
-            self._move_to(m, "pending", "the subject was raised as new work")
+            self._move_to(m, "pending", "it came up as new")
         self._set_deadline(m)
 
     def _progress(self, m: dict) -> None:
         if not self.terminal:
-            self._move_to(m, "in_progress", "a message asserts that work has started")
+            self._move_to(m, "in_progress", "somebody says it is under way")
 
     def _closed(self, m: dict) -> None:
         done = m["act"] == "completion"
         to, other = ("completed", "cancelled") if done else ("cancelled", "completed")
         if self.s["status"] == other:
-            detail = "the subject was reported complete after being cancelled" if done else "the subject was cancelled after being reported complete"
+            detail = "called done when it was cancelled already" if done else "called off when it was done already"
             self._conflict(f"{to}_after_{other}", [self.s["status_source"] or "", m["message_id"]], detail, contests=True)
-        self._move_to(m, to, "a message reports the work finished" if done else "a message withdraws the request")
+        self._move_to(m, to, "somebody says it is done" if done else "somebody calls it off")
         self.s["response_required"] = False
 
     def _rescheduled(self, m: dict) -> None:
         s = self.s
         if self.terminal:
-            self._conflict("rescheduled_after_closure", [m["message_id"], s["status_source"] or ""], f"the schedule was changed after the subject was reported {s['status']}", contests=True)
+            self._conflict("rescheduled_after_closure", [m["message_id"], s["status_source"] or ""], f"a new slot was set when it was {s['status']} already", contests=True)
         else:
-            self._move_to(m, "rescheduled", "a message moves the meeting to a new slot")
+            self._move_to(m, "rescheduled", "somebody gives it a new slot")
         for field, new in (("date", m["new_date"]), ("time", m["new_time"])):
             if new:
                 before = s[f"latest_{field}"]
@@ -275,23 +275,23 @@ class _Lifecycle:
 
     def _deadline_changed(self, m: dict) -> None:
         if self.terminal:
-            self._conflict("deadline_changed_after_closure", [m["message_id"], self.s["status_source"] or ""], f"the deadline was changed after the subject was reported {self.s['status']}", contests=True)
+            self._conflict("deadline_changed_after_closure", [m["message_id"], self.s["status_source"] or ""], f"a new deadline was set when it was {self.s['status']} already", contests=True)
         elif not self.s["n_status"]:
-            self._move_to(m, "pending", "the subject carries a deadline and nothing reports it finished")
+            self._move_to(m, "pending", "it has a deadline and is not said to be done")
         self._set_deadline(m)
 
     def _chased(self, m: dict) -> None:
         self.s["chase_count"] += 1
         self.s["response_required"] = True
         if self.terminal:
-            self._conflict("chased_after_closure", [m["message_id"], self.s["status_source"] or ""], f"the subject was chased after it was reported {self.s['status']}, so the two sides disagree about whether any work is outstanding", contests=True)
+            self._conflict("chased_after_closure", [m["message_id"], self.s["status_source"] or ""], f"somebody still asks for it though it is {self.s['status']}", contests=True)
 
     def _hedged(self, m: dict) -> None:
         s = self.s
         if self.terminal or s["n_status"]:
-            self._conflict("hedged_contradiction" if self.terminal else "hedged_note", [m["message_id"]], "a later message hedges about this subject without asserting anything firm, so the recorded status is unchanged")
+            self._conflict("hedged_contradiction" if self.terminal else "hedged_note", [m["message_id"]], "a later message is unsure about it; the status stays")
         else:
-            s.update(status_reason="the only statements made about this subject are hedged, so no firm status can be asserted", status_source=m["message_id"])
+            s.update(status_reason="all that was said about it is unsure", status_source=m["message_id"])
 
     def _act(self, m: dict) -> None:
         s, act = self.s, m["act"]
@@ -299,7 +299,7 @@ class _Lifecycle:
         s["de_escalated"] |= m["de_escalated"]
         if m["alternatives"]:
             s["unresolved_alternatives"] = list(dict.fromkeys([*s["unresolved_alternatives"], *m["alternatives"]]))
-            self._conflict("unresolved_alternatives", [m["message_id"]], f"the sender offered mutually exclusive options ({' or '.join(m['alternatives'])}) without choosing one")
+            self._conflict("unresolved_alternatives", [m["message_id"]], f"left open: {' or '.join(m['alternatives'])}")
         if act in S.CHASE_ACTS:
             self._chased(m)
         elif act == "ambiguous_update":
@@ -349,16 +349,16 @@ def summary_of() -> Column:
     day = F.left("first_seen", F.lit(10))
     at = F.coalesce(s(" (from ", c("latest_deadline_source"), ")"), F.lit(""))
     parts = [
-        F.when(F.coalesce(day, F.lit("")) != "", s("Raised on ", day, " by ", c("first_sender"))).otherwise(s("Raised by ", c("first_sender"))),
-        F.when(c("n_moves") > 0, s("the deadline changed ", n("n_moves"), " time(s) and now stands at ", c("latest_deadline"), at)).when(c("latest_deadline").isNotNull(), s("deadline ", c("latest_deadline"), at)),
-        F.when(c("pending_relative_deadline").isNotNull(), s('the newest deadline was given only as "', c("pending_relative_deadline"), '" in ', c("pending_relative_source"), " and has not been resolved to a date")),
-        F.when(c("latest_date").isNotNull() | c("latest_time").isNotNull(), s("latest schedule ", F.concat_ws(" at ", "latest_date", "latest_time"), F.coalesce(s(" (from ", c("schedule_source"), ")"), F.lit("")))),
-        F.when(c("deadline_restatements") > 0, s(n("deadline_restatements"), " original request(s) restated the subject with a different date")),
-        F.when(c("chase_count") > 0, s("chased ", n("chase_count"), " time(s)")),
-        F.when(c("restatement_count") > 0, s(n("restatement_count"), " restatement(s) of earlier messages")),
-        F.when(c("status") == "completed", s("reported complete in ", c("status_source"))).when(c("status") == "cancelled", s("cancelled in ", c("status_source"))).when(c("status") == "rescheduled", F.lit("currently rescheduled")).when(c("status") == "unclear", F.lit("no firm status has been stated")),
-        F.when(c("contested"), F.lit("the messages contradict each other, so the status is contested")),
-        F.when(F.size("unresolved_alternatives") > 0, s("mutually exclusive options were offered without a choice: ", F.array_join("unresolved_alternatives", " or "))),
+        F.when(F.coalesce(day, F.lit("")) != "", s("First from ", c("first_sender"), " on ", day)).otherwise(s("First from ", c("first_sender"))),
+        F.when(c("n_moves") > 0, s("due ", c("latest_deadline"), " after ", n("n_moves"), " change(s)", at)).when(c("latest_deadline").isNotNull(), s("due ", c("latest_deadline"), at)),
+        F.when(c("pending_relative_deadline").isNotNull(), s('last due "', c("pending_relative_deadline"), '" by ', c("pending_relative_source"), ", which names no date")),
+        F.when(c("latest_date").isNotNull() | c("latest_time").isNotNull(), s("set for ", F.concat_ws(" at ", "latest_date", "latest_time"), F.coalesce(s(" (from ", c("schedule_source"), ")"), F.lit("")))),
+        F.when(c("deadline_restatements") > 0, s(n("deadline_restatements"), " request(s) gave it another date")),
+        F.when(c("chase_count") > 0, s("asked after ", n("chase_count"), " time(s)")),
+        F.when(c("restatement_count") > 0, s(n("restatement_count"), " message(s) said again")),
+        F.when(c("status") == "completed", s("done by ", c("status_source"))).when(c("status") == "cancelled", s("called off by ", c("status_source"))).when(c("status") == "rescheduled", F.lit("in a new slot")).when(c("status") == "unclear", F.lit("no firm status has been stated")),
+        F.when(c("contested"), F.lit("its messages disagree")),
+        F.when(F.size("unresolved_alternatives") > 0, s("left open: ", F.array_join("unresolved_alternatives", " or "))),
     ]
     return F.concat(F.concat_ws("; ", *parts), F.lit("."))
 
@@ -373,7 +373,7 @@ def final_groups(members: DataFrame, states: DataFrame) -> DataFrame:
     implied = (F.col("status") == "unclear") & (F.col("n_status") == 0) & (F.col("n_items") > 0)
     out = out.withColumns(
         {
-            "status_reason": F.when(implied, "an item was extracted for this subject and no later message reports it finished, cancelled or moved").otherwise(F.col("status_reason")),
+            "status_reason": F.when(implied, "it was asked for, and nothing that came later ends or moves it").otherwise(F.col("status_reason")),
             "status_source": F.when(implied, F.col("first_message")).otherwise(F.col("status_source")),
             "status": F.when(implied, "pending").otherwise(F.col("status")),
         }

@@ -32,7 +32,7 @@ def route(rows: DataFrame) -> DataFrame:
     labels = _map(_LABEL_OF)
     out = rows.withColumn("p", policy[action])
     out = out.withColumns({"policy_id": F.col("p.policy_id"), "route": F.col("p.route"), "allowed": F.col("p.allowed")}).drop("p")
-    prompt = F.concat(F.col("message_id"), F.lit(" contains "), F.array_join(F.transform("sensitivity_types", lambda t: labels[t]), ", "), F.lit(". Confirm before its masked content is quoted in an answer or written to a file."))
+    prompt = F.concat(F.col("message_id"), F.lit(" holds "), F.array_join(F.transform("sensitivity_types", lambda t: labels[t]), ", "), F.lit(". Its masked text is quoted or exported only on confirmation."))
     return out.withColumns({"denied": F.array_except(F.array(*map(F.lit, S.OPERATIONS)), "allowed"), "confirmation_prompt": F.when(F.col("route") == "confirm_required", prompt)})
 
 

@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from missive import schema as S
 from missive.operators import acts, classify, extract, groups, model, priority, retrieve, routing, sensitive, subject
 from missive.sources.csv import sequenced
+from missive.sources.tables import removed, written
 
 
-def enriched(messages: DataFrame, artifact: model.Artifact | None = None, people: DataFrame | None = None, gate: bool = False) -> DataFrame:
-    """Mask, route, classify and extract. The raw text is gone after the first step.
+def enriched(messages: DataFrame, artifact: model.Artifact | None = None, people: DataFrame | None = None, gate: bool = False, order: bool = False) -> DataFrame:
+    """Mask, route, classify and extract. The raw text is gone after the first step, before any shuffle.
 
-    ``gate``: extract only where the row's policy allows it.
+    ``gate``: extract only where the row's policy allows it. ``order``: number the messages.
     """
-    rows = routing.route(sensitive.masked(messages))
+    rows = sensitive.masked(messages)
+    rows = routing.route(sequenced(rows) if order else rows)
     rows = classify.with_rules(rows)
     if artifact is not None:
         rows = model.with_predictions(rows, artifact)
@@ -51,21 +53,25 @@ def counts_of(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 @dataclass
 class Ledger:
-    """The tables of a run. Frames are lazy; ``persist`` keeps those that others read."""
+    """The tables of a run.
+
+    Those that others read are written when they are first asked for: each further plan
+    starts from a table and not from the whole grammar. ``unpersist`` removes them.
+    """
 
     messages: DataFrame
     artifact: model.Artifact | None = None
     kept: list[DataFrame] = field(default_factory=list)
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        self.kept.append(df.persist())
-        return df
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.kept.append(written(df, name))
+        return self.kept[-1]
 
     @cached_property
     def records(self) -> DataFrame:
         """One row per message: masked text, findings, route, category, item, act and subject."""
-        rows = acts.with_acts(extract.numbered(enriched(sequenced(self.messages), self.artifact, gate=True)))
-        return self._keep(subject.with_subject(rows))
+        rows = self._keep(enriched(self.messages, self.artifact, gate=True, order=True), "items")
+        return self._keep(subject.with_subject(acts.with_acts(extract.numbered(rows))), "records")
 
     @cached_property
     def batches(self) -> DataFrame:
@@ -74,19 +80,19 @@ class Ledger:
     @cached_property
     def idf(self) -> DataFrame:
         """Subject statistics over all batches."""
-        return self._keep(subject.subject_idf(self.records))
+        return self._keep(subject.subject_idf(self.records), "idf")
 
     @cached_property
     def members(self) -> DataFrame:
-        return self._keep(groups.assign(self.records, self.idf))
+        return self._keep(groups.assign(self.records, self.idf), "members")
 
     @cached_property
     def states(self) -> DataFrame:
-        return self._keep(groups.lifecycle(self.members))
+        return self._keep(groups.lifecycle(self.members), "states")
 
     @cached_property
     def groups(self) -> DataFrame:
-        return self._keep(groups.final_groups(self.members, self.states))
+        return self._keep(groups.final_groups(self.members, self.states), "groups")
 
     @cached_property
     def histories(self) -> dict[str, DataFrame]:
@@ -96,7 +102,7 @@ class Ledger:
     def decisions(self) -> DataFrame:
         """Priority of every group at the end of every batch."""
         at = priority.snapshot_states(self.members, self.states, self.batches)
-        return self._keep(priority.decided(at.withColumn("confidence", groups.group_confidence())))
+        return self._keep(priority.decided(at.withColumn("confidence", groups.group_confidence())), "decisions")
 
     @cached_property
     def changes(self) -> DataFrame:
@@ -160,7 +166,7 @@ class Ledger:
 
     def unpersist(self) -> None:
         for df in self.kept:
-            df.unpersist()
+            removed(df)
         if "index" in self.__dict__:
             self.index.unpersist()
         self.kept.clear()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from missive import schema as S
 from missive.functions import text as T
-from missive.operators import acts, classify, extract, groups, metrics, priority, retrieve, routing, sensitive, subject
+from missive.operators import acts, classify, extract, groups, metrics, priority, reports, retrieve, routing, sensitive, subject
 from missive.plans import ledger as L
 from missive.plans import synth
 from missive.sources.csv import sequenced
@@ -79,7 +79,7 @@ _RULES = (
 # These are kept: a filter on what they compute would else be pushed down to the scan
 # with the whole grammar inlined into it, once for each time a column is used.
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.enriched(sequenced(synth.messages(spark, sf_dir))).persist()
+    return L.enriched(synth.messages(spark, sf_dir), order=True).persist()
 
 
 def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.route(sensitive.masked(sequenced(synth.messages(spark, sf_dir))))
+    return routing.route(sensitive.masked(synth.messages(spark, sf_dir)))
 
 
 # -- layer 1 ------------------------------------------------------------------
@@ -125,7 +125,7 @@ def blocked_ids(spark, sf_dir):
     return _masked(spark, sf_dir).filter("route = 'blocked'").select("message_id")
 
 
-@query(_with() + "SELECT message_id, message_id || ' contains private phone number. Confirm before its masked content is quoted in an answer or written to a file.' AS prompt FROM masked WHERE route = 'confirm_required'")
+@query(_with() + "SELECT message_id, message_id || ' holds a person''s phone number. Its masked text is quoted or exported only on confirmation.' AS prompt FROM masked WHERE route = 'confirm_required'")
 def confirm_ids(spark, sf_dir):
     return _masked(spark, sf_dir).filter("route = 'confirm_required'").select("message_id", F.col("confirmation_prompt").alias("prompt"))
 
@@ -301,12 +301,12 @@ def sender_activity(spark, sf_dir):
 
 @query(_with() + "SELECT message_id, seq FROM masked")
 def chronological_seq(spark, sf_dir):
-    return sequenced(synth.messages(spark, sf_dir)).select("message_id", "seq")
+    return sequenced(sensitive.masked(synth.messages(spark, sf_dir))).select("message_id", "seq")
 
 
 @query(_with() + "SELECT batch_idx, count(*) AS n, min_by(timestamp, seq) AS first_seen, max_by(timestamp, seq) AS last_seen FROM masked GROUP BY batch_idx")
 def batch_meta(spark, sf_dir):
-    return sequenced(synth.messages(spark, sf_dir)).groupBy("batch_idx").agg(F.count("*").alias("n"), F.min_by("timestamp", "seq").alias("first_seen"), F.max_by("timestamp", "seq").alias("last_seen"))
+    return sequenced(sensitive.masked(synth.messages(spark, sf_dir))).groupBy("batch_idx").agg(F.count("*").alias("n"), F.min_by("timestamp", "seq").alias("first_seen"), F.max_by("timestamp", "seq").alias("last_seen"))
 
 
 # -- subjects -----------------------------------------------------------------
@@ -315,7 +315,8 @@ _STEM = (
     "WHEN regexp_matches(w, '[^su]s$') THEN w[:-2] WHEN w LIKE '%ing' AND length(w) > 6 THEN w[:-4] || CASE WHEN regexp_matches(w[:-4], '[ltsvz]$') THEN 'e' ELSE '' END ELSE w END"
 )
 _SUBJECTS = (
-    f"words AS (SELECT DISTINCT p_name, {_STEM} AS token FROM (SELECT p_name, unnest(regexp_extract_all(lower(p_name), '[a-z][a-z0-9'']*')) AS w FROM part)), "
+    "lots AS (SELECT p_partkey, p_name || ' lot' || CAST(p_partkey % 40 AS VARCHAR) AS lot FROM part), names AS (SELECT lot AS p_name FROM lots UNION SELECT regexp_replace(lot, '^\\S+\\s+', '') || ' audit' FROM lots WHERE p_partkey % 3 = 0), "
+    f"words AS (SELECT DISTINCT p_name, {_STEM} AS token FROM (SELECT p_name, unnest(regexp_extract_all(lower(p_name), '[a-z][a-z0-9'']*')) AS w FROM names)), "
     "sigs AS (SELECT p_name, token FROM words WHERE length(token) > 1 AND token NOT IN (" + ", ".join(_lit(w) for w in T.STOPWORDS) + ")), "
     "named AS (SELECT * FROM sigs WHERE p_name IN (SELECT p_name FROM sigs WHERE token NOT IN (" + ", ".join(_lit(w) for w in T.GENERIC_HEADS) + "))), "
     "sets AS (SELECT DISTINCT list_sort(list(token)) AS tokens FROM named GROUP BY p_name), m AS (SELECT count(*) AS n FROM sets), "
@@ -324,8 +325,10 @@ _SUBJECTS = (
 
 
 def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(id, tokens) of the distinct part names, and their token statistics."""
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("id")).distinct().withColumn("subject", T.signature(F.col("id"))).filter("subject is not null")
+    """(id, tokens) of part names with a lot, and of variants of every third without their first word; and their token statistics."""
+    part = table(spark, sf_dir, "part").withColumn("lot", F.concat("p_name", F.lit(" lot"), (F.col("p_partkey") % 40).cast("string")))
+    variants = part.filter("p_partkey % 3 = 0").select(F.concat(F.regexp_replace("lot", r"^\S+\s+", ""), F.lit(" audit")).alias("id"))
+    names = part.select(F.col("lot").alias("id")).union(variants).distinct().withColumn("subject", T.signature(F.col("id"))).filter("subject is not null")
     return names.select("id", F.col("subject.tokens").alias("tokens")), subject.subject_idf(names)
 
 
@@ -399,8 +402,8 @@ def rerank(spark, sf_dir):
 )
 def recall_mrr_ndcg(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    relevant = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id")
-    return metrics.ranking(rerank(spark, sf_dir), relevant)
+    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    return metrics.ranking_by_label(rerank(spark, sf_dir), queries, e.select(F.col("vec_id").alias("doc_id"), "label"))
 
 
 @query("SELECT event_type, quantile_cont(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean, max(value) AS max FROM events GROUP BY event_type")
@@ -468,9 +471,85 @@ def required_ids_report(spark, sf_dir):
     return wanted.join(_classified(spark, sf_dir).select("message_id", "category", "route"), "message_id", "left").select("message_id", "category", F.coalesce("route", F.lit("NOT FOUND")).alias("found"))
 
 
+# -- reports and filters -------------------------------------------------------
+@query(_with(*_RULES) + "SELECT CASE WHEN confidence >= 0.90 THEN 0.90 WHEN confidence >= 0.75 THEN 0.75 WHEN confidence >= 0.60 THEN 0.60 ELSE 0 END::DOUBLE AS floor, count(*) AS n FROM decided GROUP BY ALL")
+def confidence_band_counts(spark, sf_dir):
+    return reports.confidence_bands(_classified(spark, sf_dir))
+
+
+@query(_with(*_RULES) + "SELECT message_id FROM decided WHERE category = 'action_required' AND contains(lower(message_id || ' ' || sender || ' ' || masked_text), 'draft the')")
+def messages_shown(spark, sf_dir):
+    return reports.messages_shown(_classified(spark, sf_dir), category="action_required", words="Draft THE").select("message_id")
+
+
+@query(_with(*_RULES) + "SELECT category, n, rpad(repeat('#', CAST(round(34 * n / max(n) OVER ()) AS INTEGER)), 34, '.') AS bar FROM (SELECT category, count(*) AS n FROM decided GROUP BY category)")
+def category_bars(spark, sf_dir):
+    return reports.counts_with_bars(_classified(spark, sf_dir), "category")
+
+
+@query(_with(*_RULES) + r"SELECT message_id, category, hedged AS ambiguous, sha256(regexp_replace(regexp_replace(regexp_replace(c, '[0-9]{4}-[0-9]{2}-[0-9]{2}', '<DATE>', 'g'), '[0-9]{1,2}:[0-9]{2}', '<TIME>', 'g'), '[0-9]+', '<N>', 'g'))[1:16] AS template_hash FROM decided")
+def gold_label_rows(spark, sf_dir):
+    return reports.gold_labels(_classified(spark, sf_dir))
+
+
+@query(_with() + "SELECT 'C' || CAST(i AS VARCHAR) || '_' || message_id AS message_id, masked_text FROM masked, range(3) AS t(i)")
+def replicated_corpus(spark, sf_dir):
+    return reports.replicated(sensitive.masked(synth.messages(spark, sf_dir)), 3).select("message_id", "masked_text")
+
+
+@query(_with() + "SELECT batch_idx, " + ", ".join(f"count(*) FILTER (priority = '{b}') AS {b}" for b in S.BANDS) + " FROM (SELECT batch_idx, ['critical', 'high', 'medium', 'low'][1 + k % 4] AS priority FROM messages) GROUP BY batch_idx")
+def snapshot_band_counts(spark, sf_dir):
+    bands = F.array(*map(F.lit, S.BANDS))
+    return reports.band_counts(synth.messages(spark, sf_dir).select("batch_idx", F.get(bands, F.col("k") % 4).alias("priority")))
+
+
+@query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type")
+def kind_histogram(spark, sf_dir):
+    return reports.conflict_histogram(table(spark, sf_dir, "events").withColumnRenamed("event_type", "kind"))
+
+
+@query("SELECT o_custkey AS group_id, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 3")
+def labelled_groups(spark, sf_dir):
+    return reports.labelled_groups(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "group_id"))
+
+
+@query("SELECT o_custkey AS group_id, count(*) AS messages FROM orders GROUP BY o_custkey ORDER BY messages DESC, group_id LIMIT 20")
+def largest_groups(spark, sf_dir):
+    made = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("group_id")).agg(F.collect_list("o_orderkey").alias("message_ids"))
+    return reports.largest_groups(made, 20).select("group_id", "messages")
+
+
+@query("SELECT c_custkey AS query, c_custkey + 1000000 AS group_id FROM customer")
+def paraphrase_targets(spark, sf_dir):
+    names = table(spark, sf_dir, "customer")
+    return reports.paraphrase_targets(names.select(F.col("c_custkey").alias("query"), F.upper("c_name").alias("title")), names.select((F.col("c_custkey") + 1000000).alias("group_id"), F.lower("c_name").alias("title"))).select("query", "group_id")
+
+
+@query(f"WITH {_QUANT}, c AS (SELECT list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * codes[i])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(codes, lambda x: x * x)))) AS c FROM peak JOIN quant USING (vec_id)) SELECT count(*) AS n, round(avg(c), 9) AS mean_cosine, round(min(c), 9) AS worst_cosine FROM c")
+def quantised_agreement(spark, sf_dir):
+    """int8 codes against the vectors they stand for; a mean cosine below 0.90 would raise."""
+    dense = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    codes = _quantised(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("v.codes").alias("vector"))
+    return retrieve.agreement(dense, codes, least=0.90).select("n", F.round("mean_cosine", 9).alias("mean_cosine"), F.round("worst_cosine", 9).alias("worst_cosine"))
+
+
+@query(f"WITH {_WEIGHTS} SELECT count(*) AS postings, CAST(sum(strlen(term) + 16) AS BIGINT) AS posting_bytes, (SELECT count(*) FROM stats) AS vocabulary, (SELECT CAST(sum(strlen(term) + 16) AS BIGINT) FROM stats) AS vocabulary_bytes FROM terms")
+def index_footprint(spark, sf_dir):
+    return _search(spark, sf_dir)[0].footprint()
+
+
 # -- the ledger: order-dependent, so rows only --------------------------------
+_LEDGERS: dict[tuple[str, str], L.Ledger] = {}
+
+
 def _ledger(spark, sf_dir) -> L.Ledger:
-    return L.Ledger(synth.messages(spark, sf_dir))
+    """The ledger of the tables; the queries of one application share the newest one."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LEDGERS:
+        while _LEDGERS:
+            _LEDGERS.popitem()[1].unpersist()
+        _LEDGERS[key] = L.Ledger(synth.messages(spark, sf_dir))
+    return _LEDGERS[key]
 
 
 @query()

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 #: template k of order key modulo 24; {s} the subject, {d} the due date, {o} a code
 TEMPLATES = [
-    "Can you review the {s} before {d}?", "Please submit the {s} by {d}.", "I need you to renew the {s} by {d}.", "Don't forget to check the {s}; deadline is {d}.",
-    "Calendar update: {s}, {d} at 14:00, Studio 3.", "The {s} session is scheduled for {d} at 9:30 in Room 4.", "Reminder: {s} drill happens on {d} at 09:30 in the atrium.",
-    "Can you share an update on review the {s}?", "Any progress on the item concerning the {s}?", "Follow-up: any update on the {s}?", "Update: review the {s} has been completed.", "The {s} has been cancelled.",
-    "The {s} has been moved to {d} at 11:00.", "The date for {s} stays the same, but the time is now 15:45.", "The deadline to renew the {s} is now {d}. Treat this as urgent.", "The deadline to renew the {s} is now tomorrow at 10 AM.",
-    "The {s} might already be done, but I am not completely sure.", "The deadline may be Tuesday, or it may be Thursday.", "Your OTP is {o}. It expires in 5 minutes.", "You can contact me on 70155 28643 after six.",
-    "I will send the login details separately.", "Half price on {s} this week. Use code SAVE30.", "For my profile, I prefer written updates.", "The {s} is back in service.",
+    "Would you draft the {s} before {d}?", "Kindly file the {s} by {d}.", "I need you to repaint the {s} by {d}.", "Remember to weigh the {s}; deadline is {d}.",
+    "Calendar invite: {s}, {d} at 14:00, Pier 3.", "The {s} rehearsal is scheduled for {d} at 9:30 in Hut 4.", "Reminder: {s} tasting happens on {d} at 09:30 in the orchard.",
+    "Can you share an update on draft the {s}?", "Any progress on the item concerning the {s}?", "Follow-up: any update on the {s}?", "Update: draft the {s} has been completed.", "The {s} has been cancelled.",
+    "The {s} has been moved to {d} at 11:00.", "The date for {s} stays the same, but the time is now 15:45.", "The deadline to repaint the {s} is now {d}, quite urgent.", "The deadline to repaint the {s} is now tomorrow at 10 AM.",
+    "The {s} might already be done, but I am not completely sure.", "The deadline may be Tuesday, or it may be Thursday.", "Your OTP is {o}. It expires in 5 minutes.", "From noon you can contact me on 70155 28643.",
+    "The login details are with the harbour master.", "Half price on {s} this week. Use code SAVE30.", "For my profile, I prefer letters to calls.", "The {s} is back in service.",
 ]
 
 
@@ -30,7 +30,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """message_id, timestamp, sender, message, batch_idx, batch_name, batch_kind, tenant and k of each order."""
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "customer", "part")}
     n_parts = t["part"].count()
-    orders = t["orders"].join(t["customer"].select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    # the small test files are one split each: dealt to all cores by their keys, before there is any text
+    orders = t["orders"].repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    orders = orders.join(t["customer"].select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     orders = orders.withColumn("_part", F.col("o_orderkey") % n_parts).join(t["part"].select(F.col("p_partkey").alias("_part"), F.col("p_name").alias("subj")), "_part")
     rows = orders.withColumns(
         {

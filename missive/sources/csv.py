@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive import schema as S
+from missive.functions.order import numbered_in_order
 
 #: limits of one upload
 MAX_BYTES, MAX_ROWS, MAX_FILES = 8 << 20, 20_000, 6
@@ -85,10 +86,10 @@ def stacked(batches: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def sequenced(messages: DataFrame) -> DataFrame:
-    """Add seq: a tenant's messages by batch, then timestamp and id as strings."""
+    """Add seq: a tenant's messages by batch, then timestamp and id as strings; sorted by the hour."""
     blank = lambda c: F.coalesce(c, F.lit(""))
-    order = Window.partitionBy("tenant").orderBy("batch_idx", blank("timestamp"), blank("message_id"))
-    return messages.withColumn("seq", F.row_number().over(order).cast("long"))
+    hour = F.struct(F.col("batch_idx"), F.left(blank("timestamp"), F.lit(13)))
+    return numbered_in_order(messages, ["tenant"], hour, [F.col("batch_idx"), blank("timestamp"), blank("message_id")], "seq")
 
 
 def read_ids(spark: SparkSession, path: str, column: str = "message_id") -> DataFrame:
@@ -98,8 +99,8 @@ def read_ids(spark: SparkSession, path: str, column: str = "message_id") -> Data
 
 def read_queries(spark: SparkSession, path: str, column: str = "query") -> DataFrame:
     """(query_id, text) from a CSV file with a header, numbered in the file's order."""
-    rows = spark.read.option("header", True).csv(path).select(F.col(column).alias("text"))
-    return rows.withColumn("query_id", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
+    rows = spark.read.option("header", True).csv(path).select(F.col(column).alias("text"), F.monotonically_increasing_id().alias("_row"))
+    return numbered_in_order(rows, [], F.shiftright("_row", 20), [F.col("_row")], "query_id").drop("_row")
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:

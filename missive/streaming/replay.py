@@ -22,15 +22,21 @@ def masked_stream(messages: DataFrame) -> DataFrame:
     return routing.route(sensitive.masked(messages))
 
 
+def _stored(batch: DataFrame, n: int, store: str) -> None:
+    """Write a micro-batch below its number, masked: raw text is never stored."""
+    about = {"batch_name": F.lit(f"batch_{n}"), "batch_kind": F.lit("l2" if n else "l1"), "tenant": F.lit("")}
+    sensitive.masked(batch).withColumns(about).write.mode("overwrite").parquet(f"{store}/batch_idx={n}")
+
+
 def replay(messages: DataFrame, store: str, checkpoint: str, then: Callable[[Ledger, int], None]):
-    """Append each micro-batch to ``store`` and hand the ledger of all batches so far to ``then``.
+    """Append each micro-batch, masked, to ``store`` and hand the ledger of all batches so far to ``then``.
 
     A batch is written below its number, so a repeated batch replaces itself.
     """
 
     def step(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        batch.withColumns({"batch_name": F.lit(f"batch_{n}"), "batch_kind": F.lit("l2" if n else "l1"), "tenant": F.lit("")}).write.mode("overwrite").parquet(f"{store}/batch_idx={n}")
+        _stored(batch, n, store)
         every = spark.read.option("basePath", store).parquet(store)
         ledger = Ledger(every.withColumn("batch_idx", F.col("batch_idx").cast("int")))
         then(ledger, n)

@@ -98,3 +98,18 @@ def test_weak_labels_and_arbitration(spark):
     rows = rows.withColumns({"hedged": F.lit(False), "overall_risk": F.lit(None).cast("string"), "rule_signals": F.array().cast(classify.SIGNALS), "sensitivity_types": F.array().cast("array<string>"), "model_margin": F.lit(0.1)})
     got = {r["message_id"]: (r["category"], r["confidence"], r["agreement"]) for r in classify.with_category(rows, with_model=True).collect()}
     assert got == {"a": ("action_required", 0.99, "rule_and_model_agree"), "b": ("promotional", 0.6, "disagreement"), "c": ("promotional", 0.704, "model_only")}
+
+
+def test_replay_stores_no_raw_text(spark, tmp_path):
+    from missive.streaming import replay
+
+    for n, text in enumerate((corpus.FIRST, corpus.SECOND)):
+        batch = csv.read_messages(spark, text)
+        replay._stored(batch, n, f"{tmp_path}/store")
+    stored = spark.read.option("basePath", f"{tmp_path}/store").parquet(f"{tmp_path}/store")
+    rows = stored.collect()
+    assert "message" not in stored.columns and not any(s in str(r) for s in corpus.SECRETS for r in rows)
+    again = L.enriched(stored.withColumn("batch_idx", F.col("batch_idx").cast("int")))
+    fresh = L.enriched(csv.stacked([("first", csv.read_messages(spark, corpus.FIRST)), ("second", csv.read_messages(spark, corpus.SECOND))]))
+    same = lambda df: sorted(df.select("message_id", "masked_text", "route", "category").collect())
+    assert same(again) == same(fresh)
