@@ -114,3 +114,36 @@ def test_rules_and_classifier_learn(spark, labelled, odd_docs, no_docs):
     assert quality.judge(docs, none).filter("kept").count() == quality.judge(docs, none).filter("not base_failed").count()
     assert compression.score(docs, compression.train(docs, labels.filter("quality = 1"))).filter("predicted = 1").count() == 240
     assert compression.score(docs, compression.train(docs, labels.limit(0))).select(F.min("score")).head()[0] == 0.5
+
+
+def test_scores_equal_plain_compression(spark, labelled):
+    """The score of each whole text, block by block with both dictionaries, then the curve."""
+    import zstandard
+
+    docs, labels = labelled
+    model = compression.train(docs, labels)
+    rows = [(1000, "a b"), (1001, ""), (1002, None), (1003, prose(3, 4000)), (1004, "é" * 5000)] + [tuple(r) for r in docs.limit(5).collect()]
+    tools = [zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    got = {r["doc_id"]: r for r in compression.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for doc_id, text in rows:
+        raw, x = (text or "").encode(), 0.0
+        if raw:
+            blocks = [raw[i : i + compression.BLOCK] for i in range(0, len(raw), compression.BLOCK)]
+            good, bad = (sum(len(t.compress(b)) for b in blocks) for t in tools)
+            x = (bad - good) / len(raw)
+        want = 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -30, 30)))
+        assert got[doc_id]["score"] == pytest.approx(want, abs=1e-12) and got[doc_id]["predicted"] == int(want >= 0.5)
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    """Spans and masks of a text with very many matches, against the plain regexes."""
+    import time
+
+    text = " ".join(f"u{i}@mail.example.org 10.0.{i % 256}.7" for i in range(6000))
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    start = time.time()
+    row = pii.find(docs).head()
+    assert row["n_email"] == row["n_ip"] == 6000 and row["base_sha256"] == hashlib.sha256(base(text).encode()).hexdigest()
+    masked = pii.masked(docs).head()["text"]
+    assert masked == " ".join("[EMAIL] [IP]" for _ in range(6000))
+    assert time.time() - start < 120
