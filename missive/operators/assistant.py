@@ -256,7 +256,8 @@ class Assistant:
 
     def _retrieved(self, question: str, k: int) -> DataFrame:
         hits = self._search(question, k).join(self.ledger.grouped.select("message_id", "group_id", "act"), "message_id")
-        return hits.filter(F.max("score").over(Window.partitionBy(F.lit(0))) >= retrieve.MIN_EVIDENCE)
+        best = hits.agg(F.max("score").alias("_best")).filter(F.col("_best") >= retrieve.MIN_EVIDENCE)
+        return hits.join(F.broadcast(best), F.lit(True), "left_semi")
 
     def _messages_about(self, question, intent):
         group = self.resolve(question, intent)

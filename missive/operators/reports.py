@@ -104,10 +104,13 @@ def write_layer1(rows: DataFrame, path: str, single_file: bool = False) -> None:
     from missive.operators import extract, sensitive
     from missive.plans.ledger import layer1_summary
     from missive.sources.csv import write_csv, write_json
+    from missive.sources.tables import removed, written
 
+    rows = written(rows, "layer1")  # classified once, for all files
     secret = F.col("route") == "blocked"
     about = rows.select("message_id", "timestamp", "sender", "category", "confidence", "agreement", "needs_review", "reason", "route", F.when(~secret, F.col("masked_text")).alias("masked_text"))
     tables = {"messages": about, "items": extract.items(rows.filter(~secret)), "sensitive": sensitive.sensitive_report(rows).drop("masked_text"), "summary": layer1_summary(rows)}
     for name, df in tables.items():
         write_json(df, f"{path}/{name}.json", single_file)
     write_csv(tables["items"], f"{path}/items.csv", single_file)
+    removed(rows)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from missive.operators import classify, extract, model, routing, sensitive
 from missive.operators.assistant import Answer, Assistant
 from missive.plans.ledger import Ledger
-from missive.sources.csv import MAX_FILES, read_messages, stacked
+from missive.sources.csv import MAX_FILES, MAX_ROWS, read_messages, stacked
 
 
 class Engine:
@@ -26,7 +26,11 @@ class Engine:
             raise ValueError(f"give 1 to {MAX_FILES} batches")
         key = hashlib.sha256("".join(f"{n}\0{t}\0" for n, t in batches).encode()).hexdigest()[:24]
         if key not in self.ledgers:
-            self.ledgers[key] = Ledger(stacked([(n, read_messages(self.spark, t)) for n, t in batches]), self.artifact)
+            read = [(n, read_messages(self.spark, t)) for n, t in batches]
+            for name, rows in read:
+                if rows.limit(MAX_ROWS + 1).count() > MAX_ROWS:
+                    raise ValueError(f"a batch may hold {MAX_ROWS} rows, {name} has more")
+            self.ledgers[key] = Ledger(stacked(read), self.artifact)
             while len(self.ledgers) > self.most:
                 self.ledgers.popitem(last=False)[1].unpersist()
         self.ledgers.move_to_end(key)
