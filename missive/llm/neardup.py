@@ -230,9 +230,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col:
 
 
 def _family_rows(bands: DataFrame) -> DataFrame:
-    """(doc, family) of the classes in ``bands`` (band, doc, c_doc, ...): a family is connected by shared bands."""
+    """(doc, family) of the classes in ``bands`` (band, doc, c_doc, ...): a family is connected by shared bands.
+
+    A class goes with the smallest of its bands' first classes, and only these first
+    classes are then connected: they are few where many classes share bands.
+    """
     first = bands.groupBy("band").agg(F.min("doc").alias("a"))
-    return components(bands.join(first, "band").select("a", F.col("doc").alias("b"))).select(F.col("doc_id").alias("doc"), F.col("component").alias("family"))
+    pairs = bands.join(first, "band").select("a", "doc").distinct()
+    own = pairs.groupBy("doc").agg(F.min("a").alias("p"))
+    links = pairs.join(own, "doc").filter("a <> p").select("a", F.col("p").alias("b")).distinct()
+    found = components(links).withColumnRenamed("doc_id", "p")
+    return own.join(found, "p", "left").select("doc", F.coalesce("component", "p").alias("family"))
 
 
 def _differences(sets: DataFrame, percent: int) -> DataFrame:
