@@ -3,13 +3,14 @@
 Each document becomes a mask of the filters that it fails; counts per mask say all about
 every order, so the 120 orders cost nothing beyond one vector of counts for each part.
 
-Copies are found on an RDD routed by fingerprint. A task first keeps the copies of its own
-rows in chains: fingerprint -> texts that share it, each with its smallest id. Rows above
-their chain's id are decided there and travel without their text; what is left, one row a
-text and task at most (a text that thousands share included), goes to the partition of its
-xxhash, sorted by it, where the chains of one fingerprint at a time are merged the same
-way. A chain compares whole texts, so a collision of fingerprints never makes a copy.
-``combineByKey`` then merges the vectors of counts by part.
+Copies are found on an RDD routed by fingerprint. A task that reads the documents first
+keeps the copies among its own rows in chains: fingerprint -> texts that share it, each
+with its smallest id. Rows above their chain's id are decided there and leave without
+their text. What is left, one row a text and chain (a text that thousands share included),
+is written as a table, so that a lost executor costs no second reading, and goes to the
+partition of its xxhash, sorted by it, where the chains of one fingerprint at a time are
+merged the same way. A chain compares whole texts, so a collision of fingerprints never
+makes a copy. ``combineByKey`` then merges the vectors of counts by part.
 
 A: under 100 words; B: 100 * distinct words < 80 * words; C: 100 * [A-Z] > 10 * code
 points; D: holds any of ``#$%&*|``; E: the text of a smaller doc_id, in the whole table.
@@ -26,11 +27,13 @@ from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import text_of
+from missive.llm.common import scratch, stored, text_of
 
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT_PERCENT, MOST_UPPER_PERCENT, SYMBOLS = 100, 80, 10, b"#$%&*|"
@@ -41,14 +44,14 @@ _UPPER = bytes(range(65, 91))
 _COPY = 1 << FILTERS.index("E")
 
 
-def failed(text: str, raw: bytes) -> int:
-    """The mask of filters A to D; ``raw`` is the text in UTF-8, where white space and ASCII are single bytes."""
+def failed(raw: bytes, points: int) -> int:
+    """The mask of filters A to D of a text of ``points`` code points, in UTF-8: white space and ASCII are single bytes there."""
     words = raw.split()
     n = len(words)
     return (
         (n < LEAST_WORDS)
         | (100 * len(set(words)) < LEAST_DISTINCT_PERCENT * n) << 1
-        | (100 * (len(raw) - len(raw.translate(None, _UPPER))) > MOST_UPPER_PERCENT * len(text)) << 2
+        | (100 * (len(raw) - len(raw.translate(None, _UPPER))) > MOST_UPPER_PERCENT * points) << 2
         | (len(raw.translate(None, SYMBOLS)) < len(raw)) << 3
     )
 
@@ -80,71 +83,83 @@ class Chains:
         if doc_id < link[2]:
             link[2], link[3] = doc_id, dict(langs)
 
-    def drained(self) -> Iterator[tuple[int, list]]:
+    def drained(self) -> Iterator[tuple]:
+        """(fingerprint, text, id, lang, mask, rows) of what is held; nothing is held any more."""
         for key, chain in self.of.items():
-            for link in chain:
-                yield key, link
+            for raw, mask, doc_id, langs in chain:
+                for lang, n in langs.items():
+                    yield key, raw, doc_id, lang, mask, n
         self.of, self.bytes = {}, 0
 
 
 #: decided rows that a task sums before it passes them on
 DECIDED_ROWS = 50_000
+_LINK = pa.schema([("key", pa.int64()), ("raw", pa.binary()), ("doc_id", pa.int64()), ("lang", pa.string()), ("mask", pa.int32()), ("n", pa.int64())])
 
 
 def _local(rows) -> Iterator[tuple]:
-    """(key, link) of the texts of a task, and (key, decided rows), which travel without text to any partition."""
+    """What is left of the chains of a task's rows (doc_id, text, code points, lang), and its decided rows, without key and text."""
     chains, decided = Chains(), Counter()
-    for doc_id, text, lang in rows:
-        raw = text.encode("utf-8", "surrogatepass")
-        mask = failed(text, raw)
+
+    def passed_on():
+        for row, n in decided.items():
+            yield None, None, *row, n
+        decided.clear()
+
+    for doc_id, raw, points, lang in rows:
+        mask = failed(raw, points)
         if doc_id is None:
             decided[None, lang, mask] += 1
         else:
-            for *done, n in chains.offer(xxhash.xxh3_64_intdigest(raw), raw, mask, doc_id, {lang: 1}):
+            for *done, n in chains.offer(xxhash.xxh3_64_intdigest(raw) - 2**63, raw, mask, doc_id, {lang: 1}):
                 decided[tuple(done)] += n
         if chains.bytes > CHAIN_BYTES:
             yield from chains.drained()
         if len(decided) > DECIDED_ROWS:
-            yield from _spread(decided)
+            yield from passed_on()
     yield from chains.drained()
-    yield from _spread(decided)
+    yield from passed_on()
+
 
+def _batches(batches) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for batch in batches:
+            texts = batch.column(1)
+            yield from zip(batch.column(0).to_pylist(), texts.cast(pa.binary()).to_pylist(), pc.utf8_length(texts).to_pylist(), batch.column(2).to_pylist())
 
-def _spread(decided: Counter) -> Iterator[tuple]:
-    for row, n in decided.items():
-        yield xxhash.xxh3_64_intdigest(repr(row)), (*row, n)
-    decided.clear()
+    held, size = [], 0
+    for row in _local(rows()):
+        held.append(row)
+        size += len(row[1] or b"") + 50
+        if size > CHAIN_BYTES // 4:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _LINK)], schema=_LINK)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _LINK)], schema=_LINK)
 
 
 def _merged(rows) -> Iterator[tuple]:
-    """(doc_id, lang, mask, rows) of everything routed here, sorted by key; chains of one key at a time are held."""
+    """(doc_id, lang, mask, rows) of what was routed here, sorted by key; the chains of one key at a time are held."""
     chains, at = Chains(), None
-    for key, x in rows:
-        if isinstance(x, tuple):
-            yield x
-            continue
+    for key, (raw, doc_id, lang, mask, n) in rows:
         if key != at:
-            yield from _rest(chains)
+            yield from (x[2:] for x in chains.drained())
             at = key
-        raw, mask, doc_id, langs = x
-        yield from chains.offer(key, raw, mask, doc_id, langs)
-    yield from _rest(chains)
-
-
-def _rest(chains: Chains) -> Iterator[tuple]:
-    for _, (_, mask, doc_id, langs) in chains.drained():
-        for lang, n in langs.items():
-            yield doc_id, lang, mask, n
+        yield from chains.offer(key, bytes(raw), mask, doc_id, {lang: n})
+    yield from (x[2:] for x in chains.drained())
 
 
 def masks(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, mask, n): how many rows of an id fail which filters; bit k of the mask is filter k."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit(""))).rdd
-    parts = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    routed = rows.mapPartitions(_local).repartitionAndSortWithinPartitions(parts, lambda key: key)
-    found = spark.createDataFrame(routed.mapPartitions(_merged), "doc_id long, lang string, mask int, n long", verifySchema=False)
-    return found.groupBy("doc_id", "lang", "mask").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    links = stored(rows.mapInArrow(_batches, "key long, raw binary, doc_id long, lang string, mask int, n long"), "links")
+    routed = links.filter("key is not null").rdd.map(lambda r: (r[0], tuple(r[1:])))
+    parts = max(routed.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    merged = routed.repartitionAndSortWithinPartitions(parts, lambda key: key).mapPartitions(_merged)
+    found = spark.createDataFrame(merged, "doc_id long, lang string, mask int, n long", verifySchema=False)
+    decided = links.filter("key is null").select("doc_id", "lang", "mask", "n")
+    return found.unionByName(decided).groupBy("doc_id", "lang", "mask").agg(F.sum("n").alias("n"))
 
 
 def _orders() -> tuple[list[tuple[str, int]], dict[str, np.ndarray]]:
@@ -192,11 +207,12 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
     said = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).cast("int").alias(c)
     known = known.filter("doc_id is not null").groupBy("doc_id").agg(said("good"), said("toxic"))
-    rows = masks(docs).join(known, "doc_id", "left").select("lang", "mask", "n", F.coalesce("good", F.lit(0)), F.coalesce("toxic", F.lit(0)))
     empty = lambda row: _added(np.zeros((3, 2 ** len(FILTERS)), np.int64), row)
-    parts = rows.rdd.map(lambda r: (r[0], tuple(r[1:]))).combineByKey(empty, _added, lambda a, b: a + b, int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
-    return spark.createDataFrame(parts.mapPartitions(_table), schema, verifySchema=False)
+    with scratch() as result:
+        rows = masks(docs).join(known, "doc_id", "left").select("lang", "mask", "n", F.coalesce("good", F.lit(0)), F.coalesce("toxic", F.lit(0)))
+        parts = rows.rdd.map(lambda r: (r[0], tuple(r[1:]))).combineByKey(empty, _added, lambda a, b: a + b, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return result(spark.createDataFrame(parts.mapPartitions(_table), schema, verifySchema=False), "audit")
 
 
 def sql() -> str:
