@@ -35,8 +35,6 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, SCALE, TOP_TERMS = 3, 1_000_000_000, 200
 #: parts of a language's vocabulary that the groups are joined with
 PARTS = 64
-#: before a term where it counts documents; no term holds it
-_DOC = "\x00"
 
 
 def terms_of(text: Column) -> Column:
@@ -46,12 +44,11 @@ def terms_of(text: Column) -> Column:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """(lang, source, item, n): occurrences of a term in a group; with source null and the mark before the term, rows of the language that hold it."""
+    """(lang, source, term, n): occurrences of a term in a group; where source is null, rows of the language that hold it."""
     terms = rows.select("lang", "source", terms_of(F.col("text")).alias("terms"))
-    both = F.concat("terms", F.transform(F.array_distinct("terms"), lambda t: F.concat(F.lit(_DOC), t)))
-    items = terms.select("lang", "source", F.explode(both).alias("item"))
-    group = F.when(~F.startswith("item", F.lit(_DOC)), F.col("source"))
-    return items.groupBy("lang", group.alias("source"), "item").agg(F.count("*").alias("n"))
+    ways = F.array(F.struct("source", "terms"), F.struct(F.lit(None).cast("string").alias("source"), F.array_distinct("terms").alias("terms")))
+    items = terms.select("lang", F.inline(ways)).select("lang", "source", F.explode("terms").alias("term"))
+    return items.groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
 
 
 def share(n: Column, total: Column, scale: int) -> Column:
@@ -83,8 +80,8 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, scale: int = SCALE
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text_of().alias("text"))
     with scratch() as result:
         counted = stored(_counted(rows), "terms")
-        kept = counted.filter(F.col("source").isNull() & (F.col("n") >= least_docs)).select("lang", F.substring("item", 2, 2**31 - 1).alias("term"))
-        found = counted.filter(F.col("source").isNotNull()).withColumnRenamed("item", "term").join(kept, ["lang", "term"], "left_semi")
+        kept = counted.filter(F.col("source").isNull() & (F.col("n") >= least_docs)).select("lang", "term")
+        found = counted.filter(F.col("source").isNotNull()).join(kept, ["lang", "term"], "left_semi")
         by_term = stored(found.groupBy("lang", "term").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("counts"), F.sum("n").alias("lang_n")), "vocabulary")
         groups = rows.select("lang", "source").distinct()
         sizes = by_term.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
