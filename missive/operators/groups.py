@@ -3,23 +3,28 @@
 Two folds depend on the order of messages and are Arrow kernels; everything before
 and after them is columns:
 
-* ``assign``: one ordered pass per tenant. A message joins the group that its subject
-  matches best, or starts one; groups grow richer names and variants on the way.
-  Candidates come from an index token -> signatures, so a message is compared only
-  with signatures that share a token with it.
+* ``assign``: a message joins the group that its subject matches best, or starts one;
+  groups grow richer names and variants on the way. All names and variants are token
+  sets of messages, so a message can only ever join a group of the connected component
+  of its own set, where sets are linked that match each other or stand in one message.
+  The sets are compared once each, by a join on their leading tokens; each component is
+  then folded apart, in order, and groups are numbered afterwards by their seeds.
 * ``lifecycle``: one ordered pass per group, all groups in parallel. It emits the
   group's whole state after each message, and the transitions, changes and conflicts
   that the message caused; histories are explodes of these, snapshots the last state
   in or before a batch.
 
-A tenant's messages are one key of the first fold by definition of the result (each
-assignment depends on all before it); give rows a ``tenant`` to part a corpus.
+Both folds read rows that Spark has sorted and hold the names of one component, or the
+state of one group, never its messages. A component is one ordered task by definition of
+the result (each assignment depends on all before it): where most subjects are alike
+there is a giant one, whose fold takes as long as its messages are many.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,32 +32,62 @@ from pyspark.sql import functions as F
 
 from missive import schema as S
 from missive.functions import text as T
+from missive.functions.graph import components
+from missive.functions.order import numbered_in_order
 from missive.operators.subject import CONTAINMENT_ACCEPT, COSINE_ACCEPT, COSINE_FLOOR
+from missive.sources.tables import removed, written
 
-_TOKENS = "array<struct<token:string,idf:double,rare:boolean,specific:boolean>>"
-ASSIGNED = "tenant string, seq long, group_no long, match_score double, match_tokens array<string>, weak_link boolean, seed boolean, kind string, display string, tokens array<string>"
+ASSIGNED = "tenant string, seq long, seed_seq long, match_score double, match_tokens array<string>, weak_link boolean, seed boolean, kind string, display string, tokens array<string>"
 
 
-def _weights(rows: DataFrame, idf: DataFrame, field: str) -> DataFrame:
-    """(tenant, seq, <field>_w): a signature's tokens with weights, joined and gathered again per row."""
-    flat = rows.filter(F.col(field).isNotNull()).select("tenant", "seq", F.explode(F.col(field)["tokens"]).alias("token"))
+#: sets whose match score may differ by rounding from the fold's are linked too
+SLACK = 1e-6
+
+
+def token_sets(rows: DataFrame, idf: DataFrame) -> DataFrame:
+    """(tenant, tokens, weights, mass, set_id): the distinct token sets of subjects and item titles, with their tokens' weights."""
+    sets = rows.select("tenant", F.explode(F.array(F.col("subject")["tokens"], F.col("item_signature")["tokens"])).alias("tokens")).filter("tokens is not null").distinct()
     n = F.broadcast(idf.agg(F.max("n_subjects").alias("n"), F.max("distinctive_df").alias("cut")))
-    flat = flat.join(idf.select("token", "idf", "df"), "token", "left").crossJoin(n)
+    flat = sets.select("tenant", "tokens", F.explode("tokens").alias("token")).join(idf.select("token", "idf", "df"), "token", "left").crossJoin(n)
     weight = F.coalesce("idf", F.log(F.col("n") + 1) + 1.0)
     one = F.struct("token", weight.alias("idf"), (F.coalesce("df", F.lit(0)) <= F.col("cut")).alias("rare"), (~F.col("token").isin(T.GENERIC_HEADS)).alias("specific"))
-    return flat.groupBy("tenant", "seq").agg(F.sort_array(F.collect_list(one)).alias(f"{field}_w"))
+    sets = flat.groupBy("tenant", "tokens").agg(F.sort_array(F.collect_list(one)).alias("weights"))
+    mass = F.aggregate("weights", F.lit(0.0), lambda total, w: total + w["idf"])
+    return sets.withColumns({"mass": mass, "set_id": F.monotonically_increasing_id()})
+
+
+def matching_sets(sets: DataFrame) -> DataFrame:
+    """(a, b): the ids of ``token_sets`` of one tenant that match each other.
+
+    A match shares COSINE_ACCEPT of the smaller mass at least, so among the tokens of
+    the smaller set from the heaviest on until less than that is left, one is shared.
+    """
+    each = sets.select("tenant", "set_id", "mass", "weights", F.explode("weights").alias("w")).withColumn("token", F.col("w.token"))
+    rest = Window.partitionBy("set_id").orderBy("w.idf", F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
+    leads = each.withColumn("rest", F.sum("w.idf").over(rest)).filter(F.col("rest") >= COSINE_ACCEPT * F.col("mass") * (1 - SLACK))
+    side = lambda df, c: df.select("tenant", "token", *(F.col(n).alias(f"{n}_{c}") for n in ("set_id", "mass", "weights")))
+    pairs = side(leads, "a").join(side(each, "b"), ["tenant", "token"]).filter(F.col("mass_a") <= F.col("mass_b") * (1 + SLACK)).filter("set_id_a <> set_id_b")
+    names = F.transform("weights_b", lambda w: w["token"])
+    pairs = pairs.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "mass_a", "mass_b", F.filter("weights_a", lambda w: F.array_contains(names, w["token"])).alias("shared"))
+    both = F.aggregate("shared", F.lit(0.0), lambda total, w: total + w["idf"])
+    cosine, containment = both / F.sqrt(F.col("mass_a") * F.col("mass_b")), both / F.least("mass_a", "mass_b")
+    alike = (cosine >= COSINE_ACCEPT - SLACK) | ((containment >= CONTAINMENT_ACCEPT - SLACK) & (cosine >= COSINE_FLOOR - SLACK))
+    telling = F.exists("shared", lambda w: w["specific"]) & ((F.size("shared") > 1) | F.exists("shared", lambda w: w["rare"]))
+    return pairs.filter(alike & telling).select("a", "b").distinct()
 
 
 class _Assigner:
-    """The ordered pass over one tenant."""
+    """The ordered pass over messages whose subjects may match: a component, or a whole tenant."""
 
     def __init__(self):
         self.groups: list[dict] = []
+        self.known: dict[frozenset, tuple | None] = {}  # what a token set was found to match, since the last new signature
         self.posting: dict[str, set[int]] = defaultdict(set)
         self.signatures: list[tuple] = []  # (group, place within the group, weights, mass); dead ones are None
 
     def _register(self, group: int, place: int, weights: dict) -> int:
         at = len(self.signatures)
+        self.known.clear()
         self.signatures.append((group, place, weights, sum(w[0] for w in weights.values())))
         for token in weights:
             self.posting[token].add(at)
@@ -71,6 +106,12 @@ class _Assigner:
         return round(0.5 * cosine + 0.5 * containment, 4), sorted(shared, key=lambda t: (-probe[t][0], t))
 
     def _find(self, probe: dict):
+        key = frozenset(probe)
+        if key not in self.known:
+            self.known[key] = self._best(probe)
+        return self.known[key]
+
+    def _best(self, probe: dict):
         mass = sum(w[0] for w in probe.values())
         near = set().union(*(self.posting.get(t, ()) for t in probe))
         best = None
@@ -101,7 +142,7 @@ class _Assigner:
         if found is None:
             g = len(self.groups)
             kind = "event" if row["item_type"] == "event" or row["act"] in ("new_event", "reschedule") else "task" if row["item_type"] == "task" else "subject"
-            self.groups.append({"key": frozenset(probe), "weights": probe, "display": row["display"], "variants": set(), "kind": kind, "at": self._register(g, 0, probe)})
+            self.groups.append({"key": frozenset(probe), "weights": probe, "display": row["display"], "variants": set(), "kind": kind, "seed_seq": row["seq"], "at": self._register(g, 0, probe)})
             score, tokens, seed = 1.0, sorted(probe), True
         else:
             (g, score, tokens), seed = found, False
@@ -115,24 +156,43 @@ class _Assigner:
             self._add_variant(g, {w["token"]: (w["idf"], w["rare"], w["specific"]) for w in row["item_signature_w"]})
         group = self.groups[g]
         weak = (not seed and len(tokens) == 1) or row["subject_source"] == "open_question"
-        return {"tenant": row["tenant"], "seq": row["seq"], "group_no": g + 1, "match_score": score, "match_tokens": tokens, "weak_link": weak, "seed": seed, "kind": group["kind"], "display": group["display"], "tokens": sorted(group["key"])}
+        return {"tenant": row["tenant"], "seq": row["seq"], "seed_seq": group["seed_seq"], "match_score": score, "match_tokens": tokens, "weak_link": weak, "seed": seed, "kind": group["kind"], "display": group["display"], "tokens": sorted(group["key"])}
+
 
+_ASSIGNED = pa.schema([("tenant", pa.string()), ("seq", pa.int64()), ("seed_seq", pa.int64()), ("match_score", pa.float64()), ("match_tokens", pa.list_(pa.string())), ("weak_link", pa.bool_()), ("seed", pa.bool_()), ("kind", pa.string()), ("display", pa.string()), ("tokens", pa.list_(pa.string()))])
 
-_ASSIGNED = pa.schema([("tenant", pa.string()), ("seq", pa.int64()), ("group_no", pa.int64()), ("match_score", pa.float64()), ("match_tokens", pa.list_(pa.string())), ("weak_link", pa.bool_()), ("seed", pa.bool_()), ("kind", pa.string()), ("display", pa.string()), ("tokens", pa.list_(pa.string()))])
 
+def _folded(made: Callable, keys: list[str], schema: pa.Schema) -> Callable:
+    """For mapInArrow over rows sorted by ``keys``: a new ``made()`` for each key takes its rows one by one."""
 
-def _assign(table: pa.Table) -> pa.Table:
-    step = _Assigner()
-    rows = sorted(table.to_pylist(), key=lambda r: r["seq"])
-    return pa.Table.from_pylist([step(r) for r in rows], _ASSIGNED)
+    def run(batches):
+        at, step = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if (key := tuple(row[k] for k in keys)) != at:
+                    at, step = key, made()
+                out.append(step(row))
+            yield pa.RecordBatch.from_pylist(out, schema)
 
+    return run
 
-def assign(rows: DataFrame, idf: DataFrame) -> DataFrame:
-    """Members: each row with a subject, its group and how it was matched."""
+
+def assign(rows: DataFrame, idf: DataFrame, keep: Callable = written) -> DataFrame:
+    """Members: each row with a subject, its group and how it was matched. ``keep`` writes the tables between the steps."""
     on = rows.filter(F.col("subject").isNotNull())
-    slim = on.select("tenant", "seq", "item_type", "act", "subject_source", F.col("subject")["display"].alias("display"))
-    slim = slim.join(_weights(on, idf, "subject"), ["tenant", "seq"]).join(_weights(on, idf, "item_signature"), ["tenant", "seq"], "left")
-    out = slim.groupBy("tenant").applyInArrow(_assign, ASSIGNED)
+    sets = keep(token_sets(on, idf), "token-sets")
+    by_tokens = lambda c, id_: sets.select("tenant", F.col("tokens").alias(c), F.col("set_id").alias(id_), F.col("weights").alias(f"{c}_w"))
+    slim = on.select("tenant", "seq", "item_type", "act", "subject_source", F.col("subject")["display"].alias("display"), F.col("subject")["tokens"].alias("subject"), F.col("item_signature")["tokens"].alias("item_signature"))
+    slim = slim.join(by_tokens("subject", "set_id"), ["tenant", "subject"]).join(by_tokens("item_signature", "item_set_id"), ["tenant", "item_signature"], "left").drop("subject", "item_signature")
+    named_together = slim.filter("item_set_id is not null").select(F.col("set_id").alias("a"), F.col("item_set_id").alias("b")).distinct()
+    found = components(matching_sets(sets).unionAll(named_together))
+    slim = slim.join(found.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")).drop("set_id", "item_set_id")
+    slim = slim.repartition("tenant", "component").sortWithinPartitions("tenant", "component", "seq")
+    out = keep(slim.mapInArrow(_folded(_Assigner, ["tenant", "component"], _ASSIGNED), ASSIGNED), "assigned")
+    removed(found)
+    numbers = numbered_in_order(out.filter("seed").select("tenant", "seed_seq"), ["tenant"], F.shiftright("seed_seq", 16), [F.col("seed_seq")], "group_no")
+    out = out.join(numbers, ["tenant", "seed_seq"]).drop("seed_seq")
     out = out.withColumns({"group_id": F.format_string("GROUP_%03d", "group_no"), "title": T.group_title(F.col("display"), F.col("tokens"))}).drop("display", "tokens")
     return out.join(rows, ["tenant", "seq"])
 
@@ -319,19 +379,14 @@ class _Lifecycle:
         return {"tenant": m["tenant"], "group_no": m["group_no"], "seq": m["seq"], **self.s, **self.out}
 
 
-def _fold(table: pa.Table) -> pa.Table:
-    group = _Lifecycle()
-    rows = sorted(table.to_pylist(), key=lambda r: r["seq"])
-    return pa.Table.from_pylist([group.step(m) for m in rows], _STATE)
-
-
 def lifecycle(members: DataFrame) -> DataFrame:
     """The state of its group after each member, with what the member changed."""
     wanted = members.select(
         "tenant", "group_no", "seq", "message_id", "timestamp", "sender", "act", "act_frame", "urgent", "de_escalated", "alternatives", "repetition", "conflict_marker", "new_date", "new_date_raw", "new_time",
         "item_type", "item_date", "item_time", "seed", "match_score", "weak_link", "overall_risk",
     )
-    return wanted.groupBy("tenant", "group_no").applyInArrow(_fold, STATE)
+    rows = wanted.repartition("tenant", "group_no").sortWithinPartitions("tenant", "group_no", "seq")
+    return rows.mapInArrow(_folded(lambda: _Lifecycle().step, ["tenant", "group_no"], _STATE), STATE)
 
 
 def group_confidence() -> Column:
@@ -356,7 +411,7 @@ def summary_of() -> Column:
         F.when(c("deadline_restatements") > 0, s(n("deadline_restatements"), " request(s) gave it another date")),
         F.when(c("chase_count") > 0, s("asked after ", n("chase_count"), " time(s)")),
         F.when(c("restatement_count") > 0, s(n("restatement_count"), " message(s) said again")),
-        F.when(c("status") == "completed", s("done by ", c("status_source"))).when(c("status") == "cancelled", s("called off by ", c("status_source"))).when(c("status") == "rescheduled", F.lit("in a new slot")).when(c("status") == "unclear", F.lit("no firm status has been stated")),
+        F.when(c("status") == "completed", s("done by ", c("status_source"))).when(c("status") == "cancelled", s("called off by ", c("status_source"))).when(c("status") == "rescheduled", F.lit("in a new slot")).when(c("status") == "unclear", F.lit("nothing certain was said of its state")),
         F.when(c("contested"), F.lit("its messages disagree")),
         F.when(F.size("unresolved_alternatives") > 0, s("left open: ", F.array_join("unresolved_alternatives", " or "))),
     ]

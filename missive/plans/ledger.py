@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from missive import schema as S
@@ -34,12 +34,17 @@ def layer1(messages: DataFrame, artifact: model.Artifact | None = None) -> DataF
     return extract.numbered(enriched(messages, artifact, people))
 
 
+def mean_of(column: str) -> Column:
+    """A mean to four places of values of at most four: summed as decimals, so the order of rows never shows at a tie."""
+    return F.round((F.sum(F.round(column, 4).cast("decimal(18,4)")) / F.count(column)), 4).cast("double")
+
+
 def layer1_summary(rows: DataFrame) -> DataFrame:
-    """One row of counts, first and last timestamp, senders and mean confidence."""
+    """One row of counts, first and last timestamp, number of senders and mean confidence; ``extract.roster`` has the senders."""
     return rows.agg(
         F.count("*").alias("messages"), F.min_by("timestamp", "seq").alias("first_timestamp"), F.max_by("timestamp", "seq").alias("last_timestamp"), F.count_if(F.col("item_type") == "task").alias("tasks"),
         F.count_if(F.col("item_type") == "event").alias("events"), F.count_if("is_sensitive").alias("sensitive"), F.count_if("needs_review").alias("needs_review"), F.sum(F.coalesce(F.size("unresolved_fields"), F.lit(0))).alias("unresolved_fields"),
-        F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.sort_array(F.collect_set("sender")).alias("senders"),
+        mean_of("confidence").alias("mean_confidence"), F.count_distinct("sender").alias("n_senders"),
     )
 
 
@@ -84,7 +89,7 @@ class Ledger:
 
     @cached_property
     def members(self) -> DataFrame:
-        return self._keep(groups.assign(self.records, self.idf), "members")
+        return self._keep(groups.assign(self.records, self.idf, self._keep), "members")
 
     @cached_property
     def states(self) -> DataFrame:
@@ -149,7 +154,7 @@ class Ledger:
         """One row: groups, grouped and ungrouped messages, items, contested groups, and counts by band, status and route as maps."""
         as_map = lambda df, c: df.groupBy(c).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "n")))).alias(f"by_{c}"))
         base = self.grouped.agg(F.count("*").alias("messages"), F.count("group_id").alias("grouped"), F.count("item_id").alias("items"), F.count_if(F.col("route") == "blocked").alias("blocked"))
-        g = self.groups.agg(F.count("*").alias("groups"), F.count_if("contested").alias("contested"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+        g = self.groups.agg(F.count("*").alias("groups"), F.count_if("contested").alias("contested"), mean_of("confidence").alias("mean_confidence"))
         return base.crossJoin(g).crossJoin(as_map(self.priorities, "priority")).crossJoin(as_map(self.groups, "status")).crossJoin(as_map(self.records, "route"))
 
     def write(self, path: str, single_file: bool = False) -> None:

@@ -454,10 +454,10 @@ def latest_deadline(spark, sf_dir):
 
 
 # -- summaries and reports ----------------------------------------------------
-@query(_with(*_RULES) + "SELECT count(*) AS messages, min_by(timestamp, seq) AS first_timestamp, max_by(timestamp, seq) AS last_timestamp, count(*) FILTER (category = 'action_required') AS tasks, count(*) FILTER (category = 'meeting_or_event') AS events, count(*) FILTER (primary_type IS NOT NULL) AS sensitive, count(DISTINCT sender) AS n_senders, round(avg(confidence), 4) AS mean_confidence FROM decided")
+@query(_with(*_RULES) + "SELECT count(*) AS messages, min_by(timestamp, seq) AS first_timestamp, max_by(timestamp, seq) AS last_timestamp, count(*) FILTER (category = 'action_required') AS tasks, count(*) FILTER (category = 'meeting_or_event') AS events, count(*) FILTER (primary_type IS NOT NULL) AS sensitive, count(DISTINCT sender) AS n_senders, round(CAST(sum(CAST(round(confidence, 4) AS DECIMAL(18, 4))) AS DOUBLE) / count(*), 4) AS mean_confidence FROM decided")
 def l1_summary(spark, sf_dir):
     rows = L.layer1_summary(_extracted(spark, sf_dir))
-    return rows.select("messages", "first_timestamp", "last_timestamp", "tasks", "events", "sensitive", F.size("senders").cast("long").alias("n_senders"), "mean_confidence")
+    return rows.select("messages", "first_timestamp", "last_timestamp", "tasks", "events", "sensitive", "n_senders", "mean_confidence")
 
 
 @query(_with(*_RULES) + "SELECT v.category, count(d.message_id) AS n FROM (VALUES " + ", ".join(f"({_lit(c)})" for c in S.CATEGORIES) + ") AS v(category) LEFT JOIN decided d USING (category) GROUP BY v.category")

@@ -65,5 +65,5 @@ def test_intents(question, name):
 def test_assignment_compares_only_sharing_signatures():
     step, w = _Assigner(), lambda *t: [{"token": x, "idf": 2.0, "rare": True, "specific": True} for x in t]
     row = lambda seq, *t: {"tenant": "", "seq": seq, "subject_w": w(*t), "item_signature_w": None, "item_type": None, "act": "status_query", "subject_source": "act_frame", "display": " ".join(t)}
-    got = [step(row(i, *t))["group_no"] for i, t in enumerate([("a", "b"), ("c",), ("a", "b", "d"), ("b", "a"), ("e", "c")])]
-    assert got == [1, 2, 1, 1, 2]
+    got = [step(row(i, *t))["seed_seq"] for i, t in enumerate([("a", "b"), ("c",), ("a", "b", "d"), ("b", "a"), ("e", "c")])]
+    assert got == [0, 1, 0, 0, 1]
