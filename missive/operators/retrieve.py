@@ -181,30 +181,44 @@ def dense_candidates(queries: DataFrame, vectors: DataFrame, depth: int = RERANK
     return reduce(DataFrame.unionAll, (_nearest(queries.filter(dealt == i), vectors, depth, dims) for i in range(blocks)))
 
 
+#: queries, and rows, that are multiplied at a time
+QUERY_TILE, ROW_TILE = 256, 1024
+
+
 class _Best:
-    """The ``depth`` nearest of each query among the rows seen so far: by coarse product, then the larger doc_id."""
+    """The ``depth`` nearest of each of some queries among the rows seen so far: by coarse product, then the larger doc_id.
+
+    Of a tile of rows only those enter that are among the tile's own nearest and not below
+    the worst kept so far; full products are made for rows that stay. So it holds ``depth``
+    rows a query, and one tile of products.
+    """
 
-    def __init__(self, codes: np.ndarray, scales: np.ndarray, depth: int, dims: int):
-        self.codes, self.scales, self.depth, self.dims = codes.astype(np.float64), scales, depth, dims
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, scales: np.ndarray, depth: int, dims: int):
+        self.ids, self.codes, self.scales, self.depth, self.dims = ids, codes.astype(np.float64), scales, depth, dims
         self.floor = np.full(len(codes), -np.inf)
         self.q, self.coarse, self.doc, self.semantic = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0)
 
     def add(self, docs: np.ndarray, codes: np.ndarray, scales: np.ndarray) -> None:
         coarse = codes[:, : self.dims] @ self.codes[:, : self.dims].T
-        row, q = np.nonzero(coarse >= self.floor[None, :])
-        whole = np.einsum("ij,ij->i", codes[row], self.codes[q])
-        self.q = np.concatenate([self.q, q])
-        self.coarse = np.concatenate([self.coarse, coarse[row, q]])
-        self.doc = np.concatenate([self.doc, docs[row]])
-        self.semantic = np.concatenate([self.semantic, whole * self.scales[q] * scales[row]])
-        order = np.lexsort((-self.doc, -self.coarse, self.q))
-        first = np.searchsorted(self.q[order], np.arange(len(self.codes)))
-        rank = np.arange(len(order)) - first[self.q[order]]
-        kept = order[rank < self.depth]
-        self.q, self.coarse, self.doc, self.semantic = self.q[kept], self.coarse[kept], self.doc[kept], self.semantic[kept]
+        least = self.floor
+        if len(docs) > self.depth:
+            least = np.maximum(least, np.partition(coarse, len(docs) - self.depth, axis=0)[len(docs) - self.depth])
+        row, q = np.nonzero(coarse >= least[None, :])
+        if not len(row):
+            return
+        held = len(self.q)
+        every_q, every_coarse, every_doc = np.concatenate([self.q, q]), np.concatenate([self.coarse, coarse[row, q]]), np.concatenate([self.doc, docs[row]])
+        order = np.lexsort((-every_doc, -every_coarse, every_q))
+        first = np.searchsorted(every_q[order], np.arange(len(self.codes)))
+        kept = order[np.arange(len(order)) - first[every_q[order]] < self.depth]
+        new = kept >= held
+        semantic = np.empty(len(kept))
+        semantic[~new] = self.semantic[kept[~new]]
+        row, q = row[kept[new] - held], q[kept[new] - held]
+        semantic[new] = np.einsum("ij,ij->i", codes[row], self.codes[q]) * self.scales[q] * scales[row]
+        self.q, self.coarse, self.doc, self.semantic = every_q[kept], every_coarse[kept], every_doc[kept], semantic
         n = np.bincount(self.q, minlength=len(self.codes))
-        last = np.cumsum(n) - 1
-        self.floor = np.where(n == self.depth, self.coarse[last] if len(kept) else -np.inf, -np.inf)
+        self.floor = np.where(n == self.depth, self.coarse[np.cumsum(n) - 1], -np.inf)
 
 
 def _nearest(queries: DataFrame, vectors: DataFrame, depth: int, dims: int) -> DataFrame:
@@ -217,14 +231,16 @@ def _nearest(queries: DataFrame, vectors: DataFrame, depth: int, dims: int) -> D
 
     def run(batches):
         ids, codes, scales = shared.value
-        best = _Best(codes, scales, depth, dims)
+        tiles = [_Best(*(x[i : i + QUERY_TILE] for x in (ids, codes, scales)), depth, dims) for i in range(0, len(ids), QUERY_TILE)]
         for batch in batches:
             lists = batch.column(1)
             v = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, codes.shape[1]).astype(np.float64)
             docs, scale = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for i in range(0, len(batch), 1024):
-                best.add(docs[i : i + 1024], v[i : i + 1024], scale[i : i + 1024])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.doc), pa.array(best.coarse), pa.array(best.semantic)], ["query_id", "doc_id", "coarse", "semantic"])
+            for i in range(0, len(batch), ROW_TILE):
+                for best in tiles:
+                    best.add(docs[i : i + ROW_TILE], v[i : i + ROW_TILE], scale[i : i + ROW_TILE])
+        for best in tiles:
+            yield pa.RecordBatch.from_arrays([pa.array(best.ids[best.q]), pa.array(best.doc), pa.array(best.coarse), pa.array(best.semantic)], ["query_id", "doc_id", "coarse", "semantic"])
 
     width = F.size("v.codes") == len(rows[0]["codes"])
     slim = vectors.filter(width).select(F.col("doc_id").cast("long"), F.col("v.codes").alias("codes"), F.col("v.scale").alias("scale"))
