@@ -7,6 +7,7 @@ each join is the one with the query terms.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from missive.functions import text as T
+from missive.sources.tables import removed, written
 
 # Fixed values of the index.
 MAX_DF_SHARE, MIN_PRUNE_DF, MAX_QUERY_TERMS, RERANK_DEPTH, COARSE_DIMS, SEMANTIC_TIEBREAK, MIN_EVIDENCE = 0.22, 40, 12, 200, 32, 0.15, 0.22
@@ -43,10 +45,12 @@ def weights(counts: DataFrame, stats: DataFrame, key: str = "doc_id") -> DataFra
 class Index:
     """A lexical index of the documents that may be indexed; others never enter it.
 
-    ``docs``: (doc_id, text, indexable). Persist or store ``terms`` where it is used
-    more than once.
+    ``docs``: (doc_id, text, indexable). A plan reads what it needs; ``stored`` writes the
+    index once, for searches to start from its tables.
     """
 
+    keep: Callable | None = None
+
     def __init__(self, docs: DataFrame, most: int = 2, terms: DataFrame | None = None):
         self.most = most
         self.docs = docs.filter("indexable").select("doc_id", "text")
@@ -56,13 +60,23 @@ class Index:
         self.stats = term_stats(self.counts, self.n)
         self.terms = weights(self.counts, self.stats) if terms is None else terms
 
-    def persist(self) -> Index:
-        self.stats, self.terms = self.stats.persist(), self.terms.persist()
+    def stored(self) -> Index:
+        """The index as written tables: term counts are made once, and the weights lie sorted by term."""
+        self.tables: list[DataFrame] = []
+        self.keep = lambda df, name: self.tables.append(written(df, name)) or self.tables[-1]
+        self.counts = self.keep(self.counts, "term-counts")
+        self.stats = self.keep(term_stats(self.counts, self.n), "term-stats")
+        self.terms = self.keep(weights(self.counts, self.stats).repartition("term").sortWithinPartitions("term"), "postings")
         return self
 
-    def unpersist(self) -> None:
-        self.stats.unpersist()
-        self.terms.unpersist()
+    def removed(self) -> None:
+        """Drop the tables of ``stored``, with those that searches wrote."""
+        for df in self.tables:
+            removed(df)
+        self.tables.clear()
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return df if self.keep is None else self.keep(df, name)
 
     def query_vectors(self, queries: DataFrame) -> DataFrame:
         """(query_id, term, weight) of queries (query_id, text), with the corpus's idf."""
@@ -71,7 +85,7 @@ class Index:
 
     def _scored(self, vectors: DataFrame, terms: DataFrame) -> DataFrame:
         hits = terms.join(vectors.withColumnRenamed("weight", "q"), "term")
-        return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("weight")).alias("score"), F.sort_array(F.collect_list("term")).alias("matched_terms"))
+        return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
 
     def _rescored(self, picked: DataFrame, vectors: DataFrame) -> DataFrame:
         """Exact scores of the (query_id, doc_id) in ``picked`` alone: only their documents' terms are read."""
@@ -81,7 +95,10 @@ class Index:
 
     def exact(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, rank, doc_id, score, matched_terms): cosine against every document."""
-        return ranked(self._scored(self.query_vectors(queries), self.terms), k)
+        vectors = self._kept(self.query_vectors(queries), "query-vectors")
+        best = self._kept(ranked(self._scored(vectors, self.terms), k), "best")
+        # which terms matched is gathered for the documents shown alone
+        return best.join(self._rescored(best, vectors).select("query_id", "doc_id", "matched_terms"), ["query_id", "doc_id"])
 
     def pruned(self, share: float = MAX_DF_SHARE, least_df: int = MIN_PRUNE_DF) -> DataFrame:
         """(term): terms too common for a posting list."""
@@ -92,9 +109,9 @@ class Index:
         """(query_id, doc_id): the best by the query's rarest unpruned terms; every match where these find none."""
         cut = Window.partitionBy("query_id").orderBy(F.desc("idf"), "term")
         kept = vectors.join(self.pruned(), "term", "left_anti").join(self.stats.select("term", "idf"), "term").withColumn("_n", F.row_number().over(cut)).filter(F.col("_n") <= most_terms).drop("_n", "idf")
-        first = self._scored(kept, self.terms).select("query_id", "doc_id", "score")
-        lost = vectors.join(first.select("query_id").distinct(), "query_id", "left_anti")
-        every = first.unionByName(self._scored(lost, self.terms).select("query_id", "doc_id", "score"))
+        first = self._kept(self._scored(kept, self.terms), "stage-one")
+        lost = self._kept(vectors.join(first.select("query_id").distinct(), "query_id", "left_anti"), "lost")
+        every = first if self.keep is not None and lost.isEmpty() else first.unionByName(self._scored(lost, self.terms))
         best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
         return every.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= depth).drop("_n", "score")
 
@@ -104,10 +121,11 @@ class Index:
         ``semantic``: (query_id, doc_id, semantic) of the documents that a vector scan
         nominates; they join the candidates, and add ``tiebreak`` times their likeness.
         """
-        vectors = self.query_vectors(queries)
+        vectors = self._kept(self.query_vectors(queries), "query-vectors")
         picked = self.candidates(vectors, depth)
         if semantic is not None:
             picked = picked.unionByName(semantic.select("query_id", "doc_id")).distinct()
+        picked = self._kept(picked, "candidates")
         lexical = self._rescored(picked, vectors)
         out = picked.join(lexical, ["query_id", "doc_id"], "left").withColumns({"lexical": F.coalesce("score", F.lit(0.0)), "matched_terms": F.coalesce("matched_terms", F.array().cast("array<string>"))})
         if semantic is None:

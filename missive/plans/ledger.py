@@ -56,16 +56,29 @@ def counts_of(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
     return F.broadcast(dim).join(n, column, "left").select("ord", column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def records_of(rows: DataFrame, before: dict[str, int] | None = None) -> DataFrame:
+    """Records of ``enriched`` rows with numbered items, acts and subjects.
+
+    ``before``: how many messages and items of each type earlier batches have, for rows
+    that are a batch alone.
+    """
+    before = before or {}
+    rows = extract.numbered(rows.withColumn("seq", F.col("seq") + before.get("messages", 0)), before)
+    return subject.with_subject(acts.with_acts(rows))
+
+
 @dataclass
 class Ledger:
     """The tables of a run.
 
     Those that others read are written when they are first asked for: each further plan
     starts from a table and not from the whole grammar. ``unpersist`` removes them.
+    ``layer1``: records that were made before (``records_of`` batch by batch), where given.
     """
 
     messages: DataFrame
     artifact: model.Artifact | None = None
+    layer1: DataFrame | None = None
     kept: list[DataFrame] = field(default_factory=list)
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -75,8 +88,10 @@ class Ledger:
     @cached_property
     def records(self) -> DataFrame:
         """One row per message: masked text, findings, route, category, item, act and subject."""
+        if self.layer1 is not None:
+            return self.layer1
         rows = self._keep(enriched(self.messages, self.artifact, gate=True, order=True), "items")
-        return self._keep(subject.with_subject(acts.with_acts(extract.numbered(rows))), "records")
+        return self._keep(records_of(rows), "records")
 
     @cached_property
     def batches(self) -> DataFrame:
@@ -143,7 +158,7 @@ class Ledger:
 
     @cached_property
     def index(self) -> retrieve.Index:
-        return retrieve.Index(self.documents()).persist()
+        return retrieve.Index(self.documents()).stored()
 
     def routing_records(self) -> DataFrame:
         """Every message's route; masked text only where a detector fired and the message isn't blocked."""
@@ -173,7 +188,7 @@ class Ledger:
         for df in self.kept:
             removed(df)
         if "index" in self.__dict__:
-            self.index.unpersist()
+            self.index.removed()
         self.kept.clear()
 
 

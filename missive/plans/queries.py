@@ -166,9 +166,18 @@ _WEIGHTS = (
 )
 
 
+_INDEXES: dict[tuple[str, str], retrieve.Index] = {}
+
+
 def _search(spark, sf_dir) -> tuple[retrieve.Index, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(True).alias("indexable"))
-    return retrieve.Index(docs), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    """The stored index of the documents, which the queries of one application share, and the queries put to it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        while _INDEXES:
+            _INDEXES.popitem()[1].removed()
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(True).alias("indexable"))
+        _INDEXES[key] = retrieve.Index(docs).stored()
+    return _INDEXES[key], table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"WITH {_WEIGHTS} SELECT item_id AS query_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank, round(score, 6) AS score FROM exact QUALIFY rank <= 10")

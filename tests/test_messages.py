@@ -100,16 +100,31 @@ def test_weak_labels_and_arbitration(spark):
     assert got == {"a": ("action_required", 0.99, "rule_and_model_agree"), "b": ("promotional", 0.6, "disagreement"), "c": ("promotional", 0.704, "model_only")}
 
 
-def test_replay_stores_no_raw_text(spark, tmp_path):
+def test_replay_of_a_stream_equals_one_run(spark, tmp_path):
+    """Two files as two micro-batches: the stored records, numbers and groups are those of one run over both batches."""
+    from missive.plans.ledger import Ledger
     from missive.streaming import replay
 
+    folder, seen = tmp_path / "in", []
+    folder.mkdir()
+    store = f"{tmp_path}/store"
+
+    def then(led, n):
+        seen.append((n, led.records.count(), sorted((r["title"], r["status"], tuple(r["message_ids"]), tuple(r["item_ids"])) for r in led.groups.collect())))
+
     for n, text in enumerate((corpus.FIRST, corpus.SECOND)):
-        batch = csv.read_messages(spark, text)
-        replay._stored(batch, n, f"{tmp_path}/store")
-    stored = spark.read.option("basePath", f"{tmp_path}/store").parquet(f"{tmp_path}/store")
-    rows = stored.collect()
-    assert "message" not in stored.columns and not any(s in str(r) for s in corpus.SECRETS for r in rows)
-    again = L.enriched(stored.withColumn("batch_idx", F.col("batch_idx").cast("int")))
-    fresh = L.enriched(csv.stacked([("first", csv.read_messages(spark, corpus.FIRST)), ("second", csv.read_messages(spark, corpus.SECOND))]))
-    same = lambda df: sorted(df.select("message_id", "masked_text", "route", "category").collect())
-    assert same(again) == same(fresh)
+        (folder / f"{n}.csv").write_text(text)
+        replay.replay(replay.stream(spark, str(folder)), store, f"{tmp_path}/checkpoint", then).awaitTermination(300)
+    one = Ledger(csv.stacked([("first", csv.read_messages(spark, corpus.FIRST)), ("second", csv.read_messages(spark, corpus.SECOND))]))
+    assert [x[:2] for x in seen] == [(0, 8), (1, 20)]
+    assert seen[1][2] == sorted((r["title"], r["status"], tuple(r["message_ids"]), tuple(r["item_ids"])) for r in one.groups.collect())
+    stored = replay.records(spark, store)
+    same = lambda df: sorted((tuple(r) for r in df.select("seq", "message_id", "masked_text", "route", "category", "item_id", "act", "batch_idx").collect()), key=str)
+    assert same(stored) == same(one.records)
+    assert "message" not in stored.columns and not any(x in str(r) for x in corpus.SECRETS for r in stored.collect())
+    # a repeated batch replaces itself
+    replay._stored(csv.read_messages(spark, corpus.SECOND), 1, store)
+    assert same(replay.records(spark, store)) == same(one.records)
+    one.unpersist()
+
+
