@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from missive.functions import text as T
-from missive.sources.tables import removed, written
+from missive.sources.tables import dealt, removed, written
 
 # Fixed values of the index.
 MAX_DF_SHARE, MIN_PRUNE_DF, MAX_QUERY_TERMS, RERANK_DEPTH, COARSE_DIMS, SEMANTIC_TIEBREAK, MIN_EVIDENCE = 0.22, 40, 12, 200, 32, 0.15, 0.22
@@ -64,7 +64,7 @@ class Index:
         """The index as written tables: term counts are made once, and the weights lie sorted by term."""
         self.tables: list[DataFrame] = []
         self.keep = lambda df, name: self.tables.append(written(df, name)) or self.tables[-1]
-        self.counts = self.keep(self.counts, "term-counts")
+        self.counts = self.keep(term_counts(dealt(self.docs, "doc_id"), self.most), "term-counts")
         self.stats = self.keep(term_stats(self.counts, self.n), "term-stats")
         self.terms = self.keep(weights(self.counts, self.stats).repartition("term").sortWithinPartitions("term"), "postings")
         return self

@@ -39,3 +39,9 @@ def removed(df: DataFrame) -> None:
     with suppress(Exception):  # the session may be gone
         path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """A table that comes in fewer splits than there are cores, dealt to all of them by ``key``; a larger one as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
