@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from missive.functions import text as T
+from missive.functions.order import numbered_in_order
+from missive.sources.tables import remove_path, removed, shared_folder, written
 
 MIN_DF, NGRAMS, C = 2, 2, 4.0
+#: terms of a model at most
+MOST_TERMS = 1 << 18
 
 
 @dataclass
@@ -24,18 +32,29 @@ class Artifact:
         for name in ("vocab", "coef", "bias"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
+    def removed(self) -> None:
+        """Drop the tables that training wrote."""
+        for df in (self.vocab, self.coef):
+            removed(df)
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Artifact:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("vocab", "coef", "bias")))
 
 
-def features(rows: DataFrame, vocab: DataFrame, key: str = "message_id", text: str = "masked_text") -> DataFrame:
-    """(key, idx, term, w): sublinear TF, smoothed idf, unit length; unknown n-grams are dropped."""
+def vectors(rows: DataFrame, vocab: DataFrame, key: str = "message_id", text: str = "masked_text") -> DataFrame:
+    """(key, f): the known n-grams of each row as (idx, term, w) by idx; sublinear TF, smoothed idf, unit length. Rows without any are left out."""
     tokens = rows.select(key, T.tokenize(F.coalesce(text, F.lit(""))).alias("_t"))
     counts = tokens.select(key, F.explode(T.ngrams(F.col("_t"), NGRAMS)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    raw = counts.join(vocab, "term").withColumn("v", (F.log("tf") + 1.0) * F.col("idf"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return raw.join(norm, key).select(key, "idx", "term", (F.col("v") / F.col("norm")).alias("w"))
+    raw = counts.join(vocab, "term").select(key, F.struct("idx", "term", ((F.log("tf") + 1.0) * F.col("idf")).alias("v")).alias("x"))
+    lists = raw.groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("x"))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
+    return lists.withColumn("_norm", norm).select(key, F.transform("x", lambda x: F.struct(x["idx"].alias("idx"), x["term"].alias("term"), (x["v"] / F.col("_norm")).alias("w"))).alias("f"))
+
+
+def features(rows: DataFrame, vocab: DataFrame, key: str = "message_id", text: str = "masked_text") -> DataFrame:
+    """(key, idx, term, w): ``vectors``, one row an entry."""
+    return vectors(rows, vocab, key, text).select(key, F.inline("f"))
 
 
 def softmax(scores: Column) -> Column:
@@ -47,9 +66,9 @@ def softmax(scores: Column) -> Column:
     return F.when(F.size(scores) == 1, F.array(1.0 - p, p)).otherwise(F.transform(exps, lambda e: e / total))
 
 
-def scores(vectors: DataFrame, rows: DataFrame, artifact: Artifact, key: str = "message_id") -> DataFrame:
+def scores(entries: DataFrame, rows: DataFrame, artifact: Artifact, key: str = "message_id") -> DataFrame:
     """(key, class, s): linear scores of all rows, also of those without a known feature."""
-    dots = vectors.join(artifact.coef, "idx").groupBy(key, "class").agg(F.sum(F.col("w") * F.col("coef")).alias("dot"))
+    dots = entries.join(artifact.coef, "idx").groupBy(key, "class").agg(F.sum(F.col("w") * F.col("coef")).alias("dot"))
     every = rows.select(key).distinct().crossJoin(F.broadcast(artifact.bias))
     return every.join(dots, [key, "class"], "left").select(key, "class", (F.col("b") + F.coalesce("dot", F.lit(0.0))).alias("s"))
 
@@ -71,21 +90,34 @@ def with_predictions(rows: DataFrame, artifact: Artifact, key: str = "message_id
 
 
 def explain(rows: DataFrame, artifact: Artifact, k: int = 5, key: str = "message_id", text: str = "masked_text") -> DataFrame:
-    """(key, feature, contribution, rank): what pushed each row most towards its label."""
-    vectors = features(rows, artifact.vocab, key, text)
+    """(key, feature, contribution, rank): what pushed each row most towards its label; contributions equal to nine places by name."""
+    entries = features(rows, artifact.vocab, key, text)
     label = predictions(rows, artifact, key, text).select(key, F.col("label").alias("class"))
-    parts = vectors.join(label, key).join(artifact.coef, ["idx", "class"]).select(key, F.col("term").alias("feature"), (F.col("w") * F.col("coef")).alias("contribution"))
-    order = Window.partitionBy(key).orderBy(F.desc("contribution"), "feature")
+    parts = entries.join(label, key).join(artifact.coef, ["idx", "class"]).select(key, F.col("term").alias("feature"), (F.col("w") * F.col("coef")).alias("contribution"))
+    order = Window.partitionBy(key).orderBy(F.desc(F.round("contribution", 9)), "feature")
     return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("contribution", F.round("contribution", 4))
 
 
-def vocabulary(rows: DataFrame, text: str = "masked_text", min_df: int = MIN_DF, key: str = "message_id") -> DataFrame:
-    """(term, idx, idf) of the n-grams in at least ``min_df`` rows."""
+def _least_df(df: DataFrame, most: int) -> int:
+    """The least document frequency that at most ``most`` terms reach, from the counts of equal frequencies."""
+    sizes = df.groupBy("df").agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(Window.orderBy(F.desc("df"))))
+    return sizes.filter(F.col("n") <= most).agg(F.min("df")).head()[0] or most + 1
+
+
+def vocabulary(rows: DataFrame, text: str = "masked_text", min_df: int = MIN_DF, key: str = "message_id", most: int = MOST_TERMS) -> DataFrame:
+    """(term, idx, idf) of the n-grams in at least ``min_df`` rows, numbered in their order; a written table.
+
+    Where more than ``most`` are, ``min_df`` rises until they aren't: the weights of a model
+    are held whole in each task, so their number must not grow with the rows.
+    """
     grams = rows.select(key, F.explode(F.array_distinct(T.ngrams(T.tokenize(F.coalesce(text, F.lit(""))), NGRAMS))).alias("term"))
-    n = rows.agg(F.count("*").alias("n"))
-    df = grams.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
-    idx = F.row_number().over(Window.orderBy("term")) - 1
-    return df.crossJoin(F.broadcast(n)).select("term", idx.cast("int").alias("idx"), (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1.0).alias("idf"))
+    n = rows.count()
+    df = written(grams.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df), "document-frequencies")
+    kept = df if df.count() <= most else df.filter(F.col("df") >= _least_df(df, most))
+    numbered = numbered_in_order(kept, [], F.left("term", F.lit(3)), [F.col("term")], "idx")
+    out = written(numbered.select("term", (F.col("idx") - 1).cast("int").alias("idx"), (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1.0).alias("idf")), "vocabulary")
+    removed(df)
+    return out
 
 
 def leaks(vocab: DataFrame) -> DataFrame:
@@ -93,29 +125,52 @@ def leaks(vocab: DataFrame) -> DataFrame:
     return vocab.filter(F.col("term").rlike(r"\d{4,}|[a-z]*\d[a-z0-9]*\d|@|(?:sk|pk|tok|ghp)[_-]"))
 
 
-def train(rows: DataFrame, max_iter: int = 200) -> Artifact:
-    """Softmax regression on rows with ``label`` and ``masked_text``; classes weigh alike."""
+def _sparse(rows: DataFrame, vocab: DataFrame, size: int, labels: list[str], key: str) -> tuple[DataFrame, str]:
+    """(label, features) with labels by their place in ``labels`` and sparse vectors, and the folder they lie in.
+
+    Spark reads sparse vectors from text lines "label idx:w idx:w"; the lines are made by
+    columns, so no row passes through Python and no vector is as wide as the vocabulary.
+    """
+    number = F.create_map(*(F.lit(x) for i, c in enumerate(labels) for x in (c, i)))
+    entries = F.transform("f", lambda x: F.concat((x["idx"] + 1).cast("string"), F.lit(":"), x["w"].cast("string")))
+    lines = rows.select(key, "label").join(vectors(rows, vocab, key), key, "left").select(F.concat_ws(" ", number[F.col("label")].cast("string"), F.array_join(F.coalesce(entries, F.array().cast("array<string>")), " ")).alias("value"))
+    path = f"{shared_folder(rows.sparkSession)}/missive-vectors-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return rows.sparkSession.read.format("libsvm").option("numFeatures", size).load(path), path
+
+
+def train(rows: DataFrame, max_iter: int = 200, min_df: int = MIN_DF, most: int = MOST_TERMS, key: str = "message_id") -> Artifact:
+    """Softmax regression on rows with ``label`` and ``masked_text``; classes weigh alike.
+
+    Each iteration sums the gradient of sparse rows in a tree over the tasks. The weights,
+    at most ``most`` terms by the number of classes, are all that the driver holds. Rows
+    without a label are left out; a row without a known term counts for its class alone.
+    ValueError: no row, a single class, or a vocabulary with terms shaped like values.
+    ``Artifact.removed`` drops the tables.
+    """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
 
     spark = rows.sparkSession
-    vocab = vocabulary(rows).persist()
+    rows = rows.filter("label is not null").select(key, "label", "masked_text")
+    n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    labels, total = sorted(n), sum(n.values())
+    if len(labels) < 2:
+        raise ValueError("training needs rows of two classes at least")
+    vocab = vocabulary(rows, min_df=min_df, key=key, most=most)
     if not leaks(vocab).isEmpty():
+        removed(vocab)
         raise ValueError("the vocabulary holds terms shaped like values")
     size = vocab.count()
-    labels = [r[0] for r in rows.select("label").distinct().orderBy("label").collect()]
-    n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    total = sum(n.values())
-    vectors = features(rows, vocab).groupBy("message_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    number = F.create_map(*(F.lit(x) for i, c in enumerate(labels) for x in (c, float(i))))
-    weight = F.create_map(*(F.lit(x) for c in labels for x in (c, total / (len(labels) * n[c]))))
-    data = rows.select("message_id", "label").join(vectors, "message_id").select(array_to_vector(dense).alias("features"), number[F.col("label")].alias("y"), weight[F.col("label")].alias("weight"))
-    fitted = LogisticRegression(labelCol="y", weightCol="weight", regParam=1.0 / (C * total), elasticNetParam=0.0, standardization=False, family="multinomial", maxIter=max_iter).fit(data)
+    data, path = _sparse(rows, vocab, max(size, 1), labels, key)
+    weight = F.create_map(*(F.lit(x) for i, c in enumerate(labels) for x in (float(i), total / (len(labels) * n[c]))))
+    fit = LogisticRegression(weightCol="weight", regParam=1.0 / (C * total), elasticNetParam=0.0, standardization=False, family="multinomial", maxIter=max_iter, tol=1e-8)
+    fitted = fit.fit(data.withColumn("weight", weight[F.col("label")]))
+    remove_path(spark, path)
     matrix = fitted.coefficientMatrix.toArray()
-    coef = spark.createDataFrame([(c, i, float(matrix[k, i])) for k, c in enumerate(labels) for i in range(size) if matrix[k, i]], "class string, idx int, coef double")
-    bias = spark.createDataFrame([(c, float(fitted.interceptVector[k])) for k, c in enumerate(labels)], "class string, b double")
-    return Artifact(vocab, coef, bias)
+    at, idx = np.nonzero(matrix)
+    coef = pa.table({"class": pa.array(np.array(labels, object)[at], pa.string()), "idx": pa.array(idx.astype(np.int32)), "coef": pa.array(matrix[at, idx])})
+    bias = spark.createDataFrame(list(zip(labels, map(float, fitted.interceptVector))), "class string, b double")
+    return Artifact(vocab, written(spark.createDataFrame(coef), "coef"), bias)
 
 
 def folds(rows: DataFrame, n: int = 5, by_template: bool = True) -> DataFrame:
@@ -125,12 +180,21 @@ def folds(rows: DataFrame, n: int = 5, by_template: bool = True) -> DataFrame:
 
 
 def cross_validated(rows: DataFrame, n: int = 5, by_template: bool = True) -> DataFrame:
-    """(message_id, label, predicted, fold): each row's label by a model that hasn't seen its fold."""
-    rows = folds(rows, n, by_template).persist()
-    out = None
-    for k in range(n):
+    """(message_id, label, fold, predicted): each row's label by a model that hasn't seen its fold.
+
+    A fold without rows, or whose other rows show fewer than two classes, gives none.
+    """
+    rows = written(folds(rows, n, by_template).select("message_id", "label", "masked_text", "fold"), "folds")
+    seen = {(r[0], r[1]) for r in rows.filter("label is not null").groupBy("fold", "label").count().collect()}
+    parts = []
+    for k in sorted({f for f, _ in seen}):
+        if len({label for f, label in seen if f != k}) < 2:
+            continue
+        artifact = train(rows.filter(F.col("fold") != k))
         test = rows.filter(F.col("fold") == k)
-        p = predictions(test, train(rows.filter(F.col("fold") != k))).select("message_id", F.col("label").alias("predicted"))
-        one = test.select("message_id", "label", "fold").join(p, "message_id")
-        out = one if out is None else out.unionByName(one)
-    return out
+        p = predictions(test, artifact).select("message_id", F.col("label").alias("predicted"))
+        parts.append(written(test.select("message_id", "label", "fold").join(p, "message_id"), "fold"))
+        artifact.removed()
+    removed(rows)
+    empty = rows.sparkSession.createDataFrame([], "message_id string, label string, fold int, predicted string")
+    return reduce(DataFrame.unionByName, parts) if parts else empty

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from missive import schema as S
-from missive.operators import acts, classify, extract, groups, model, priority, retrieve, routing, sensitive, subject
+from missive.operators import acts, classify, extract, groups, model, outputs, priority, retrieve, routing, sensitive, subject
 from missive.sources.csv import sequenced
 from missive.sources.tables import removed, written
 
@@ -172,17 +172,30 @@ class Ledger:
         g = self.groups.agg(F.count("*").alias("groups"), F.count_if("contested").alias("contested"), mean_of("confidence").alias("mean_confidence"))
         return base.crossJoin(g).crossJoin(as_map(self.priorities, "priority")).crossJoin(as_map(self.groups, "status")).crossJoin(as_map(self.records, "route"))
 
-    def write(self, path: str, single_file: bool = False) -> None:
-        """All result tables below ``path``: JSON, and CSV for groups and priorities. Blocked texts never leave."""
-        from missive.sources.csv import write_csv, write_json
-
+    def tables(self) -> dict[str, DataFrame]:
+        """All result tables as they are given out: without columns that quote more than the masked text, and that only of messages that aren't blocked."""
         secret = F.col("route") == "blocked"
         safe = self.grouped.withColumn("masked_text", F.when(~secret, F.col("masked_text"))).drop("message", "body", "core", "canonical", "subject", "item_signature", "findings", "rule_signals")
-        tables = {"records": safe, "groups": self.groups, "priorities": self.priority_records(), "changes": self.changes, "routing": self.routing_records(), "summary": self.summary(), **self.histories}
+        return {"records": safe, "groups": self.groups, "priorities": self.priority_records(), "changes": self.changes, "routing": self.routing_records(), "summary": self.summary(), **self.histories}
+
+    def leaks(self) -> DataFrame:
+        """(output, column, shape, n): strings of the result tables that are shaped like a secret; no row where all is well."""
+        return outputs.leaks(self.tables())
+
+    def write(self, path: str, single_file: bool = False, checked: bool = False) -> None:
+        """All result tables below ``path``: JSON, and CSV for groups and priorities. Blocked texts never leave.
+
+        ``checked``: raise ValueError before anything is written if ``leaks`` finds something.
+        """
+        from missive.sources.csv import write_csv, write_json
+
+        if checked and (found := self.leaks().head(20)):
+            raise ValueError("shaped like a secret: " + ", ".join(f"{r['output']}.{r['column']} ({r['shape']}, {r['n']})" for r in found))
+        tables = self.tables()
         for name, df in tables.items():
             write_json(df, f"{path}/{name}.json", single_file)
-        write_csv(self.groups, f"{path}/groups.csv", single_file)
-        write_csv(self.priority_records(), f"{path}/priorities.csv", single_file)
+        write_csv(tables["groups"], f"{path}/groups.csv", single_file)
+        write_csv(tables["priorities"], f"{path}/priorities.csv", single_file)
 
     def unpersist(self) -> None:
         for df in self.kept:

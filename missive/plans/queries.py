@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from missive import schema as S
 from missive.functions import text as T
-from missive.operators import acts, classify, extract, groups, metrics, priority, reports, retrieve, routing, sensitive, subject
+from missive.operators import acts, classify, embed, extract, groups, metrics, model, outputs, priority, reports, retrieve, routing, sensitive, subject
 from missive.plans import ledger as L
 from missive.plans import synth
 from missive.sources.csv import sequenced
+from missive.sources.tables import removed, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -547,6 +548,112 @@ def index_footprint(spark, sf_dir):
     return _search(spark, sf_dir)[0].footprint()
 
 
+# -- the linear model -----------------------------------------------------------
+_VOCAB = (
+    f"mt AS (SELECT message_id, {_TOKENS % 'masked_text'} AS t FROM masked)",
+    "mg AS (SELECT message_id, unnest(t) AS term FROM mt UNION ALL SELECT message_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM mt)",
+    f"mv AS (SELECT term, ln(((SELECT count(*) FROM masked) + 1.0) / (count(DISTINCT message_id) + 1)) + 1 AS idf FROM mg GROUP BY term HAVING count(DISTINCT message_id) >= {model.MIN_DF})",
+    "mr AS (SELECT message_id, term, (ln(count(*)) + 1) * any_value(idf) AS v FROM mg JOIN mv USING (term) GROUP BY message_id, term)",
+    "mw AS (SELECT message_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY message_id)) AS w FROM mr)",
+)
+#: a linear model that SQL can fit: each class's mean vector of firmly labelled messages as its weights, no bias
+_CENTROIDS = (
+    "firm_label AS (SELECT message_id, rule_category AS class FROM scored WHERE rule_category IS NOT NULL AND NOT hedged AND rule_confidence >= 0.84)",
+    "centroid AS (SELECT class, term, sum(w) / any_value(n) AS coef FROM mw JOIN firm_label USING (message_id) JOIN (SELECT class, count(*) AS n FROM firm_label GROUP BY class) USING (class) GROUP BY class, term)",
+    "linear AS (SELECT message_id, class, coalesce(s, 0) AS s FROM masked CROSS JOIN (SELECT DISTINCT class FROM firm_label) LEFT JOIN (SELECT message_id, class, sum(w * coef) AS s FROM mw JOIN centroid USING (term) GROUP BY message_id, class) USING (message_id, class))",
+    "soft AS (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY message_id) AS p, row_number() OVER (PARTITION BY message_id ORDER BY round(s, 9) DESC, class) AS place FROM linear)",
+    "said AS (SELECT message_id, any_value(class) FILTER (place = 1) AS model_category, round(any_value(p) FILTER (place = 1), 4) AS model_confidence FROM soft GROUP BY message_id)",
+)
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _kept(spark, sf_dir, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """A table that queries of one application share, written when one first asks; tables of other inputs go."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        for old in [k for k in _TABLES if k[:2] != key[:2]]:
+            removed(_TABLES.pop(old))
+        _TABLES[key] = written(made(), name)
+    return _TABLES[key]
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    """Masked messages with the verdict of the rules."""
+    return _kept(spark, sf_dir, "judged", lambda: classify.with_rules(_masked(spark, sf_dir)))
+
+
+def _centroids(spark, sf_dir) -> model.Artifact:
+    """Mean vectors of the firmly labelled messages as a linear model."""
+    rows = _judged(spark, sf_dir)
+    vocab = _kept(spark, sf_dir, "judged-vocabulary", lambda: model.vocabulary(rows))
+    firm = classify.weak_labels(rows).select("message_id", F.col("label").alias("class"))
+    n = firm.groupBy("class").agg(F.count("*").alias("n"))
+    sums = model.features(rows, vocab).join(firm, "message_id").groupBy("class", "idx").agg(F.sum("w").alias("s"))
+    coef = _kept(spark, sf_dir, "centroids", lambda: sums.join(F.broadcast(n), "class").select("class", "idx", (F.col("s") / F.col("n")).alias("coef")))
+    return model.Artifact(vocab, coef, n.select("class", F.lit(0.0).alias("b")))
+
+
+@query(_with(*_VOCAB) + "SELECT message_id, count(*) AS n_features, round(sum(w), 6) AS total, round(max(w), 6) AS peak FROM mw GROUP BY message_id")
+def model_features(spark, sf_dir):
+    rows = _judged(spark, sf_dir)
+    vocab = _kept(spark, sf_dir, "judged-vocabulary", lambda: model.vocabulary(rows))
+    return model.features(rows, vocab).groupBy("message_id").agg(F.count("*").alias("n_features"), F.round(F.sum("w"), 6).alias("total"), F.round(F.max("w"), 6).alias("peak"))
+
+
+@query(_with(*_RULES, *_VOCAB, *_CENTROIDS) + "SELECT message_id, model_category, model_confidence FROM said")
+def centroid_predictions(spark, sf_dir):
+    return model.with_predictions(_judged(spark, sf_dir), _centroids(spark, sf_dir)).select("message_id", "model_category", "model_confidence")
+
+
+@query(_with(*_RULES, *_VOCAB, *_CENTROIDS) + """, parts AS (SELECT message_id, term AS feature, w * coef AS x, row_number() OVER (PARTITION BY message_id ORDER BY round(w * coef, 9) DESC, term) AS rank FROM said JOIN mw USING (message_id) JOIN centroid USING (term) WHERE class = model_category)
+    SELECT message_id, CAST(rank AS INTEGER) AS rank, feature, round(x, 4) AS contribution FROM parts WHERE rank <= 5""")
+def centroid_explanations(spark, sf_dir):
+    return model.explain(_judged(spark, sf_dir), _centroids(spark, sf_dir)).select("message_id", "rank", "feature", "contribution")
+
+
+@query(_with(*_RULES, *_VOCAB, *_CENTROIDS) + """, met AS (SELECT *, CASE WHEN rule_category IS NULL OR rule_category = 'general_information' THEN model_category ELSE rule_category END AS topical FROM scored JOIN said USING (message_id))
+    SELECT message_id, CASE WHEN route <> 'local_only' THEN 'sensitive_information' WHEN rule_category IS NULL THEN model_category WHEN rule_category = model_category OR rule_confidence >= model_confidence THEN rule_category ELSE model_category END AS category,
+        CASE WHEN route <> 'local_only' THEN 'deterministic_detector' WHEN rule_category IS NULL THEN 'model_only' WHEN rule_category = model_category THEN 'rule_and_model_agree' ELSE 'disagreement' END AS agreement,
+        CASE WHEN route <> 'local_only' THEN topical END AS secondary_category FROM met""")
+def arbitration_with_model(spark, sf_dir):
+    rows = model.with_predictions(_judged(spark, sf_dir), _centroids(spark, sf_dir))
+    return classify.with_category(rows, with_model=True).select("message_id", "category", "agreement", "secondary_category")
+
+
+@query()
+def model_training(spark, sf_dir):
+    """The softmax regression trained on firm rule verdicts, and what it says of every message."""
+    rows = _judged(spark, sf_dir)
+    artifact = model.train(classify.weak_labels(rows))
+    out = _kept(spark, sf_dir, "trained-predictions", lambda: model.with_predictions(rows, artifact).select("message_id", "rule_category", "model_category", "model_confidence"))
+    artifact.removed()
+    return out
+
+
+@query()
+def semantic_training(spark, sf_dir):
+    """Latent vectors trained on every message, as int8 codes; training raises where these agree too little with the full projection."""
+    docs = _judged(spark, sf_dir).select(F.col("message_id").alias("doc_id"), F.col("masked_text").alias("text"))
+    semantic = embed.train(docs)
+    out = _kept(spark, sf_dir, "semantic-vectors", lambda: semantic.vectors(docs).select("doc_id", F.col("v.codes").alias("codes"), F.col("v.scale").alias("scale")))
+    semantic.removed()
+    return out
+
+
+# -- what is given out ----------------------------------------------------------
+_SHAPES = ", ".join(f"({_lit(n)}, {_lit(p)})" for n, p in outputs.SHAPES)
+
+
+@query(_with() + f""", strings AS (SELECT unnest(['raw', 'nested']) AS "column", message AS s FROM messages UNION ALL SELECT 'kept', masked_text FROM masked)
+    SELECT "column", shape, count(*) AS n FROM (SELECT "column", regexp_replace(s, {_lit(outputs.CLOCK)}, ' ', 'g') AS s FROM strings) CROSS JOIN (VALUES {_SHAPES}) AS v(shape, pattern) WHERE regexp_matches(s, pattern) GROUP BY ALL""")
+def leak_scan(spark, sf_dir):
+    """Shapes of secrets in raw messages, plain and nested, and in masked ones."""
+    rows = synth.messages(spark, sf_dir)
+    rows = rows.select(F.col("message").alias("raw"), F.array(F.create_map(F.lit("text"), F.struct("message"))).alias("nested"), "message_id", "message", "timestamp", "sender")
+    kept = sensitive.masked(rows.select("message_id", "timestamp", "sender", "message")).select(F.col("masked_text").alias("kept"))
+    return outputs.leaked(rows.select("raw", "nested")).unionByName(outputs.leaked(kept))
+
+
 # -- the ledger: order-dependent, so rows only --------------------------------
 _LEDGERS: dict[tuple[str, str], L.Ledger] = {}
 
@@ -606,6 +713,12 @@ def priority_records(spark, sf_dir):
     return _ledger(spark, sf_dir).priority_records()
 
 
+@query('SELECT CAST(NULL AS VARCHAR) AS output, CAST(NULL AS VARCHAR) AS "column", CAST(NULL AS VARCHAR) AS shape, CAST(0 AS BIGINT) AS n WHERE false')
+def output_leaks(spark, sf_dir):
+    """Strings shaped like a secret in any table that a ledger gives out: there must be none."""
+    return _ledger(spark, sf_dir).leaks()
+
+
 @query()
 def l2_summary(spark, sf_dir):
     return _ledger(spark, sf_dir).summary()

@@ -33,14 +33,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def removed(df: DataFrame) -> None:
-    """Delete the files of a ``written`` table that nothing reads any more."""
-    spark = df.sparkSession
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared ones."""
     with suppress(Exception):  # the session may be gone
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def removed(df: DataFrame) -> None:
+    """Delete the files of a ``written`` table that nothing reads any more; other frames stay as they are."""
+    if path := getattr(df, "_written_at", None):
+        remove_path(df.sparkSession, path)
+
+
 def dealt(df: DataFrame, key: str) -> DataFrame:
     """A table that comes in fewer splits than there are cores, dealt to all of them by ``key``; a larger one as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
