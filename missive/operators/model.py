@@ -16,6 +16,13 @@ from missive.functions.order import numbered_in_order
 from missive.sources.tables import remove_path, removed, shared_folder, written
 
 MIN_DF, NGRAMS, C = 2, 2, 4.0
+#: shapes of values that no vocabulary may hold: long digit runs, secrets' prefixes, symbol mixes, codes; fixed values
+VALUE_SHAPES = [
+    r"\d{4,}",
+    r"(?:sk|pk|tok|ghp|gho|xox)[_-]\w+",
+    r"[A-Za-z]{3,}[#$%^&*!][A-Za-z0-9]*",
+    r"\b[A-Z]{2,}-\d+(?:-[A-Z0-9]+)+",
+]
 #: terms of a model at most
 MOST_TERMS = 1 << 18
 
@@ -122,7 +129,7 @@ def vocabulary(rows: DataFrame, text: str = "masked_text", min_df: int = MIN_DF,
 
 def leaks(vocab: DataFrame) -> DataFrame:
     """Vocabulary entries shaped like a value instead of a word; training must not go on with any."""
-    return vocab.filter(F.col("term").rlike(r"\d{4,}|[a-z]*\d[a-z0-9]*\d|@|(?:sk|pk|tok|ghp)[_-]"))
+    return vocab.filter(F.col("term").rlike("|".join(VALUE_SHAPES)))
 
 
 def _sparse(rows: DataFrame, vocab: DataFrame, size: int, labels: list[str], key: str) -> tuple[DataFrame, str]:
