@@ -2,7 +2,8 @@
 
 A text is brought to a canonical form: lower case, copyright and "all rights reserved"
 lines gone, also behind comment marks, everything but letters and digits a single
-blank, equivalent spellings and ways of naming a licence made one, a title before
+blank, equivalent spellings and ways of naming a licence made one (SPDX identifiers,
+"or later" and "only", names with and without "license"), a title before
 the opening words of a known text gone. Its digest is then joined with the digests of the known texts,
 which go through the same expressions. Whole documents and their single lines are
 looked up: the first finds licence files, the second the notices in other documents.
@@ -100,7 +101,14 @@ STEPS = [
     (r"\b(?:version|v) ?([0-9])", "$1"),
     (r"\b([0-9]) 0\b", "$1"),
     (r"^(?:(?:this|the|all) [a-z]+ (?:is|are) )?(?:made )?(?:licensed|releazed|released|distributed|published|available|provided) under (?:the )?(?:terms of (?:the )?)?", "licensed under "),
-    (r"^(licensed under .*[0-9])(?: international)?(?: license)?$", "$1"),
+    (r"^spdx license identifier ", "licensed under "),
+    (r"^(licensed under .*[0-9])(?: (?:only|(?:or|and) (?:any )?later(?: versions?)?))?(?: international)?(?: license)?$", "$1"),
+    (r"^licensed under apache 2$", "licensed under apache license 2"),
+    (r"^licensed under (?:mpl|mozilla public) 2$", "licensed under mozilla public license 2"),
+    (r"^licensed under (?:epl|eclipse public) 2$", "licensed under eclipse public license 2"),
+    (r"^licensed under (?:bsd (?:2|two) clause|(?:2|two) clause bsd)(?: license)?$", "licensed under bsd 2 clause license"),
+    (r"^licensed under (?:bsd (?:3|three) clause|(?:3|three) clause bsd)(?: license)?$", "licensed under bsd 3 clause license"),
+    (r"^licensed under (mit|isc)$", "licensed under $1 license"),
 ]
 #: titles, only where the opening words of a text above come next
 TITLE = (r"^(?:(?:the|mit|expat|isc|0bsd|bsd|freebsd|zero|free|public|clause|new|reviz?s?ed|modified|simplified|unlicense|license|[0-9]|two|three) )+(?=permission is hereby granted|permission to use copy|redistribution and use in|this is free and unencumbered)", "")

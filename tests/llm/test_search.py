@@ -80,3 +80,22 @@ def test_dense_candidates_of_more_queries_than_a_block(spark):
     queries = vectors.filter("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
     whole, parts = (sorted(tuple(x) for x in retrieve.dense_candidates(queries, vectors, depth=7, dims=4, block=b).collect()) for b in (15, 4))
     assert len(whole) == 15 * 7 and parts == whole
+
+
+@pytest.mark.parametrize(
+    "license_id,notices",
+    [
+        ("MIT", ["Licensed under MIT", "SPDX-License-Identifier: MIT", "// SPDX-License-Identifier: MIT", "Released under the MIT licence."]),
+        ("Apache-2.0", ["Licensed under Apache-2.0", "Licensed under the Apache 2.0 license", "# SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0"]),
+        ("BSD-3-Clause", ["Licensed under the BSD 3-Clause", "Licensed under the 3-Clause BSD License", "SPDX-License-Identifier: BSD-3-Clause", "Distributed under the three-clause BSD licence"]),
+        ("BSD-2-Clause", ["Licensed under the Two-Clause BSD License", "SPDX-License-Identifier: BSD-2-Clause"]),
+        ("GPL-3.0", ["Licensed under the GNU GPL version 3 or later", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-only", "Licensed under the GPLv3"]),
+        ("LGPL-2.1", ["SPDX-License-Identifier: LGPL-2.1-or-later"]), ("MPL-2.0", ["SPDX-License-Identifier: MPL-2.0"]), ("EPL-2.0", ["Licensed under EPL-2.0"]), ("CC-BY-SA-4.0", ["SPDX-License-Identifier: CC-BY-SA-4.0"]),
+        (None, ["Licensed under MIT and more", "SPDX-License-Identifier: MIT OR Apache-2.0", "Licensed under a mitten", "Licensed under Apache", "an MIT course under way"]),
+    ],
+)
+def test_equivalent_spellings_of_notices(spark, license_id, notices):
+    rows = [(i, n) for i, n in enumerate(notices)] + [(100 + i, f"first line\n{n}\nlast") for i, n in enumerate(notices)]
+    got = {(r["doc_id"], r["line"]): r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {} if license_id is None else {(i, 0): license_id for i in range(len(notices))} | {(100 + i, 2): license_id for i in range(len(notices))}
+    assert got == want
