@@ -118,21 +118,28 @@ class Ledger:
     def histories(self) -> dict[str, DataFrame]:
         return groups.histories(self.members, self.states)
 
+    @cached_property
+    def last_states(self) -> DataFrame:
+        return self._keep(priority.last_states(self.members, self.states), "last-states")
+
+    @staticmethod
+    def _decided(at: DataFrame) -> DataFrame:
+        return priority.decided(at.withColumn("confidence", groups.group_confidence()))
+
     @cached_property
     def decisions(self) -> DataFrame:
-        """Priority of every group at the end of every batch."""
-        at = priority.snapshot_states(self.members, self.states, self.batches)
-        return self._keep(priority.decided(at.withColumn("confidence", groups.group_confidence())), "decisions")
+        """Priority of every group at the end of every batch: groups x batches rows, for a report of all snapshots alone."""
+        return self._keep(self._decided(priority.snapshot_states(self.last_states, self.batches)), "decisions")
 
     @cached_property
     def changes(self) -> DataFrame:
-        return priority.changes(self.decisions)
+        """From the batches in which a group's score can change, see ``priority.turning_states``."""
+        return self._keep(priority.changes(self._decided(priority.turning_states(self.last_states, self.batches))), "changes")
 
     @cached_property
     def priorities(self) -> DataFrame:
         """The newest decision of each group."""
-        last = self.batches.groupBy("tenant").agg(F.max("batch_idx").alias("batch_idx"))
-        return self.decisions.join(last, ["tenant", "batch_idx"])
+        return self._keep(self._decided(priority.newest_states(self.last_states, self.batches)), "priorities")
 
     @cached_property
     def grouped(self) -> DataFrame:
