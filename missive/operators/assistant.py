@@ -37,6 +37,7 @@ IDS = r"\b((?:MSG|DEMO|TASK|EVENT|GROUP)_[A-Za-z0-9]+)\b"
 ABOUT = r"\b(?:about|regarding|concerning|related\s+to|for|of|on)\s+(?:the\s+)?(.+?)\s*[?.]?$"
 BAND, STATUS = r"\b(critical|high|medium|low)\b", r"\b(completed|complete|finished|cancelled|canceled|pending|rescheduled|unclear)\b"
 DEMO = r"\b(?:demo|test)\s+(?:data|messages?|batch|set)\b|\bin\s+the\s+demo\b"
+DATED = r"\bdeadlines?\b|\bdue\s+dates?\b|\bdates?\b"
 SAME_STATUS = {"complete": "completed", "finished": "completed", "canceled": "cancelled"}
 DEADLINE_CONFLICTS = ["deadline_changed", "deadline_changed_after_closure", "unresolved_alternatives"]
 ASSERTING = ["completion", "cancellation", "reschedule", "deadline_change", "progress_update"]
@@ -67,6 +68,29 @@ def intent_of(question: str) -> Intent:
     )
 
 
+def blocked_why() -> Column:
+    return F.concat(F.lit("policy "), F.col("policy_id"), F.lit(" blocks it for "), F.array_join("sensitivity_types", ", "))
+
+
+def deadline_why() -> Column:
+    return F.concat_ws(" ", F.lit("it changed the deadline:"), F.coalesce("previous", F.lit("none")), F.lit("to"), F.coalesce("new", "raw"), "direction")
+
+
+def status_why() -> Column:
+    return F.concat(F.lit("it set "), F.col("group_id"), F.lit(" to "), F.col("status"), F.lit(": "), F.col("status_reason"))
+
+
+def uncertain(dated: Column) -> Column:
+    """Whether a message leaves something open by itself."""
+    return (F.size("alternatives") > 0) | (F.col("conflict_marker") & F.col("group_id").isNull()) | (dated & F.col("act_hedged") & F.col("new_date_raw").isNotNull())
+
+
+def due_by_now() -> Column:
+    """Whether an open group's date isn't after the day of the last message, or is said to be near."""
+    due, today = F.coalesce("latest_deadline", "latest_date"), F.left("as_of", F.lit(10))
+    return (due <= today) | F.lower("pending_relative_deadline").rlike("today|tonight")
+
+
 @dataclass
 class Answer:
     intent: Intent
@@ -144,10 +168,12 @@ class Assistant:
         ``signal`` and ``history``: what a priority is made of, and its last changes;
         ``elapsed_time``: subjects that reached a band without a message; ``weak_link``:
         the question shares a single word with the subject it is taken to mean;
-        ``insufficient``: nothing supports an answer.
+        ``newest_batch``: a message of the evidence that came in the last batch, where others
+        came before; ``insufficient``: nothing supports an answer.
         """
         rows = found.limit(1).agg(F.count("*").alias("n")).filter("n = 0")
         rows = rows.select(F.lit("insufficient").alias("kind"), F.lit(None).cast("string").alias("group_id"), F.lit(0).alias("ord"), F.lit("the messages don't support an answer").alias("detail"))
+        rows = rows.unionByName(self._newest(found))
         if intent.name == "became_priority":
             target = (intent.bands or ["critical"])[0]
             late = self._last_changes().filter((F.col("new") == target) & (F.col("trigger") == "elapsed_time"))
@@ -163,6 +189,15 @@ class Assistant:
                 rows = rows.unionByName(weak)
         return rows
 
+    def _newest(self, found: DataFrame) -> DataFrame:
+        """The evidence of the last batch, unless all of it is."""
+        last = self.ledger.batches.groupBy("tenant").agg(F.max("batch_idx").alias("_last"))
+        of = self.ledger.records.join(last, "tenant").select("message_id", "batch_name", (F.col("batch_idx") == F.col("_last")).alias("_newest"))
+        at = found.join(of, "message_id")
+        older = at.agg(F.bool_and("_newest").alias("_all")).filter("not _all")
+        text = F.concat("message_id", F.lit(" came in the newest batch, "), "batch_name")
+        return at.filter("_newest").join(F.broadcast(older), F.lit(True)).select(F.lit("newest_batch").alias("kind"), "group_id", F.col("ord").cast("int").alias("ord"), text.alias("detail"))
+
     def _signals(self, group: str) -> DataFrame:
         own = self.ledger.priorities.filter(F.col("group_id") == group).select("group_id", F.posexplode("signals").alias("ord", "s"))
         return own.select(F.lit("signal").alias("kind"), "group_id", "ord", F.concat(F.col("s.name"), F.format_string(" (%+.2f): ", "s.weight"), F.col("s.detail")).alias("detail"))
@@ -181,7 +216,7 @@ class Assistant:
         return self._rows(rows.filter("batch_kind = 'demo'") if intent.demo else rows, [F.col("seq")], why)
 
     def _blocked_messages(self, question, intent):
-        return self._routed(intent, "blocked", F.concat(F.lit("policy "), F.col("policy_id"), F.lit(" blocks it for "), F.array_join("sensitivity_types", ", ")))
+        return self._routed(intent, "blocked", blocked_why())
 
     def _needs_confirmation(self, question, intent):
         return self._routed(intent, "confirm_required", F.col("confirmation_prompt"))
@@ -195,15 +230,14 @@ class Assistant:
 
     def _deadline_changes(self, question, intent):
         rows = self.ledger.histories["deadline_history"].filter("origin = 'l2_update' and direction in ('earlier', 'later', 'unresolved')")
-        return self._rows(self._demo(rows, intent), [F.col("timestamp"), F.col("seq")], F.concat_ws(" ", F.lit("it changed the deadline:"), F.coalesce("previous", F.lit("none")), F.lit("to"), F.coalesce("new", "raw"), "direction"))
+        return self._rows(self._demo(rows, intent), [F.col("timestamp"), F.col("seq")], deadline_why())
 
     def _conflicts(self, question, intent):
-        dated = bool(re.search(r"\bdeadlines?\b|\bdue\s+dates?\b|\bdates?\b", question, re.IGNORECASE))
+        dated = bool(re.search(DATED, question, re.IGNORECASE))
         rows = self._demo(self.ledger.histories["conflicts"], intent)
         rows = rows.filter(F.col("kind").isin(DEADLINE_CONFLICTS)) if dated else rows
         firm = rows.select(F.lit(0).alias("part"), "seq", "group_id", F.concat_ws(": ", "kind", "detail").alias("why"), F.posexplode("message_ids").alias("n", "message_id")).filter("message_id <> ''")
-        open_ = (F.size("alternatives") > 0) | (F.col("conflict_marker") & F.col("group_id").isNull()) | (F.lit(dated) & F.col("act_hedged") & F.col("new_date_raw").isNotNull())
-        loose = self.ledger.grouped.filter(open_)
+        loose = self.ledger.grouped.filter(uncertain(F.lit(dated)))
         loose = loose.filter("batch_kind = 'demo'") if intent.demo else loose
         both = firm.unionByName(loose.select(F.lit(1).alias("part"), "seq", "group_id", F.lit("it is uncertain in itself").alias("why"), F.lit(0).alias("n"), "message_id"))
         first = both.withColumn("_n", F.row_number().over(Window.partitionBy("message_id").orderBy("part", "seq", "n"))).filter("_n = 1")
@@ -217,7 +251,7 @@ class Assistant:
     def _by_status(self, question, intent):
         wanted = [s for s in intent.statuses or S.TERMINAL if s in S.STATUSES]
         rows = self._demo(self.ledger.groups, intent).filter(F.col("status").isin(wanted) & F.col("status_source").isNotNull()).withColumn("message_id", F.col("status_source"))
-        return self._rows(rows, [F.col("status"), F.col("group_no")], F.concat(F.lit("it set "), F.col("group_id"), F.lit(" to "), F.col("status"), F.lit(": "), F.col("status_reason")), F.col("confidence"))
+        return self._rows(rows, [F.col("status"), F.col("group_no")], status_why(), F.col("confidence"))
 
     def _open_groups(self) -> DataFrame:
         band = self.ledger.priorities.select("tenant", "group_id", "priority", "score", "priority_confidence", "as_of")
@@ -228,9 +262,7 @@ class Assistant:
         return self._rows(rows, [F.desc("score"), F.col("group_id")], why, F.col("priority_confidence"))
 
     def _due_today(self, question, intent):
-        due, today = F.coalesce("latest_deadline", "latest_date"), F.left("as_of", F.lit(10))
-        rows = self._open_groups().filter((due <= today) | F.lower("pending_relative_deadline").rlike("today|tonight"))
-        return self._sourced(rows, F.concat(F.lit("it set the deadline of "), F.col("group_id"), F.lit(", now "), F.col("priority")))
+        return self._sourced(self._open_groups().filter(due_by_now()), F.concat(F.lit("it set the deadline of "), F.col("group_id"), F.lit(", now "), F.col("priority")))
 
     def _pending_by_priority(self, question, intent):
         rows = self._demo(self._open_groups().filter(F.col("priority").isin(intent.bands or ["critical", "high"])), intent)

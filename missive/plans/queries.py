@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from missive import schema as S
 from missive.functions import text as T
-from missive.operators import acts, classify, embed, extract, groups, metrics, model, outputs, priority, reports, retrieve, routing, sensitive, subject
+from missive.operators import acts, assistant, classify, embed, extract, groups, metrics, model, outputs, priority, questions, reports, retrieve, routing, sensitive, subject
 from missive.plans import ledger as L
 from missive.plans import synth
 from missive.sources.csv import sequenced
@@ -713,6 +713,56 @@ def priority_records(spark, sf_dir):
     return _ledger(spark, sf_dir).priority_records()
 
 
+#: questions that name no subject, asked once beside one question about each part
+GENERAL = ["Which messages are blocked?", "Which messages need confirmation?", "Which tasks became critical?", "What deadlines changed?", "Are there conflicting deadlines?", "Which events were rescheduled?", "What should I do today?", "What was cancelled?", "Which critical tasks are pending?"]
+#: {s} a part's name; by its key
+ABOUT_PART = ["What is the latest status of the {s}?", "Show all messages about the {s}", "Why is the {s} critical?", "Was the {s} moved?", "rehearsal of {s}"]
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """(question_id, question): one about each part, and the general ones under negative ids."""
+    part = table(spark, sf_dir, "part")
+    form = F.get(F.array(*map(F.lit, ABOUT_PART)), (F.col("p_partkey") % len(ABOUT_PART)).cast("int"))
+    general = spark.createDataFrame([(-1 - i, q) for i, q in enumerate(GENERAL)], "question_id long, question string")
+    return part.select(F.col("p_partkey").cast("long").alias("question_id"), F.replace(form, F.lit("{s}"), F.col("p_name")).alias("question")).unionByName(general)
+
+
+_ASKED_SQL = (
+    "asked AS (SELECT CAST(p_partkey AS BIGINT) AS question_id, replace([" + ", ".join(map(_lit, ABOUT_PART)) + f"][1 + p_partkey % {len(ABOUT_PART)}], '{{s}}', p_name) AS question FROM part UNION ALL SELECT * FROM (VALUES "
+    + ", ".join(f"({-1 - i}, {_lit(q)})" for i, q in enumerate(GENERAL)) + ") AS g(question_id, question))"
+)
+
+
+@query("WITH " + _ASKED_SQL + " SELECT question_id, CASE " + " ".join(f"WHEN regexp_matches(question, {_lit('(?i)' + p)}) THEN {_lit(n)}" for n, p in assistant.INTENTS) + " ELSE 'open_search' END AS intent FROM asked")
+def question_intents(spark, sf_dir):
+    return questions.intents(_asked(spark, sf_dir)).select("question_id", F.col("name").alias("intent"))
+
+
+_ANSWERED: dict[tuple[str, str], questions.Questions] = {}
+
+
+def _answered(spark, sf_dir) -> questions.Questions:
+    """The questions about the newest ledger; those of an older one go."""
+    led, key = _ledger(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ANSWERED or _ANSWERED[key].ledger is not led:
+        while _ANSWERED:
+            _ANSWERED.popitem()[1].unpersist()
+        _ANSWERED[key] = questions.Questions(led, _asked(spark, sf_dir))
+    return _ANSWERED[key]
+
+
+@query()
+def question_answers(spark, sf_dir):
+    """Intent, group, source and amount of evidence, route and refusal of every question."""
+    return _answered(spark, sf_dir).answers()
+
+
+@query()
+def question_evidence(spark, sf_dir):
+    """The messages that answer the questions, once for each source that ``question_answers`` names."""
+    return _answered(spark, sf_dir).found
+
+
 @query()
 def output_leaks(spark, sf_dir):
     """Strings shaped like a secret in any table that a ledger gives out. The senders of the test tables are named with nine digits."""

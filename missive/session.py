@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from missive.operators import classify, extract, model, routing, sensitive
 from missive.operators.assistant import Answer, Assistant
+from missive.operators.questions import Questions
 from missive.plans.ledger import Ledger
 from missive.sources.csv import MAX_FILES, MAX_ROWS, read_messages, stacked
 
@@ -45,6 +46,10 @@ class Engine:
     def ask(self, key: str, question: str, confirmed: bool = False) -> Answer:
         return Assistant(self.ledger(key)).answer(question, confirmed)
 
+    def ask_all(self, key: str, questions: DataFrame) -> Questions:
+        """Answers to a table (question_id, question) in one plan; the caller calls ``unpersist`` when done."""
+        return Questions(self.ledger(key), questions)
+
     def classify_one(self, message: str, sender: str = "") -> DataFrame:
         """One message's masked text, route, category and item."""
         row = self.spark.createDataFrame([("MSG_0001", None, sender, message)], "message_id string, timestamp string, sender string, message string")
