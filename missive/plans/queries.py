@@ -106,6 +106,12 @@ def masked_messages(spark, sf_dir):
     return sensitive.masked(synth.messages(spark, sf_dir)).select("message_id", "masked_text")
 
 
+@query(synth.secrets_sql())
+def detected_values(spark, sf_dir):
+    """Each detector and their overlaps; the SQL knows the answer from how the texts were made."""
+    return sensitive.masked(synth.secrets(spark, sf_dir)).select("message_id", "masked_text", F.array_join("sensitivity_types", ",").alias("types"))
+
+
 @query(_with() + "SELECT message_id FROM masked WHERE primary_type = 'credential_mention'")
 def credential_mention(spark, sf_dir):
     return sensitive.masked(synth.messages(spark, sf_dir)).filter("primary_type = 'credential_mention'").select("message_id")

@@ -16,6 +16,23 @@ TEMPLATES = [
 ]
 
 
+#: a text with a value, the same masked, and the types found, by order key; {o} a code, {c} a customer's name. First one of
+#: each detector, then overlaps that precedence or length settles, then texts that only look alike
+SECRETS = [
+    ("Your verification code is {o}, tell nobody.", "Your verification code is ******, tell nobody.", "one_time_password"), ("The password is fern{o}.", "The password is ******.", "password"),
+    ("My PIN is 48{o4}, {c}.", "My PIN is ******, {c}.", "password"), ("Credit card number 4012 8888 8888 {o4} for {c}", "Credit card number ****** for {c}", "payment_card"),
+    ("My bank account number is AC{o}.", "My bank account number is ******.", "bank_account"), ("Use the access token dew{o} today", "Use the access token ****** today", "auth_token"),
+    ("We found ghp_dew{o} in a log", "We found ****** in a log", "auth_token"), ("The backup code is moss{o}!", "The backup code is ******!", "account_recovery_code"),
+    ("{c} has passport number P{o}.", "{c} has passport number ******.", "government_id"), ("The diagnosis shows a sprain of {c}. Rest helps.", "The diagnosis shows ******. Rest helps.", "health_information"),
+    ("My home address is {o4} Elm Row. Come by.", "My home address is ******. Come by.", "postal_address"), ("Please deliver it to {o4} Quay Street today.", "Please deliver it to ******.", "postal_address"),
+    ("From noon you can contact me on 70155 {o5}.", "From noon you can contact me on ******.", "phone_number"), ("{c} will send the login details.", "{c} will send the login details.", "credential_mention"),
+    ("The diagnosis shows password fern{o}", "The diagnosis shows password ******", "password"), ("My home address is Elm Row, call me on 70155 {o5}.", "My home address is ******.", "postal_address"),
+    ("The api key is sk_dew{o}.", "The api key is ******.", "auth_token"), ("Ship it to {o4} Quay Street, phone number 70155 {o5}.", "Ship it to ******.", "postal_address"),
+    ("The OTP is {o} and the password is fern{o}.", "The OTP is ****** and the password is ******.", "one_time_password,password"), ("My address is Elm Row. Call me on 70155 {o5}.", "My address is ******. Call me on ******.", "postal_address,phone_number"),
+    ("Spinning yarn: lot {o} went to {c}.", "Spinning yarn: lot {o} went to {c}.", ""), ("{c} compared 4012 {o4} and left", "{c} compared 4012 {o4} and left", ""), ("The shipment of {o} pans passed all tests.", "The shipment of {o} pans passed all tests.", ""),
+]
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -75,3 +92,25 @@ def sql() -> str:
             SELECT *, regexp_replace(body0, '(contact me on )[0-9 ]*[0-9]', '\\1******') AS body FROM masked
         )
     """
+
+
+def _filled_sql(column: int) -> str:
+    """SQL of both engines: a column of SECRETS by order key, with its values."""
+    cases = " ".join(f"WHEN {k} THEN {_quoted(row[column])}" for k, row in enumerate(SECRETS))
+    text = f"CASE CAST(o_orderkey % {len(SECRETS)} AS INTEGER) {cases} END"
+    values = {"{o}": "CAST(o_orderkey + 100000 AS STRING)", "{o4}": "CAST(o_orderkey % 9000 + 1000 AS STRING)", "{o5}": "CAST(o_orderkey % 90000 + 10000 AS STRING)", "{c}": "translate(c_name, '#0123456789', '-abcdefghij')"}
+    for mark, value in values.items():
+        text = f"replace({text}, '{mark}', {value})"
+    return text
+
+
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(message_id, message): a text of SECRETS for each order."""
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "customer")}
+    rows = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select(F.col("o_orderkey").cast("string").alias("message_id"), F.expr(_filled_sql(0)).alias("message"))
+
+
+def secrets_sql() -> str:
+    """What must be found in ``secrets``: from the texts as they were made, without any pattern."""
+    return f"SELECT CAST(o_orderkey AS VARCHAR) AS message_id, {_filled_sql(1)} AS masked_text, {_filled_sql(2)} AS types FROM orders JOIN customer ON o_custkey = c_custkey"
