@@ -48,6 +48,8 @@ columns may have any name. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -67,7 +69,8 @@ STAR_ROUNDS = 2
 #: excesses up to this many times w have levels of their own
 LEVELS = 16
 BITS = 1 << 23
-CACHE_ENTRIES = 250_000
+#: word hashes that a worker keeps, and the bytes of sets it holds before it gives them on
+CACHE_ENTRIES, PIECE_BYTES = 50_000, 4 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = [np.uint64(xxhash.xxh3_64_intdigest(f"register {i}".encode())) for i in range(HASHES)]
@@ -185,6 +188,18 @@ def _estimated(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long, est double")
 
 
+def _pieces(ids: pa.Array, sets: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, shingles) in batches of about PIECE_BYTES, so that a worker never holds the sets of a whole batch of texts."""
+    first, size, own = 0, 0, []
+    for one in sets:
+        own.append(one)
+        size += len(one)
+        if size >= PIECE_BYTES:
+            yield pa.RecordBatch.from_arrays([ids.slice(first, len(own)), pa.array(own, pa.binary())], ["doc_id", "shingles"])
+            first, size, own = first + len(own), 0, []
+    yield pa.RecordBatch.from_arrays([ids.slice(first, len(own)), pa.array(own, pa.binary())], ["doc_id", "shingles"])
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, shingles): the sorted set, as bytes, of each document in ``wanted`` (doc_id).
 
@@ -203,8 +218,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
         for batch in batches:
             at = batch.column(2).to_numpy() - 1
             batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            sets = [shingle_set(t, n).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            yield from _pieces(batch.column(0), (shingle_set(t.as_py(), n).tobytes() for t in batch.column(1)))
 
     key = F.col(id_col).cast("long")
     texts = docs.filter(key.isNotNull()).select(key.alias("doc_id"), text_of(text_col).alias("text"), place(key).alias("at"))
@@ -248,6 +262,11 @@ def _family_rows(bands: DataFrame) -> DataFrame:
     return own.join(found, "p", "left").select("doc", F.coalesce("component", "p").alias("family"))
 
 
+def _longs(numbers: pa.ListScalar) -> np.ndarray:
+    """The numbers of one row's list; none for null."""
+    return numbers.values.to_numpy() if numbers.is_valid else np.empty(0, np.int64)
+
+
 def _differences(sets: DataFrame, percent: int) -> DataFrame:
     """(doc, c_doc, family, n, excess, difference) of ``sets`` (doc, c_doc, family, shingles).
 
@@ -257,15 +276,16 @@ def _differences(sets: DataFrame, percent: int) -> DataFrame:
 
     def flat(batches):
         for batch in batches:
-            tokens = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+            tokens = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
             at = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate([np.empty(0, np.int64), *tokens]))], ["family", "shingle"])
 
     def run(batches):
         for batch in batches:
             sizes, excess, found = [], [], []
-            for raw, middle in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                own, middle = np.frombuffer(raw, np.int64), np.array(middle or [], np.int64)
+            # the centre stands in each row of its family: read in place, as lists of Python's numbers it is five times as large
+            for raw, middle in zip(batch.column(3), batch.column(4)):
+                own, middle = np.frombuffer(raw.as_buffer(), np.int64), _longs(middle)
                 d = np.concatenate([np.setdiff1d(own, middle, assume_unique=True), ~np.setdiff1d(middle, own, assume_unique=True)])
                 sizes.append(len(own))
                 excess.append((100 + percent) * len(d) - (100 - percent) * len(own))
@@ -286,7 +306,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
     def flat(batches):
         for batch in batches:
-            own = [np.frombuffer(s, np.int64) for s in batch.column(3).to_pylist()]
+            own = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(3)]
             at = pa.array(np.repeat(np.arange(len(own)), [len(t) for t in own]))
             yield pa.RecordBatch.from_arrays([c.take(at) for c in batch.columns[:3]] + [pa.array(np.concatenate([np.empty(0, np.int64), *own]))], ["doc", "c_doc", "family", "difference"])
 

@@ -129,3 +129,14 @@ def test_registers_estimate_similarity():
 def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {r["component"] for r in components(links).collect()} == {0}
+
+
+def test_sets_leave_a_worker_in_pieces():
+    import pyarrow as pa
+
+    ids = pa.array(range(40), pa.int64())
+    one = bytes(neardup.PIECE_BYTES // 8)
+    batches = list(neardup._pieces(ids, (one for _ in range(40))))
+    assert max(b.num_rows for b in batches) == 8 and [i for b in batches for i in b.column(0).to_pylist()] == list(range(40))
+    assert sum(b.num_rows for b in neardup._pieces(ids[:3], [one] * 3)) == 3 and sum(b.num_rows for b in neardup._pieces(ids[:0], [])) == 0
+    assert [neardup._longs(s).tolist() for s in pa.array([[1, 2], None, []], pa.list_(pa.int64()))] == [[1, 2], [], []]
