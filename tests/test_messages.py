@@ -128,3 +128,31 @@ def test_replay_of_a_stream_equals_one_run(spark, tmp_path):
     one.unpersist()
 
 
+
+
+def test_hints_hide_no_rule_frame(spark):
+    frames = [f for family in (classify.PROMOTIONAL, classify.MEETING, classify.ACTION, classify.PERSONAL) for f in family] + [("hedged_event", classify.HEDGED_EVENT), ("hedged_action", classify.HEDGED_ACTION)]
+    assert set(classify.HINTS) <= {n for n, _ in frames}
+    texts = [
+        "use code save30", "50% off", "flat 20% today", "a discount", "flash sale", "limited-time offer", "special festival offer", "cashback", "reward points", "free delivery", "buy one and get one", "coupon", "voucher", "upgrade your boat", "join our rowing plan", "exclusive benefits",
+        "you may like our pans", "our new pan plan", "subscribe now", "deal on pans", "sale starts", "calendar update: x", "invite: x", "reminder: x", "it is scheduled for", "it happens on", "takes place at", "is happening in", "will be held on", "please attend the", "come to our", "be present at the",
+        "are you free for", "are you available for", "let's meet", "let us meet", "shall we meet", "meeting at", "the demo could be", "the call may be", "kindly row", "plea\u017fe row", "can you row", "i need you to row", "don't forget to", "dont forget to", "remember to row", "make sure you row", "ensure row",
+        "if possible, row", "deadline is", "is due by", "due date", "no later than 2026-01-01", "it may be needed", "could you send", "send it soon", "asked whether", "wants to know if", "is waiting for", "for my profile", "personal note", "about me", "note that i", "just so you know, my", "i'm a rower", "i am a rower",
+        "i might prefer", "i tend to", "i work best", "i l\u0131ve near", "my nickname", "row the boat",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "c string").withColumn("low", F.translate("c", "\u017f\u0131", "si"))
+    both = rows.select("c", *(F.struct(classify._shown(F.col("c"), F.col("low"), n, p).alias("shown"), T.found(F.col("c"), p).alias("found")).alias(n) for n, p in frames)).collect()
+    assert [(r["c"], n) for r in both for n, _ in frames if r[n]["shown"] != r[n]["found"]] == []
+    assert all(any(r[n]["found"] for r in both) for n in classify.HINTS)
+
+
+def test_messages_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    from missive.plans import synth
+
+    rows = [(i, i % 3, f"2026-01-{1 + i % 28:02d}") for i in range(90)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate string").withColumn("o_orderdate", F.to_timestamp("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, f"C{i}") for i in range(3)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, f"red pan {i}") for i in range(4)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(synth, "ROWS_A_TASK", 10)
+    made = synth.messages(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == 9 and made.count() == 90
