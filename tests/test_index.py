@@ -20,3 +20,14 @@ def test_stored_postings_find_what_the_plan_finds(spark):
     sizes = {r[0]: r[1] for r in stored.terms.selectExpr("doc_id", "weight * weight as w").groupBy("doc_id").sum("w").collect()}
     stored.removed()
     assert found[0] == found[1] and len(found[0]) == 6 and all(abs(x - 1) < 1e-9 for x in sizes.values())
+
+
+def test_features_are_shuffled_as_text_alone(spark):
+    from missive.operators import model
+
+    rows = spark.createDataFrame([("a", "red pan red"), ("b", "red pot"), ("c", None)], "message_id string, masked_text string")
+    vocab = spark.createDataFrame([("red", 0, 1.0), ("red pan", 1, 2.0)], "term string, idx int, idf double")
+    plan = model.vectors(rows, vocab)
+    shuffles = [line for line in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "term" not in shuffles[0]
+    assert {r["message_id"]: [(x["idx"], x["term"]) for x in r["f"]] for r in plan.collect()} == {"a": [(0, "red"), (1, "red pan")], "b": [(0, "red")]}
