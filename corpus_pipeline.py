@@ -1,7 +1,8 @@
 """A corpus from raw documents to packed training sequences, in five stages.
 
 Each stage gets what its predecessor kept, as a written table, and decides on whole
-texts. Models are fitted on the labelled rows of the original tables.
+texts. Models are fitted on the labelled rows of the original tables. Batches of texts go
+to Python by ``common.BATCH_ROWS`` rows, a setting that stays with the session.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.llm import compression, neardup, packing, pii, quality
-from missive.llm.common import dropped, scratch, stored, table
+from missive.llm.common import dropped, narrow_batches, scratch, stored, table
 
 
 def _back(judged: DataFrame, docs: DataFrame) -> DataFrame:
@@ -20,12 +21,14 @@ def _back(judged: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the trees."""
+    narrow_batches(spark)
     trees = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return _back(quality.judge(docs, trees, carry=tuple(docs.columns)).filter("kept"), docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier calls good."""
+    narrow_batches(spark)
     model = compression.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return _back(compression.score(docs, model, carry=tuple(docs.columns)).filter("predicted = 1"), docs)
 
@@ -55,7 +58,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    narrow_batches(spark)
+    # the JVM holds more after four stages than in an application that only packs, so the workers hold less
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache=40_000, chars=1_000_000)
 
 
 STAGES = [

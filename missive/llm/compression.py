@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import held_out, labelled_sample, text_of, worker_state
+from missive.llm.common import held_out, labelled_sample, lean, text_of, worker_state
 
 #: labelled rows of each class for the dictionaries and for the curve, at most
 DICTIONARY_ROWS, CURVE_ROWS = 1000, 1000
@@ -134,4 +134,4 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFra
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), out.alias("held_out"), *(F.col(f"`{c}`").alias(f"in_{c}") for c in carry))
     schema = "doc_id long, held_out boolean, score double, predicted int" + "".join(f", `in_{c}` {fields[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -56,7 +56,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from missive.llm.common import GenerationCache, dropped, scratch, stored, text_of, worker_state
+from missive.llm.common import GenerationCache, dropped, lean, narrowed, scratch, stored, text_of, worker_state
 
 HASHES, BUCKETS, ROWS, MANTISSA = 20, 12, 6, 4
 REGISTERS = HASHES * BUCKETS
@@ -150,7 +150,7 @@ def _signed(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, regs binary")
+    return rows.mapInArrow(lean(run), "doc_id long, n_shingles long, set_a long, set_b long, regs binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _bands(classes: DataFrame) -> DataFrame:
             docs, sizes = (np.broadcast_to(batch.column(i).to_numpy()[:, None], some.shape) for i in (0, 2))
             yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(docs[some]), pa.array(sizes[some])], ["band", "doc", "n"])
 
-    return classes.filter("n_shingles > 3").select("doc_id", "regs", "n_shingles").mapInArrow(run, "band long, doc long, n long")
+    return classes.filter("n_shingles > 3").select("doc_id", "regs", "n_shingles").mapInArrow(lean(run), "band long, doc long, n long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
@@ -185,7 +185,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
             on = pa.array((est >= limit - MARGIN) | (np.minimum(n_a, n_b) < SURE_SIZE))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(est)], ["a", "b", "est"]).filter(on)
 
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long, est double")
+    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(lean(run), "a long, b long, est double")
 
 
 def _pieces(ids: pa.Array, sets: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
 
     key = F.col(id_col).cast("long")
     texts = docs.filter(key.isNotNull()).select(key.alias("doc_id"), text_of(text_col).alias("text"), place(key).alias("at"))
-    return texts.mapInArrow(run, "doc_id long, shingles binary").join(wanted, "doc_id")
+    return texts.mapInArrow(lean(run), "doc_id long, shingles binary").join(wanted, "doc_id")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -243,7 +243,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = stored(_sets_of(docs, wanted, n, id_col, text_col), "sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s_{c}"))
-    out = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long").distinct(), "links")
+    out = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(lean(run), "a long, b long").distinct(), "links")
     dropped(sets)
     return out
 
@@ -294,11 +294,11 @@ def _differences(sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["doc", "c_doc", "family", "n", "excess", "difference"])
 
     size = sets.groupBy("family").agg(F.count("*").alias("size"))
-    counts = sets.select("family", "shingles").mapInArrow(flat, "family long, shingle long").groupBy("family", "shingle").agg(F.count("*").alias("df"))
+    counts = sets.select("family", "shingles").mapInArrow(lean(flat), "family long, shingle long").groupBy("family", "shingle").agg(F.count("*").alias("df"))
     # at most twice a mean set for each family
     middle = counts.filter("df > 1").join(size, "family").filter("2 * df >= size").groupBy("family").agg(F.collect_list("shingle").alias("middle"))
     rows = sets.join(middle, "family", "left").select("doc", "c_doc", "family", "shingles", "middle")
-    return rows.mapInArrow(run, "doc long, c_doc long, family long, n long, excess long, difference binary")
+    return rows.mapInArrow(lean(run), "doc long, c_doc long, family long, n long, excess long, difference binary")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -310,7 +310,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             at = pa.array(np.repeat(np.arange(len(own)), [len(t) for t in own]))
             yield pa.RecordBatch.from_arrays([c.take(at) for c in batch.columns[:3]] + [pa.array(np.concatenate([np.empty(0, np.int64), *own]))], ["doc", "c_doc", "family", "difference"])
 
-    each = rows.select("doc", "c_doc", "family", "difference").mapInArrow(flat, "doc long, c_doc long, family long, difference long")
+    each = rows.select("doc", "c_doc", "family", "difference").mapInArrow(lean(flat), "doc long, c_doc long, family long, difference long")
     both = each.groupBy("family", "difference").agg(F.min("c_doc").alias("least"), F.max("c_doc").alias("most"), F.count("*").alias("df")).filter("least < most").select("family", "difference", "df")
     return each.join(both, ["family", "difference"]).select("doc", "family", "difference", "df")
 
@@ -391,7 +391,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document, as a written table; see the module."""
     texts = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(F.xxhash64(text_of(text_col))).alias("least"), F.max(F.xxhash64(text_of(text_col))).alias("most"))
-    with scratch() as result:
+    with scratch() as result, narrowed(docs.sparkSession):
         ambiguous = not texts.filter("least <> most").isEmpty()
         found = (_by_row if ambiguous else _near_duplicates)(docs, shingle_words, percent, id_col, text_col)
         return result(found, "near-duplicates")

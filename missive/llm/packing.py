@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import GenerationCache, gathered, text_of, word_chunks, worker_state
+from missive.llm.common import CHUNK_CHARS, GenerationCache, gathered, lean, text_of, word_chunks, worker_state
 from missive.llm.tokens import load_tokenizer
 
 CAPACITY = 4096
@@ -62,8 +62,8 @@ class Encoder:
     cache for parts; other words go through the whole library.
     """
 
-    def __init__(self, content: str, limit: int = CACHE_ENTRIES):
-        self.tokenizer = load_tokenizer(content)
+    def __init__(self, content: str, limit: int = CACHE_ENTRIES, chars: int = CHUNK_CHARS):
+        self.tokenizer, self.chars = load_tokenizer(content), chars
         self.words = GenerationCache(self.word, limit)
         self.parts = GenerationCache(self.part, limit)
         self.merges, self.letters = self.tokenizer.model, byte_letters()
@@ -91,7 +91,7 @@ class Encoder:
     def many(self, texts: list[str]):
         """The ids of each text. Words are looked up once for a run of texts."""
         plain, done = ["" if _WHOLE.search(t) else t for t in texts], 0
-        for words, codes, counts in word_chunks(plain, str.split):
+        for words, codes, counts in word_chunks(plain, str.split, self.chars):
             ids, _, ends = gathered(list(map(self.words.__getitem__, words)), codes, counts)
             last = 0
             for end in ends.tolist():
@@ -184,9 +184,11 @@ class Packer:
             yield from self._window(min(self.capacity, 1 << (left.bit_length() - 1)))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, pending: int = PENDING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, pending: int = PENDING, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_ENTRIES, chars: int = CHUNK_CHARS) -> DataFrame:
     """Pieces of all documents with their sequence and offset; every id lies in exactly one piece.
 
+    ``cache``: words whose ids a worker keeps; ``chars``: text whose words it looks up at once. Less of both takes more time and less memory, with the same result.
+
     ``capacity`` is a power of two. Each sequence is filled to it, or to a smaller
     power of two at a partition's end. ids_crc32 is taken over the piece's ids.
     """
@@ -196,8 +198,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
         content = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        key = ("pack", hash(content.value))
-        encode, end = worker_state(key, lambda: Encoder(content.value)), end_id.to_bytes(4, "little")
+        key = ("pack", hash(content.value), cache, chars)
+        encode, end = worker_state(key, lambda: Encoder(content.value, cache, chars)), end_id.to_bytes(4, "little")
         packer = Packer(TaskContext.get().partitionId() << 32, capacity, pending)
 
         def table(rows):
@@ -211,4 +213,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
             yield table(rows)
         yield table(list(packer.finish()))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(lean(run), SCHEMA)

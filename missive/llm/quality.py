@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import GenerationCache, labelled_sample, text_of, worker_state
+from missive.llm.common import GenerationCache, labelled_sample, lean, text_of, worker_state
 
 #: labelled rows of each class that the trees are fitted on, at most
 SAMPLE_PER_CLASS = 3000
@@ -214,4 +214,4 @@ def judge(docs: DataFrame, trees: Trees, threshold: float = 0.5, carry: tuple[st
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *(F.col(f"`{c}`").alias(f"in_{c}") for c in carry))
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, rule_score double, kept boolean"
     schema += "".join(f", `in_{c}` {fields[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from invented import prose
-from missive.llm import neardup
+from missive.llm import common, neardup
 from missive.llm.neardup import components, near_duplicates, registers, similarity
 
 
@@ -140,3 +140,18 @@ def test_sets_leave_a_worker_in_pieces():
     assert max(b.num_rows for b in batches) == 8 and [i for b in batches for i in b.column(0).to_pylist()] == list(range(40))
     assert sum(b.num_rows for b in neardup._pieces(ids[:3], [one] * 3)) == 3 and sum(b.num_rows for b in neardup._pieces(ids[:0], [])) == 0
     assert [neardup._longs(s).tolist() for s in pa.array([[1, 2], None, []], pa.list_(pa.int64()))] == [[1, 2], [], []]
+
+
+def test_python_gets_narrow_batches_and_the_session_keeps_its_setting(spark, monkeypatch):
+    """Every job of near_duplicates sends few rows at once, so a batch of long texts stays small in the JVM and the worker."""
+    conf, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", [], neardup.stored
+    before = spark.conf.get(conf)
+    monkeypatch.setattr(neardup, "stored", lambda df, name: (seen.append(int(spark.conf.get(conf))), real(df, name))[1])
+    near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"))
+    assert seen and max(seen) <= common.BATCH_ROWS and spark.conf.get(conf) == before
+
+
+def test_a_workers_task_ends_with_its_memory_given_back(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append(1))
+    assert list(common.lean(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3] and done == [1]
