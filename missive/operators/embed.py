@@ -52,14 +52,36 @@ class Semantic:
 
     def vectors(self, docs: DataFrame) -> DataFrame:
         """(doc_id, vector, v): unit vectors of documents (doc_id, text) and their int8 form; zeros without known terms."""
-        w = model.features(docs.withColumnRenamed("text", "masked_text"), self.vocab, "doc_id")
-        comps = w.join(self.projection, "idx").groupBy("doc_id", "comp").agg(F.sum(F.col("w") * F.col("code")).alias("s")).join(F.broadcast(self.scale), "comp")
-        sums = comps.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("comp", (F.col("s") * F.col("scale")).alias("x")))).alias("m"))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(self.dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-        rows = docs.select("doc_id").join(sums, "doc_id", "left").withColumn("r", raw)
-        norm = F.sqrt(F.aggregate("r", F.lit(0.0), lambda a, x: a + x * x))
-        rows = rows.withColumn("vector", F.transform("r", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
-        return rows.select("doc_id", "vector", retrieve.quantised(F.col("vector")).alias("v"))
+        # the model is bounded, so it goes to the tasks whole and no entry is shuffled
+        projection, scale = np.zeros((self.vocab.count(), self.dims), np.int8), np.zeros(self.dims)
+        found, scales = self.projection.toArrow(), self.scale.toArrow()
+        projection[found["idx"].to_numpy(), found["comp"].to_numpy()] = found["code"].to_numpy()
+        scale[scales["comp"].to_numpy()] = scales["scale"].to_numpy()
+        shared = docs.sparkSession.sparkContext.broadcast((projection, scale))
+
+        def run(batches):
+            for batch in batches:
+                for at in range(0, len(batch), TILE):
+                    part = batch.slice(at, TILE)
+                    yield _projected(part, *shared.value)
+
+        key = docs.schema["doc_id"].dataType.simpleString()
+        entries = model.vectors(docs.withColumnRenamed("text", "masked_text"), self.vocab, "doc_id").select("doc_id", F.col("f.idx").alias("idx"), F.col("f.w").alias("w"))
+        made = entries.mapInArrow(run, f"doc_id {key}, vector array<double>, v struct<codes:array<tinyint>,scale:double>")
+        none = F.array_repeat(F.lit(0.0), self.dims)
+        return docs.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.coalesce("vector", none).alias("vector"), F.coalesce("v", retrieve.quantised(none)).alias("v"))
+
+
+def _projected(rows: pa.RecordBatch, projection: np.ndarray, scale: np.ndarray) -> pa.RecordBatch:
+    """(doc_id, vector, v) of sparse rows (doc_id, idx array, w array): unit vectors and ``retrieve.quantised`` of them."""
+    (row, idx, w) = next(_tiles([rows.select([1, 2])]))
+    raw = _times(row, idx, w, projection) * scale
+    norm = np.linalg.norm(raw, axis=1, keepdims=True)
+    vector = np.divide(raw, norm, out=np.zeros_like(raw), where=norm > 0)
+    size = np.abs(vector).max(axis=1, keepdims=True) / 127.0
+    codes = np.clip(np.rint(np.divide(vector, size, out=np.zeros_like(vector), where=size > 0)), -127, 127).astype(np.int8)
+    lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+    return pa.RecordBatch.from_arrays([rows.column(0), lists(vector), pa.StructArray.from_arrays([lists(codes), pa.array(size[:, 0])], ["codes", "scale"])], ["doc_id", "vector", "v"])
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

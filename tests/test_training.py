@@ -157,3 +157,23 @@ def test_outputs_of_a_ledger_hold_no_secret_and_a_planted_one_stops_them(spark,
         led.write(str(tmp_path / "out"), checked=True)
     assert not (tmp_path / "out").exists()
     led.unpersist()
+
+
+def test_vectors_are_made_where_their_rows_are(spark):
+    """Sums of the int8 projection against the definition, with zeros for what is unknown; no entry is joined or grouped."""
+    vocab = spark.createDataFrame([("oak", 0, 1.0), ("elm", 1, 1.5)], "term string, idx int, idf double")
+    projection = spark.createDataFrame([(0, 0, 100), (0, 2, -7), (1, 0, 3), (1, 1, 127)], "idx int, comp int, code int").withColumn("code", F.col("code").cast("tinyint"))
+    scale = spark.createDataFrame([(0, 0.01), (1, 0.02), (2, 0.5)], "comp int, scale double")
+    semantic = embed.Semantic(vocab, projection, scale, 3)
+    docs = spark.createDataFrame([("a", "oak elm"), ("b", "ash"), ("c", None), ("d", "elm")], "doc_id string, text string")
+    made = semantic.vectors(docs)
+    got = {r["doc_id"]: r for r in made.collect()}
+    w = np.array([1.0, 1.5]) / np.sqrt(3.25)
+    raw = {"a": [(w[0] * 100 + w[1] * 3) * 0.01, w[1] * 127 * 0.02, w[0] * -7 * 0.5], "d": [0.03, 2.54, 0.0]}
+    for doc, r in raw.items():
+        unit = np.array(r) / np.linalg.norm(r)
+        size = np.abs(unit).max() / 127
+        assert got[doc]["vector"] == pytest.approx(unit) and got[doc]["v"]["scale"] == pytest.approx(size) and got[doc]["v"]["codes"] == np.rint(unit / size).astype(int).tolist()
+    assert all(got[doc]["vector"] == [0.0] * 3 and got[doc]["v"] == ([0] * 3, 0.0) for doc in "bc")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "comp#" not in plan
