@@ -1,8 +1,12 @@
 """A table of questions against the same questions one by one."""
 
+from types import SimpleNamespace
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus
+from missive.operators import questions
 from missive.operators.assistant import CAPS, Assistant, intent_of
 from missive.operators.questions import Questions
 from missive.plans.ledger import Ledger
@@ -72,3 +76,16 @@ def test_empty_and_repeated(spark, led):
     twice = Questions(led, spark.createDataFrame([(1, "Which messages are blocked?"), (1, "Which messages are blocked?"), (1, "What deadlines changed?"), (None, "What deadlines changed?")], "question_id long, question string"))
     assert sorted((str(r["question_id"]), r["message_id"]) for r in twice.evidence().collect()) == sorted([("1", "A03"), ("1", "B08"), ("1", "C04"), ("None", "B08"), ("None", "C04")])
     twice.unpersist()
+
+
+def test_equal_texts_are_searched_once(spark):
+    class Index:
+        def hybrid(self, queries, k):
+            self.asked = sorted(r["text"] for r in queries.collect())
+            return queries.select("query_id", F.lit(1).alias("rank"), F.concat(F.lit("about "), "text").alias("doc_id"), F.lit(0.5).alias("score"), F.array(F.lit("t")).alias("matched_terms"))
+
+    asker = questions.Questions.__new__(questions.Questions)
+    asker.ledger = SimpleNamespace(index=Index())
+    hits = asker._search(spark.createDataFrame([("a", "oak"), ("b", "oak"), ("c", "elm")], "key string, text string"), 3)
+    assert sorted((r["key"], r["message_id"]) for r in hits.collect()) == [("a", "about oak"), ("b", "about oak"), ("c", "about elm")]
+    assert asker.ledger.index.asked == ["elm", "oak"]
