@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,30 @@ def test_components_equal_union_find(spark, shape):
             parent[b] = a
     got = components(spark.createDataFrame(edges, "a long, b long")).select("node", F.col("component")).collect()
     assert {(r["node"], r["component"]) for r in got} == {(x, root(x)) for x in parent} and len(got) == len(parent)
+
+
+def test_only_messages_that_may_change_a_group_are_folded(monkeypatch):
+    """Many messages about few subjects: outcomes equal the plain fold's, over batches, and few messages are folded."""
+    r, folded, real = random.Random(4), [], groups._Assigner.__call__
+    weigh = lambda names: [{"token": t, "idf": 1.0, "rare": True, "specific": True} for t in names]
+    names = [["oak", "plank"], ["elm", "plank"], ["oak", "plank", "red"], ["ash"]]
+    rows = []
+    for seq in range(3000):
+        k, item = r.randrange(4), r.choice([None, None, 0, 3]) if seq > 1500 else None
+        rows.append({"tenant": "", "component": seq * 2 // 3000, "seq": seq, "item_type": r.choice([None, "task"]) if seq % 1500 > 700 else None, "act": "completion", "subject_source": r.choice(["act_frame", "open_question"]),
+                     "display": " ".join(names[k]), "set_id": k, "item_set_id": item, "subject_w": weigh(names[k]), "item_signature_w": None if item is None else weigh(names[item])})
+    plain = {0: groups._Assigner(), 1: groups._Assigner()}
+    want = [plain[x["component"]](x) for x in rows]
+    monkeypatch.setattr(groups._Assigner, "__call__", lambda self, row: (folded.append(1), real(self, row))[1])
+    got = [x for b in groups._assigned(pa.Table.from_pylist(rows).to_batches(max_chunksize=700)) for x in b.to_pylist()]
+    assert got == want and len(folded) < 200
+
+
+def test_groups_of_one_common_word_cost_no_search_of_each_other():
+    """A lone common word never matches, so each such message starts a group; the fold holds their set once, and others keep their outcome."""
+    word = lambda t, rare: {"token": t, "idf": 1.0, "rare": rare, "specific": True}
+    row = lambda seq, *ws: {"tenant": "", "seq": seq, "item_type": None, "act": "completion", "subject_source": "act_frame", "display": "", "subject_w": list(ws), "item_signature_w": None}
+    fold, common, oak = groups._Assigner(), word("ring", False), [word("oak", True), word("ring", False)]
+    assert fold(row(0, *oak))["seed"] and all(fold(row(1 + i, common))["seed_seq"] == 1 + i for i in range(50))
+    assert len(fold.signatures) == 2 and fold.version == 2
+    assert fold(row(99, *oak))["seed_seq"] == 0
