@@ -116,3 +116,16 @@ def test_groups_of_one_common_word_cost_no_search_of_each_other():
     assert fold(row(0, *oak))["seed"] and all(fold(row(1 + i, common))["seed_seq"] == 1 + i for i in range(50))
     assert len(fold.signatures) == 2 and fold.version == 2
     assert fold(row(99, *oak))["seed_seq"] == 0
+
+
+def test_lone_sets_get_the_folds_outcome_in_columns(spark):
+    """Messages whose set matches nothing, not even itself, start a group each: the same as the fold gives, without it."""
+    r, word = random.Random(6), {"token": "ring", "idf": 1.0, "rare": False, "specific": True}
+    rows = [{"tenant": "", "seq": i, "item_type": r.choice([None, "task", "event"]), "act": r.choice(["completion", "new_event", "reschedule", None]), "subject_source": r.choice(["act_frame", "open_question", None]),
+             "display": f"the ring {i}", "subject_w": [word], "item_signature_w": None} for i in range(60)]
+    weights = "array<struct<token:string,idf:double,rare:boolean,specific:boolean>>"
+    df = spark.createDataFrame(rows, f"tenant string, seq long, item_type string, act string, subject_source string, display string, subject_w {weights}, item_signature_w {weights}")
+    assert df.filter(groups.matches_itself(F.col("subject_w"))).count() == 0
+    fold = groups._Assigner()
+    got = groups._lone(df).select(*(n.split()[0] for n in groups.ASSIGNED.split(", "))).orderBy("seq").collect()
+    assert [x.asDict() for x in got] == [{k: v for k, v in fold(row).items()} for row in rows]

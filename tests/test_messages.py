@@ -156,3 +156,12 @@ def test_messages_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(synth, "ROWS_A_TASK", 10)
     made = synth.messages(spark, str(tmp_path))
     assert made.rdd.getNumPartitions() == 9 and made.count() == 90
+
+
+def test_days_of_all_forms_and_of_texts_that_have_none(spark):
+    """A form is only tried where it can fit, which changes no day."""
+    texts = ["2024-1-2 3:4:5", " 2024-01-02T03:04:05 ", "2024-01-02t03:04:05", "2024-01-02 03:04", "2024-01-02", "2024-02-30", "2024-01-02T03:04", "tomorrow", "at 3:04", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    every = F.coalesce(*(F.try_to_timestamp(F.trim("t"), F.lit(f)) for f in T.DAY_FORMATS)).cast("date")
+    got = df.select("i", T.day_of(F.col("t")).alias("d"), every.alias("e")).orderBy("i").collect()
+    assert [r["d"] for r in got] == [r["e"] for r in got] and [str(r["d"]) for r in got[:5]] == ["2024-01-02"] * 5 and not any(r["d"] for r in got[5:])

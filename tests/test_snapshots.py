@@ -55,3 +55,11 @@ def test_calendar(spark):
     batches = spark.createDataFrame([("", 0, day(0)), ("", 1, day(0)), ("", 2, day(2)), ("", 5, day(1)), ("", 6, None), ("", 7, None), ("", 8, day(3)), ("t", 0, day(9))], "tenant string, batch_idx int, last_seen string")
     got = {(r["batch_idx"], r["day"] and str(r["day"])) for r in priority.calendar(batches).collect()}
     assert got == {(2, day(1)), (2, day(2)), (5, day(2)), (6, None), (8, None)}
+
+
+def test_snapshots_are_spread_however_few_bytes_they_are(spark):
+    """The work a snapshot is large, so groups x batches rows aren't merged into one task."""
+    last = spark.createDataFrame([("", i, 0, (i,), ["M"]) for i in range(50)], "tenant string, group_no long, batch_idx int, state struct<seq:long>, new_message_ids array<string>")
+    batches = spark.createDataFrame([("", 0, "2024-01-01"), ("", 1, "2024-01-02")], "tenant string, batch_idx int, last_seen string")
+    rows = priority.snapshot_states(last, batches)
+    assert rows.count() == 100 and rows.rdd.getNumPartitions() > 1
