@@ -204,6 +204,18 @@ def _folded(made: Callable, keys: list[str], schema: pa.Schema) -> Callable:
 #: what a message's outcome depends on besides the fold's state, after the keys of the fold; outcomes kept for it at most
 _SAME = ["tenant", "component", "set_id", "item_set_id", "item_type", "act", "subject_source", "display"]
 MOST_KNOWN = 100_000
+#: messages whose outcomes stand that are passed in one step, at most
+MOST_PASSED = 512
+
+
+def _coded(batch: pa.RecordBatch) -> tuple[np.ndarray, list[tuple]]:
+    """For each row the number of its ``_SAME``, and these by number."""
+    code = np.zeros(len(batch), np.int64)
+    for name in _SAME:
+        one = batch.column(name).dictionary_encode(null_encoding="encode")
+        _, code = np.unique(code * len(one.dictionary) + one.indices.to_numpy(), return_inverse=True)
+    _, first = np.unique(code, return_index=True)
+    return code, list(zip(*(batch.column(c).take(pa.array(first)).to_pylist() for c in _SAME)))
 
 
 def _assigned(batches):
@@ -211,25 +223,38 @@ def _assigned(batches):
 
     A message that starts no group and changes no outcome has the outcome of any other of the same
     ``_SAME`` until one changes, so only the first of these is folded, and only its
-    weights become Python objects.
+    weights become Python objects; runs of messages whose outcomes stand are passed at once.
     """
     at, step, known = None, None, {}
     for n, batch in enumerate(batches):
-        out, place = [], np.empty(len(batch), np.int64)
-        for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in _SAME))):
+        code, keys = _coded(batch)
+        out, place, i = [], np.empty(len(batch), np.int64), 0
+        stands, slot = np.zeros(len(keys), bool), np.empty(len(keys), np.int64)
+        while i < len(batch):
+            if stands[code[i]]:
+                run = stands[code[i : i + MOST_PASSED]]
+                end = i + (len(run) if run.all() else int(run.argmin()))
+                place[i:end] = slot[code[i:end]]
+                i = end
+                continue
+            key = keys[code[i]]
             if key[:2] != at:
                 at, step, known = key[:2], _Assigner(), {}
             found = known.get(key)
             if found is None or found[0] != step.version:
                 before = step.version
                 made = step(batch.slice(i, 1).to_pylist()[0])
+                if step.version != before:
+                    stands[:] = False
                 if len(known) >= MOST_KNOWN:
                     known.clear()
                 found = known[key] = [step.version if step.version == before and not made["seed"] else -1, made, -1, -1]
             if found[2] != n:
                 found[2:] = n, len(out)
                 out.append(found[1])
-            place[i] = found[3]
+            place[i] = slot[code[i]] = found[3]
+            stands[code[i]] = found[0] == step.version
+            i += 1
         rows = pa.RecordBatch.from_pylist(out, _ASSIGNED).take(pa.array(place))
         yield rows.set_column(1, "seq", batch.column("seq"))
 
@@ -496,8 +521,8 @@ def summary_of() -> Column:
 
 def final_groups(members: DataFrame, states: DataFrame) -> DataFrame:
     """One row per group: its last state, finalised, with title, kind, members and items."""
-    order = Window.partitionBy("tenant", "group_no").orderBy(F.desc("seq"))
-    last = states.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "seq", "transitions", "changes", "conflicts")
+    ends = members.groupBy("tenant", "group_no").agg(F.max("seq").alias("seq"))
+    last = states.drop("transitions", "changes", "conflicts").join(ends, ["tenant", "group_no", "seq"]).drop("seq")
     by_seq = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("seq", c)))), lambda x: x[c])
     made = members.groupBy("tenant", "group_no").agg(F.first("group_id").alias("group_id"), F.max_by("title", "seq").alias("title"), F.max_by("kind", "seq").alias("kind"), by_seq("message_id").alias("message_ids"), by_seq("item_id").alias("item_ids"))
     out = last.join(made, ["tenant", "group_no"])

@@ -67,3 +67,25 @@ def test_assignment_compares_only_sharing_signatures():
     row = lambda seq, *t: {"tenant": "", "seq": seq, "subject_w": w(*t), "item_signature_w": None, "item_type": None, "act": "status_query", "subject_source": "act_frame", "display": " ".join(t)}
     got = [step(row(i, *t))["seed_seq"] for i, t in enumerate([("a", "b"), ("c",), ("a", "b", "d"), ("b", "a"), ("e", "c")])]
     assert got == [0, 1, 0, 0, 1]
+
+
+def test_each_text_is_read_once(spark):
+    """Records by distinct texts equal those message by message: texts said often, by roles and people, null, blocked, and with values that mask alike."""
+    from pyspark.sql import functions as F
+
+    from missive.operators import routing, sensitive
+    from missive.plans import ledger
+
+    texts = ["Would you draft the red plan before 2026-10-09?", "Half price on lamps this week. Use code SAVE30.", "Your OTP is 482913.", "Your OTP is 99482913.", "Remember to weigh the crate tomorrow, urgent.", "Any update on the red plan?", None, "The red plan has been completed."]
+    said = [(f"M{i:03d}", f"2026-10-{1 + i % 9:02d} 09:{i % 60:02d}:00", ["Promotions", "Ana", None, "offers"][i // len(texts) % 4], texts[i % len(texts)], i % 2, f"b{i % 2}", "l2" if i % 2 else "l1", "") for i in range(96)]
+    rows = spark.createDataFrame(said, "message_id string, timestamp string, sender string, message string, batch_idx int, batch_name string, batch_kind string, tenant string")
+    kept = {}
+    made = ledger.records_by_text(routing.route(csv.sequenced(sensitive.masked(rows))), lambda df, name: kept.setdefault(name, df.localCheckpoint()))
+    want = ledger.records_of(ledger.enriched(rows, gate=True, order=True))
+    assert sorted(made.columns) == sorted(want.columns)
+    shown = lambda df: {r["message_id"]: r["all"] for r in df.select("message_id", F.to_json(F.struct(*sorted(want.columns))).alias("all")).collect()}
+    assert shown(made) == shown(want) and len(shown(made)) == 96
+    assert kept["texts"].count() < 32  # texts by senders that are roles or not, of 96 messages
+    led = Ledger(rows)
+    assert "masked_text" in led.records.columns and "masked_text" not in led.members.columns and not [k for k in led.kept if "-items-" in k._written_at]
+    led.unpersist()
