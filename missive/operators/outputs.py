@@ -14,6 +14,8 @@ SHAPES = [
     ("card_groups", r"\b(?:\d{4}[ -]){3}\d{4}\b"),
     ("token_prefix", r"\b(?:sk|pk|tok|ghp|gho)[_-][A-Za-z0-9]{4,}\b"),
 ]
+#: what stands in every string that shows a shape: blanks for dates never bring digits together
+HINT = r"\d{4}|(?:sk|pk|tok|ghp|gho)[_-]"
 CLOCK = r"\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2})?)?"
 
 
@@ -36,10 +38,23 @@ def strings(value: Column, kind: DataType) -> Column | None:
     return None
 
 
-def _shown(values: Column, column: str, shape: str, pattern: str) -> Column:
-    """One (column, shape) for each string of an array that shows ``pattern`` beside dates and times."""
-    hits = F.filter(values, lambda x: F.regexp_replace(x, CLOCK, " ").rlike(pattern))
-    return F.transform(hits, lambda _: F.struct(F.lit(column).alias("column"), F.lit(shape).alias("shape")))
+def _plain(x: Column) -> Column:
+    """A string without its dates and times, which are read as blanks."""
+    return F.regexp_replace(x, CLOCK, " ")
+
+
+def _suspect(x: Column) -> Column:
+    """Whether a string shows any shape: read once for all, and not at all without a hint."""
+    return x.rlike(HINT) & _plain(x).rlike("|".join(f"(?:{pattern})" for _, pattern in SHAPES))
+
+
+def _suspects(value: Column, kind: DataType, column: str) -> Column | None:
+    """(column, text) of the strings inside a value that show a shape, as an array; None for a type that holds none."""
+    named = lambda x: F.struct(F.lit(column).alias("column"), x.cast("string").alias("text"))
+    if isinstance(kind, StringType):
+        return F.when(_suspect(value), F.array(named(value))).otherwise(F.array().cast("array<struct<column:string,text:string>>"))
+    found = strings(value, kind)
+    return None if found is None else F.transform(F.filter(found, _suspect), named)
 
 
 def leaked(rows: DataFrame) -> DataFrame:
@@ -49,11 +64,12 @@ def leaked(rows: DataFrame) -> DataFrame:
     one without strings, gives no row.
     """
     empty = rows.sparkSession.createDataFrame([], "column string, shape string, n long")
-    held = [(f.name, found) for f in rows.schema.fields if (found := strings(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType)) is not None]
+    held = [found for f in rows.schema.fields if (found := _suspects(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType, f.name)) is not None]
     if not held:
         return empty
-    shown = [_shown(found, name, *shape) for name, found in held for shape in SHAPES]
-    return rows.select(F.explode(F.concat(*shown)).alias("x")).select("x.*").groupBy("column", "shape").agg(F.count("*").alias("n"))
+    seen = rows.select(F.explode(F.concat(*held)).alias("x")).select("x.column", _plain(F.col("x.text")).alias("text"))
+    shapes = F.filter(F.array(*(F.when(F.col("text").rlike(pattern), F.lit(shape)) for shape, pattern in SHAPES)), lambda s: s.isNotNull())
+    return seen.select("column", F.explode(shapes).alias("shape")).groupBy("column", "shape").agg(F.count("*").alias("n"))
 
 
 def leaks(tables: dict[str, DataFrame]) -> DataFrame:

@@ -177,3 +177,20 @@ def test_vectors_are_made_where_their_rows_are(spark):
     assert all(got[doc]["vector"] == [0.0] * 3 and got[doc]["v"] == ([0] * 3, 0.0) for doc in "bc")
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "comp#" not in plan
+
+
+def test_leak_scan_reads_a_string_once_for_all_shapes(spark):
+    """One removal of dates a column and one for what is suspected, and the counts of each shape searched by itself in every string."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    parts = ["2026-10-09", "2026-10-09 11:00:05", "2026-10-09T11:00", "4012", "8888 ", "-1881", "123456", "12345", "sk_", "tok-", "ghp_", "gho", "abcd", "task_0001", " ", "-", "_", "é", "\n"]
+    texts = [None, "", *("".join(r.choices(parts, k=r.randrange(1, 9))) for _ in range(4000))]
+    rows = spark.createDataFrame([(t, [t], {"k": t}) for t in texts], "a string, b array<string>, c map<string,string>")
+    each = rows.agg(*(F.count_if(F.regexp_replace("a", outputs.CLOCK, " ").rlike(p)).alias(shape) for shape, p in outputs.SHAPES)).head().asDict()
+    want = {(c, shape): n for shape, n in each.items() if n for c in "abc"}
+    made = outputs.leaked(rows)
+    assert {(x["column"], x["shape"]): x["n"] for x in made.collect()} == want and len(want) == 9
+    assert made._jdf.queryExecution().analyzed().toString().count("regexp_replace(") <= 4
