@@ -167,37 +167,42 @@ def leading_directions(rows: DataFrame, size: int, dims: int, passes: int = PASS
 
 
 def _agreement(rows: DataFrame, full: np.ndarray, small: np.ndarray) -> float:
-    """Mean cosine of the rows' two projections; 0 where one of them is zero."""
+    """Mean cosine of the rows' two projections, each row counted ``n`` times; 0 where one of them is zero."""
     shared = rows.sparkSession.sparkContext.broadcast((full, small))
 
     def run(batches):
-        for tile in _tiles(batches):
+        for part in (batch.slice(at, TILE) for batch in batches for at in range(0, len(batch), TILE)):
+            (tile,) = _tiles([part])
             a, b = (_times(*tile, x) for x in shared.value)
             size = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
             c = np.divide((a * b).sum(axis=1), size, out=np.zeros(len(a)), where=size > 0)
-            yield pa.RecordBatch.from_arrays([pa.array([len(c)], pa.int64()), pa.array([float(c.sum())])], ["n", "c"])
+            n = part.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())], pa.int64()), pa.array([float((c * n).sum())])], ["n", "c"])
 
-    total = rows.select("idx", "w").mapInArrow(run, "n long, c double").agg(F.sum("c") / F.sum("n")).head()[0]
+    total = rows.select("idx", "w", "n").mapInArrow(run, "n long, c double").agg(F.sum("c") / F.sum("n")).head()[0]
     shared.unpersist()
     return total
 
 
-def train(docs: DataFrame, dims: int = DIMS, kept: int = KEPT, min_df: int = 2, most: int = MOST_TERMS, least: float = LEAST_AGREEMENT) -> Semantic:
+def train(docs: DataFrame, dims: int = DIMS, kept: int = KEPT, min_df: int = 2, most: int = MOST_TERMS, least: float = LEAST_AGREEMENT, times: str | None = None) -> Semantic:
     """Fit on documents (doc_id, text): TF-IDF, leading singular vectors, the ``kept`` largest components of each term, int8 per component.
 
     Null texts and texts without a term of the vocabulary take no part. ValueError: no
     known term at all, terms shaped like values, or a mean cosine below ``least`` between
-    the int8 form and the full projection of the documents.
+    the int8 form and the full projection of the documents. ``times``: a column that says
+    how many documents each row stands for.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.col("text").alias("masked_text"))
-    vocab = model.vocabulary(rows, min_df=min_df, key="doc_id", most=most)
+    rows = docs.select("doc_id", F.col("text").alias("masked_text"), (F.lit(1) if times is None else F.col(times)).cast("long").alias("n"))
+    vocab = model.vocabulary(rows, min_df=min_df, key="doc_id", most=most, times="n")
     size = vocab.count()
     if not size or not model.leaks(vocab).isEmpty():
         removed(vocab)
         raise ValueError("the vocabulary holds terms shaped like values" if size else "no term is in enough documents")
-    sparse = written(model.vectors(rows, vocab, "doc_id").select(F.col("f.idx").alias("idx"), F.col("f.w").alias("w")), "sparse-rows")
-    v = leading_directions(sparse, size, min(dims, size))
+    entries = model.vectors(rows, vocab, "doc_id").join(rows.select("doc_id", "n"), "doc_id")
+    sparse = written(entries.select(F.col("f.idx").alias("idx"), F.col("f.w").alias("w"), "n"), "sparse-rows")
+    # n equal rows have the singular directions of one that is longer by the root of n
+    v = leading_directions(sparse.select("idx", F.transform("w", lambda w: w * F.sqrt("n")).alias("w")), size, min(dims, size))
     order = np.argsort(-np.abs(v), axis=1, kind="stable")[:, :kept]
     slim = np.zeros_like(v)
     np.put_along_axis(slim, order, np.take_along_axis(v, order, axis=1), axis=1)
